@@ -107,9 +107,8 @@ def discovered_shards(validated: DataFrame) -> DataFrame:
     )
     keys = ["namespace", "name"]
 
-    listed = ok.where(F.size("_files") > 0).select(
-        *keys, "_files", F.explode(numbers_below(n)).cast("int").alias("shard_index")
-    )
+    number = F.explode(numbers_below(n).cast("array<int>")).alias("shard_index")
+    listed = ok.where(F.size("_files") > 0).select(*keys, "_files", number)
     own = F.element_at(
         F.concat(
             F.array(F.lit(None).cast(_SHARD)),
@@ -126,7 +125,7 @@ def discovered_shards(validated: DataFrame) -> DataFrame:
     )
 
     named = ok.where((F.size("_files") == 0) & _has_pattern()).select(
-        *keys, "source_path", "_bytes", "total_shards", F.explode(numbers_below(n)).cast("int").alias("shard_index")
+        *keys, "source_path", "_bytes", "total_shards", number
     )
     from_pattern = named.select(
         *keys,

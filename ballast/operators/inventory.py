@@ -36,10 +36,10 @@ def parse_inventory(raw: DataFrame) -> DataFrame:
 
 def devices(parsed: DataFrame) -> DataFrame:
     """One row per device of every readable node."""
-    number = F.explode(numbers_below(F.col("gpu_count")))
-    return parsed.where(F.col("error").isNull()).select(
-        "node", F.concat(F.lit(DEVICE_NAME_PREFIX), number.cast("string")).alias("device"), "memory_bytes"
+    names = F.transform(
+        numbers_below(F.col("gpu_count")), lambda i: F.concat(F.lit(DEVICE_NAME_PREFIX), i.cast("string"))
     )
+    return parsed.where(F.col("error").isNull()).select("node", F.explode(names).alias("device"), "memory_bytes")
 
 
 def inventory_errors(parsed: DataFrame) -> DataFrame:

@@ -487,8 +487,8 @@ l2 AS (SELECT buffer_id, pos // 4096 AS pos, sha256(string_agg(hex, '' ORDER BY
 SELECT buffer_id, sha256(string_agg(hex, '' ORDER BY pos)) AS digest FROM l2 GROUP BY buffer_id"""
 
     sql["tensor_stats"] = """SELECT 'emb-' || label AS buffer_id, vec_id AS ordinal, CAST(len(embedding) AS BIGINT) AS elements,
-       true AS all_finite, round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE))) / len(embedding), 6) AS mean,
-       array_to_string(list_transform(embedding[1:10], x -> CAST(CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)), ',') AS "first"
+       true AS all_finite, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 6) AS mean,
+       array_to_string(list_transform(embedding[1:10], lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)), ',') AS "first"
 FROM embeddings"""
 
     sql["typed_view_stats"] = f"""WITH {HALF}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.session import STATE_STORE, conf, shared_dir
 
-# Far later than any event, so a closing row pushes every watermark past the data.
-CLOSING_TIME = "2999-01-01 00:00:00"
-CLOSING_ID = -1
+# Far later than any event, yet within the nanosecond range of the pandas tasks.
+CLOSING_TIME = "2199-01-01 00:00:00"
+EVENT_TYPES = ("signup", "purchase", "view", "click", "error")
 
 
 def read_events_stream(
@@ -20,24 +22,38 @@ def read_events_stream(
     return reader.format(file_format).load(path)
 
 
-def closing_row(table: DataFrame) -> DataFrame:
-    """One row in the table's schema that closes all windows: id -1, in the far future, other columns null."""
-    known = {"event_id": F.lit(CLOSING_ID), "ts": F.lit(CLOSING_TIME), "event_type": F.lit("view")}
-    columns = [
-        known.get(f.name, F.lit(0) if f.name == "user_id" else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in table.schema.fields
-    ]
-    return table.sparkSession.range(1).select(*columns)
+def closing_rows(table: DataFrame) -> DataFrame:
+    """A row of every event type in the far future, with negative ids: each filtered stream's watermark then passes
+    its data."""
+    number = F.col("id")
+    known = {
+        "event_id": -1 - number,
+        "ts": F.lit(CLOSING_TIME),
+        "user_id": F.lit(0),
+        "event_type": F.element_at(F.array(*[F.lit(t) for t in EVENT_TYPES]), (number + 1).cast("int")),
+    }
+    columns = [known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema.fields]
+    return table.sparkSession.range(len(EVENT_TYPES)).select(*columns)
 
 
 def finite_events_stream(spark: SparkSession, events_path: str, schema: str) -> DataFrame:
-    """A stream of a finished events table followed by one closing row, so nothing waits in state at the end.
+    """A stream of a finished events table followed by closing rows, so nothing waits in state at the end.
 
-    The table is read in place. The closing row is a newer file of its own, and the file source goes by age.
+    The table is read in place: one glob names it and the closing rows' folder, and the file source goes by age.
+    Only when the two lie on different file systems is the table copied next to the closing rows.
     """
     folder = shared_dir(spark)
-    closing_row(spark.read.schema(schema).parquet(events_path)).coalesce(1).write.parquet(folder)
-    return read_events_stream(spark, f"{{{events_path},{folder}}}", schema)
+    table = spark.read.schema(schema).parquet(events_path)
+    closing = f"{folder}/closing"
+    data, end = urlsplit(events_path), urlsplit(closing)
+    if (data.scheme or "file", data.netloc) != (end.scheme or "file", end.netloc):
+        table.write.parquet(f"{folder}/events")
+        path = f"{folder}/*"
+    else:
+        root = f"{data.scheme}://{data.netloc}" if data.scheme else ""
+        path = f"{root}/{{{data.path.lstrip('/')},{end.path.lstrip('/')}}}"
+    closing_rows(table).coalesce(1).write.parquet(closing)
+    return read_events_stream(spark, path, schema)
 
 
 def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
