@@ -512,8 +512,8 @@ FROM validated"""
     sql["discovered_shards"] = f"WITH {DISCOVERED} SELECT * FROM discovered ORDER BY namespace, name, shard_index"
 
     sql["parse_quantity"] = f"""WITH {_quantities()}
-SELECT id, quantity, CAST((CASE sign WHEN '-' THEN -1 ELSE 1 END)
-         * least(CAST(9223372036854775807 AS HUGEINT), (scaled + unit - 1) // unit) AS BIGINT) AS bytes FROM valued
+SELECT id, quantity, CASE WHEN scaled IS NOT NULL THEN CAST((CASE sign WHEN '-' THEN -1 ELSE 1 END)
+         * least(CAST(9223372036854775807 AS HUGEINT), (scaled + unit - 1) // unit) AS BIGINT) END AS bytes FROM valued
 UNION ALL SELECT k, capacity, capacity_bytes FROM buffers"""
 
     sql["align_up"] = f"""WITH {BUFFERS},
