@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ballast.fixed_values import BINARY_SUFFIXES, DECIMAL_SUFFIXES, LONG_MAX
+from ballast.functions.literals import lookup
 
 PATTERN = (
     r"^([+-]?)(?=\.?[0-9])([0-9]*)(?:\.([0-9]*))?"
@@ -13,45 +16,60 @@ PATTERN = (
 )
 
 
-def _lookup(table: dict[str, int], key: Column, sql_type: str) -> Column:
-    entries = [F.lit(x) if i == 0 else F.lit(str(x)).cast(sql_type) for kv in table.items() for i, x in enumerate(kv)]
-    return F.try_element_at(F.create_map(*entries), key)
+def _power_of_ten(exponent: Column) -> Column:
+    return lookup({str(e): 10**e for e in range(19)}, exponent.cast("string"), "decimal(19,0)")
 
 
-def _power_of_ten(exponent: Column) -> Column:
-    return _lookup({str(e): 10**e for e in range(19)}, exponent.cast("string"), "decimal(19,0)")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def parse_quantity(text: Column) -> Column:
-    """Whole bytes of a quantity, fractions rounded away from zero, null when the text is not a quantity.
+def _split(text: Column) -> Column:
+    sign, whole, frac, suffix = (F.regexp_extract(text, PATTERN, g) for g in (1, 2, 3, 4))
+    return F.struct(sign.alias("sign"), whole.alias("whole"), frac.alias("frac"), suffix.alias("suffix"))
 
-    Values beyond the range of a 64-bit integer are held at its limit. All arithmetic is exact decimal; digits past
-    the 18th after the point are not read.
-    """
-    sign, whole_text, frac_text, suffix = (F.regexp_extract(text, PATTERN, g) for g in (1, 2, 3, 4))
-    whole = F.when(whole_text == "", F.lit(0)).otherwise(whole_text.try_cast("decimal(19,0)")).cast("decimal(19,0)")
-    frac = F.concat(F.lit("0."), F.rpad(F.substring(frac_text, 1, 18), 18, "0")).cast("decimal(18,18)")
 
+def _number(part: Column) -> Column:
     ten = F.coalesce(
-        _lookup(DECIMAL_SUFFIXES, suffix, "int"),
-        F.regexp_extract(suffix, "^[eE]([+-]?[0-9]+)$", 1).try_cast("int"),
+        lookup(DECIMAL_SUFFIXES, part["suffix"], "int"),
+        F.regexp_extract(part["suffix"], "^[eE]([+-]?[0-9]+)$", 1).try_cast("int"),
     )
-    unit = F.coalesce(
-        _lookup({s: 1024**p for s, p in BINARY_SUFFIXES.items()}, suffix, "decimal(19,0)"), _power_of_ten(ten)
+    digits = F.when(part["whole"] == "", F.lit("0")).otherwise(part["whole"])
+    frac = F.concat(F.lit("0."), F.rpad(F.substring(part["frac"], 1, 18), 18, "0"))
+    return F.struct(
+        part["sign"].alias("sign"),
+        digits.try_cast("decimal(19,0)").alias("whole"),
+        frac.cast("decimal(18,18)").alias("frac"),
+        lookup({s: 1024**p for s, p in BINARY_SUFFIXES.items()}, part["suffix"], "decimal(19,0)").alias("binary"),
+        ten.alias("ten"),
     )
-    divisor = _power_of_ten(-ten)
-    nonzero = F.coalesce((whole > 0) | (frac > 0), F.lit(True))
-
-    scaled_up = (whole * unit).cast("decimal(38,0)") + F.ceil(frac * unit).cast("decimal(38,0)")
-    scaled_down = (
-        (whole - whole % divisor) / divisor
-        + F.when((whole % divisor > 0) | (frac > 0), F.lit(1)).otherwise(F.lit(0))
-    ).cast("decimal(38,0)")
-    limit = F.lit(str(LONG_MAX)).cast("decimal(38,0)")
-    size = F.when(~nonzero, F.lit(0).cast("decimal(38,0)")).otherwise(
-        F.when(F.coalesce(ten, F.lit(0)) >= 0, F.coalesce(scaled_up, limit)).otherwise(
-            F.coalesce(scaled_down, F.when(whole.isNotNull(), F.lit(1).cast("decimal(38,0)")), limit)
-        )
+
+
+def _bytes(number: Column) -> Column:
+    whole, frac, ten = number["whole"], number["frac"], number["ten"]
+    zero, one, limit = (F.lit(str(v)).cast("decimal(38,0)") for v in (0, 1, LONG_MAX))
+
+    def scaled_up(unit: Column) -> Column:
+        return (whole * unit).cast("decimal(38,0)") + F.ceil(frac * unit).cast("decimal(38,0)")
+
+    def scaled_down(divisor: Column) -> Column:
+        rest = whole % divisor
+        return ((whole - rest) / divisor).cast("decimal(38,0)") + F.when((rest > 0) | (frac > 0), one).otherwise(zero)
+
+    up = F.coalesce(_let(F.coalesce(number["binary"], _power_of_ten(ten)), scaled_up), limit)
+    down = F.coalesce(_let(_power_of_ten(-ten), scaled_down), F.when(whole.isNotNull(), one), limit)
+    size = F.when((whole == 0) & (frac == 0), zero).otherwise(
+        F.when(F.coalesce(ten, F.lit(0)) >= 0, up).otherwise(down)
     )
     bounded = F.least(size, limit).cast("bigint")
-    return F.when(text.rlike(PATTERN), F.when(sign == "-", -bounded).otherwise(bounded))
+    return F.when(number["sign"] == "-", -bounded).otherwise(bounded)
+
+
+def parse_quantity(text: Column) -> Column:
+    """Whole bytes of a quantity, fractions rounded away from zero, null when the text is not a quantity.
+
+    Values beyond the range of a 64-bit integer are held at its limit. All arithmetic is exact decimal; digits past
+    the 18th after the point are not read.
+    """
+    return F.when(text.rlike(PATTERN), _let(_split(text), lambda part: _let(_number(part), _bytes)))

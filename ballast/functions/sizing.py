@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ballast.fixed_values import BUFFER_HEADROOM, DEFAULT_GRANULE, DEFAULT_STAGE_BYTES, ITEM_SIZES
+from ballast.functions.literals import lookup
 from ballast.functions.naming import is_sharded
 
 
 def itemsize(dtype: Column) -> Column:
-    sizes = F.create_map(*[F.lit(x) for kv in ITEM_SIZES.items() for x in kv])
-    return F.try_element_at(sizes, dtype)
+    """Bytes per element; null for an unknown dtype."""
+    return lookup(ITEM_SIZES, dtype, "int")
 
 
 def numel(shape: Column) -> Column:

@@ -18,23 +18,20 @@ from ballast.fixed_values import (
     SHARD_FILE_FORMAT,
     SHARD_MARK,
 )
+from ballast.functions.literals import map_sql
 from ballast.functions.quantity import PATTERN
 
 
-def _sql_map(table: dict[str, object], sql_type: str) -> str:
-    return "map(" + ", ".join(f"'{k}', cast('{v}' as {sql_type})" for k, v in table.items()) + ")"
-
-
 def _quantity_sql() -> str:
     part = [f"regexp_extract(s, r'{PATTERN}', {g})" for g in range(5)]
     whole = f"try_cast(if({part[2]} = '', '0', {part[2]}) as decimal(19,0))"
     frac = f"cast(concat('0.', rpad(substring({part[3]}, 1, 18), 18, '0')) as decimal(18,18))"
-    tens = _sql_map({str(e): 10**e for e in range(19)}, "decimal(19,0)")
+    tens = map_sql({str(e): 10**e for e in range(19)}, "decimal(19,0)")
     ten = (
-        f"coalesce(try_element_at({_sql_map(DECIMAL_SUFFIXES, 'int')}, {part[4]}), "
+        f"coalesce(try_element_at({map_sql(DECIMAL_SUFFIXES, 'int')}, {part[4]}), "
         f"try_cast(regexp_extract({part[4]}, '^[eE]([+-]?[0-9]+)$', 1) as int))"
     )
-    binary = _sql_map({k: 1024**p for k, p in BINARY_SUFFIXES.items()}, "decimal(19,0)")
+    binary = map_sql({k: 1024**p for k, p in BINARY_SUFFIXES.items()}, "decimal(19,0)")
     unit = f"coalesce(try_element_at({binary}, {part[4]}), try_element_at({tens}, cast({ten} as string)))"
     div = f"try_element_at({tens}, cast(-({ten}) as string))"
     limit = f"cast('{LONG_MAX}' as decimal(38,0))"
@@ -89,8 +86,8 @@ def definitions() -> dict[str, str]:
             f"case when {sharded} then coalesce(case when g > 0 then i % g end, 0) else 0 end"
         ),
         "split_shards(total BIGINT, n INT) RETURNS TABLE(shard_index INT, offset_bytes BIGINT, size_bytes BIGINT)": (
-            "select i, i * (total div n) + least(cast(i as bigint), total % n), "
-            "total div n + if(i < total % n, 1, 0) "
+            "select i, i * (total div nullif(n, 0)) + least(cast(i as bigint), total % nullif(n, 0)), "
+            "total div nullif(n, 0) + if(i < total % nullif(n, 0), 1, 0) "
             "from explode(case when n > 0 then sequence(0, n - 1) end) as t(i)"
         ),
     }

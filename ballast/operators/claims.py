@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from ballast.fixed_values import DEVICE_CLASS, MSG_FOUND, MSG_NO_RANK, MSG_NOT_DISCOVERED, MSG_NOT_FOUND
 from ballast.functions import parse_quantity, shard_from_annotations
+from ballast.operators.skew import hot_keys, join_hot, join_spread
 
-# Joins here carry no broadcast hints: the planner compares the measured size of a side with its own limit, and a
-# claim table that leans on one buffer is split at run time by adaptive skew handling.
+# Joins here carry no broadcast hints, since buffers and claims both grow with the fleet: the planner compares the
+# measured size of a side with its own limit. Rows that lean on one buffer or node are spread over tasks.
 
+BUFFER_KEY = ("namespace", "buffer_name")
 
-def _found(claims: DataFrame, buffers: DataFrame) -> DataFrame:
+
+def _found(claims: DataFrame, buffers: DataFrame, hot: DataFrame | None) -> DataFrame:
     side = buffers.withColumnsRenamed({c: f"_b_{c}" for c in buffers.columns if c != "namespace"})
     side = side.withColumnRenamed("_b_name", "buffer_name").withColumn("_hit", F.lit(True))
-    return claims.join(side, ["namespace", "buffer_name"], "left").withColumn(
+    return join_spread(claims, side, BUFFER_KEY, hot).withColumn(
         "found", F.coalesce(F.col("_hit"), F.lit(False))
     )
 
 
 def resolve_claims(claims: DataFrame, buffers: DataFrame) -> DataFrame:
     """Does each claim's buffer exist in the claim's own namespace?"""
-    out = _found(claims, buffers.select("namespace", "name"))
+    out = _found(claims, buffers.select("namespace", "name"), hot_keys(claims, BUFFER_KEY))
     return out.withColumns(
         {
             "reason": F.when(F.col("found"), F.lit("BufferFound")).otherwise(F.lit("BufferNotFound")),
@@ -41,7 +44,8 @@ def resolve_shards(claims: DataFrame, validated: DataFrame, shards: DataFrame) -
     c = F.col
     index = F.coalesce(c("shard_index").cast("bigint"), shard_from_annotations(c("annotations")))
     sharded = c("found") & F.coalesce(c("_b_sharded"), F.lit(False))
-    claimed = _found(claims, buffers).withColumn("_index", F.when(sharded, index))
+    hot = hot_keys(claims, BUFFER_KEY)
+    claimed = _found(claims, buffers, hot).withColumn("_index", F.when(sharded, index))
     error = (
         F.when(~sharded, F.lit(None).cast("string"))
         .when(c("_b_total_shards") <= 0, F.lit(MSG_NOT_DISCOVERED))
@@ -61,7 +65,7 @@ def resolve_shards(claims: DataFrame, validated: DataFrame, shards: DataFrame) -
         F.col("path").alias("_path"),
         F.col("size_bytes").alias("_size"),
     )
-    joined = claimed.join(rows, ["namespace", "buffer_name", "assigned_index"], "left")
+    joined = join_spread(claimed, rows, [*BUFFER_KEY, "assigned_index"], hot)
     path = F.when(usable, F.coalesce("_path", "_b_source_path"))
     size = F.when(usable, F.coalesce("_size", F.lit(0).cast("bigint")))
     assigned = F.format_string(
@@ -99,7 +103,7 @@ def staging_requests(
     ``use_assigned`` reads ``assigned_index`` as well. Sizes are whole quotients, 0 when the capacity is unreadable.
     """
     by_uid = resource_claims.select("namespace", "uid", F.col("name").alias("_rc_name"))
-    named = requests.join(by_uid, ["namespace", "uid"], "left").withColumn(
+    named = join_hot(requests, by_uid, ["namespace", "uid"]).withColumn(
         "claim", F.coalesce("_rc_name", "name")
     )
     index = F.coalesce("shard_index", "assigned_index") if use_assigned else F.col("shard_index")
@@ -116,7 +120,11 @@ def staging_requests(
         parse_quantity(F.col("capacity")).alias("_bytes"),
         F.coalesce(F.col("sharding.num_shards"), F.lit(0)).alias("_total"),
     )
-    joined = named.join(by_name, ["namespace", "claim"], "left").join(sized, ["namespace", "buffer"], "left")
+    hot = hot_keys(claims, BUFFER_KEY)
+    hot = hot.withColumnRenamed("buffer_name", "buffer") if hot is not None else None
+    joined = join_spread(
+        named.join(by_name, ["namespace", "claim"], "left"), sized, ["namespace", "buffer"], hot
+    )
     joined = joined.withColumn("total_shards", F.coalesce("_total", F.lit(0)))
     share = F.when(F.col("total_shards") > 0, F.expr("_bytes div cast(nullif(total_shards, 0) as bigint)")).otherwise(
         F.col("_bytes")
@@ -131,9 +139,12 @@ def staging_requests(
     ).drop("_rc_name", "_index", "_bytes", "_total", "name")
 
 
-def over_capacity(staging: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Admission of each staging request: rejected when one device of its node is known to be too small."""
-    joined = staging.join(nodes.select("node", "memory_bytes"), "node", "left")
+def over_capacity(staging: DataFrame, nodes: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Admission of each staging request: rejected when one device of its node is known to be too small.
+
+    ``hot``, from ``hot_keys`` over the requests' nodes, spreads nodes that get a large share of all requests.
+    """
+    joined = join_spread(staging, nodes.select("node", "memory_bytes"), ["node"], hot)
     too_big = F.col("memory_bytes").isNotNull() & (F.col("size_bytes") > F.col("memory_bytes"))
     return joined.withColumn("verdict", F.when(too_big, F.lit("REJECT")).otherwise(F.lit("ADMIT")))
 

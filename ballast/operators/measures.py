@@ -36,7 +36,7 @@ def latency_summary(iterations: DataFrame, warmup: int = WARMUP_ITERATIONS, **bl
         ),
     )
     rows = measured.select("run", F.inline(samples)).where(F.col("value").isNotNull())
-    stats = distribution_summary(rows, ["run", "phase"], F.col("value"))
+    stats = distribution_summary(rows, ["run", "phase"], F.col("value"), rows=2 * iterations.count())
     scale = F.when(F.col("phase") == BANDWIDTH, F.lit(1.0)).otherwise(F.lit(1000.0))
     shown = {c: F.col(c) * scale for c in ("mean", "median", "p95", "min", "max", "stddev")}
     return stats.withColumns(shown).withColumn("p50", F.col("median"))

@@ -7,76 +7,84 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Sketch size; also the group size up to which every value is kept as a candidate.
+# Sketch size.
 ACCURACY = 20000
+# A group is large above this many values and above one part in MOST_LARGE_GROUPS of all, which bounds their number.
+LARGE_GROUP = 1 << 20
+MOST_LARGE_GROUPS = 10000
 
 
-def distribution_summary(df: DataFrame, keys: Sequence[str], value: Column, accuracy: int = ACCURACY) -> DataFrame:
+def distribution_summary(
+    df: DataFrame, keys: Sequence[str], value: Column, rows: int | None = None, accuracy: int = ACCURACY
+) -> DataFrame:
     """n, mean, median, p95, min, max and sample deviation of ``value`` per key.
 
     p95 is the value at 0-based place ``int(n * 0.95)`` of the sorted values, or the maximum below 20 values; the
-    deviation of a single value is 0. Both order statistics are exact, and no group is ever gathered: a first pass
-    brackets each wanted place with a bounded sketch, a second one counts what lies outside the brackets and sorts
-    only the few distinct values inside. The brackets are four times as wide as the sketch's guaranteed error.
+    deviation of a single value is 0. Both order statistics are exact, and no large group is ever gathered. A first
+    pass brackets the wanted places of large groups with sketches of fixed size. A second one counts what lies outside
+    the brackets and keeps only the distinct values inside. The brackets are four times as wide as the sketch's
+    guaranteed error. Brackets are broadcast: there are at most ``MOST_LARGE_GROUPS`` of them. ``rows``, when known, is
+    the number of values or a number above it, and saves counting them.
     """
-    x = df.select(*keys, value.alias("_x")).where(F.col("_x").isNotNull())
+    keys = list(keys)
+    c = F.col
+    x = df.select(*keys, value.alias("_x")).where(c("_x").isNotNull())
     margin = 4.0 / accuracy
-    spots = [max(p + d, 0.0) for p in (0.5, 0.95) for d in (-margin, margin)]
-    profile = x.groupBy(*keys).agg(
+    spots = [p + d for p in (0.5, 0.95) for d in (-margin, margin)]
+    stats = x.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg("_x").alias("mean"),
         F.min("_x").alias("min"),
         F.max("_x").alias("max"),
         F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("stddev"),
-        F.percentile_approx("_x", spots, accuracy).alias("_spots"),
-    )
-    n = F.col("n")
-    large = n > accuracy
-    profile = profile.select(
-        *keys,
-        "n",
-        "mean",
-        "min",
-        "max",
-        "stddev",
-        F.when(large, F.col("_spots")[0]).otherwise(F.col("min")).alias("_lo1"),
-        F.when(large, F.col("_spots")[1]).otherwise(F.col("max")).alias("_hi1"),
-        F.when(large, F.col("_spots")[2]).otherwise(F.col("min")).alias("_lo2"),
-        F.when(large, F.col("_spots")[3]).otherwise(F.col("max")).alias("_hi2"),
-        F.floor((n - 1) / 2).alias("_k1"),
-        F.floor(n / 2).alias("_k2"),
-        F.when(n >= 20, (n * F.lit(0.95)).cast("bigint")).otherwise(n - 1).alias("_k3"),
     )
-    stats = ["n", "mean", "min", "max", "stddev", "_k1", "_k2", "_k3"]
-    c = F.col
-    inside = c("_x").between(c("_lo1"), c("_hi1")) | c("_x").between(c("_lo2"), c("_hi2"))
-    counted = (
-        x.join(profile.select(*keys, "_lo1", "_hi1", "_lo2", "_hi2"), list(keys))
-        .select(
-            *keys,
-            ((c("_hi1") < c("_x")).cast("int") + (c("_hi2") < c("_x")).cast("int")).alias("_part"),
-            F.when(inside, c("_x")).alias("_v"),
+    brackets = _large_brackets(x, keys, spots, x.count() if rows is None else rows, accuracy)
+    if brackets is None:
+        counted = x.select(*keys, F.lit(0).alias("_part"), c("_x").alias("_v"))
+    else:
+        inside = c("_lo1").isNull() | c("_x").between(c("_lo1"), c("_hi1")) | c("_x").between(c("_lo2"), c("_hi2"))
+        part = (c("_hi1") < c("_x")).cast("int") + (c("_hi2") < c("_x")).cast("int")
+        counted = x.join(F.broadcast(brackets), keys, "left").select(
+            *keys, F.coalesce(part, F.lit(0)).alias("_part"), F.when(inside, c("_x")).alias("_v")
         )
-        .groupBy(*keys, "_part", "_v")
-        .agg(F.count("*").alias("_c"))
+    counted = counted.groupBy(*keys, "_part", "_v").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys).orderBy(c("_part"), c("_v").asc_nulls_first())
+    placed = counted.withColumns(
+        {
+            "_end": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "_n": F.sum("_c").over(Window.partitionBy(*keys)),
+        }
     )
-    w = Window.partitionBy(*keys).orderBy(F.col("_part"), F.col("_v").asc_nulls_first())
-    placed = counted.withColumn("_end", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ranked = placed.join(profile.select(*keys, *stats), list(keys))
 
-    def at(rank: str) -> Column:
-        hit = (c("_end") - c("_c") <= c(rank)) & (c(rank) < c("_end"))
-        return F.max(F.when(hit, c("_v")))
+    def at(rank: Column) -> Column:
+        return F.max(F.when((c("_end") - c("_c") <= rank) & (rank < c("_end")), c("_v")))
 
-    picked = ranked.groupBy(*keys, *stats[:5]).agg(at("_k1").alias("_m1"), at("_k2").alias("_m2"), at("_k3").alias("p95"))
-    sure = F.coalesce(F.col("p95"), F.raise_error(F.lit("place outside its bracket")).cast("double"))
-    return picked.select(
+    n = c("_n")
+    tail = F.when(n >= 20, (n * F.lit(0.95)).cast("bigint")).otherwise(n - 1)
+    picked = placed.groupBy(*keys).agg(
+        at(F.floor((n - 1) / 2)).alias("_m1"), at(F.floor(n / 2)).alias("_m2"), at(tail).alias("_p95")
+    )
+    missed = F.raise_error(F.lit("a place lies outside its bracket")).cast("double")
+    return picked.join(stats, keys).select(
         *keys,
         "n",
         "mean",
-        ((c("_m1") + c("_m2")) / 2).alias("median"),
-        sure.alias("p95"),
+        F.coalesce((c("_m1") + c("_m2")) / 2, missed).alias("median"),
+        F.coalesce("_p95", missed).alias("p95"),
         "min",
         "max",
         "stddev",
     )
+
+
+def _large_brackets(
+    x: DataFrame, keys: list[str], spots: list[float], total: int, accuracy: int
+) -> DataFrame | None:
+    """Value ranges around the wanted places of every large group; None when no group can be large."""
+    if total <= LARGE_GROUP:
+        return None
+    limit = max(LARGE_GROUP, total // MOST_LARGE_GROUPS)
+    sketched = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", spots, accuracy).alias("_s"))
+    names = ("_lo1", "_hi1", "_lo2", "_hi2")
+    ranges = [F.col("_s")[i].alias(name) for i, name in enumerate(names)]
+    return sketched.where(F.col("_n") > limit).select(*keys, *ranges)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ballast.fixed_values import ITEM_SIZES, MIB
+from ballast.functions import itemsize
 from ballast.operators.catalog import pack_offsets
 
 CHUNK_BYTES = 4 * MIB
@@ -185,9 +186,7 @@ def typed_view(payloads: DataFrame) -> DataFrame:
     """Add ``values``, the payload's little-endian floats of ``dtype``, or an ``error`` when the bytes do not fit."""
     size = F.octet_length("payload")
     floats = F.col("dtype").isin("F16", "BF16", "F32", "F64", "float16", "bfloat16", "float32", "float64")
-    width = F.try_element_at(
-        F.create_map(*[F.lit(x) for kv in ITEM_SIZES.items() for x in kv]), F.col("dtype")
-    )
+    width = itemsize(F.col("dtype"))
     error = F.when(~F.coalesce(floats, F.lit(False)), F.lit("not a float dtype")).when(
         size % width != 0, F.format_string("%d bytes is not a multiple of %d", size, width)
     )

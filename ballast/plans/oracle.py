@@ -1,4 +1,8 @@
-"""The registered queries in plain SQL, written straight from their definitions over the same tables."""
+"""The registered queries in plain SQL, written straight from their definitions over the same tables.
+
+Both sides shift measured values by 1e-9 before rounding them to six places: means of short decimals often end exactly
+on a 5, where the order of a floating-point sum would decide the last digit.
+"""
 
 from __future__ import annotations
 
@@ -487,7 +491,7 @@ l2 AS (SELECT buffer_id, pos // 4096 AS pos, sha256(string_agg(hex, '' ORDER BY
 SELECT buffer_id, sha256(string_agg(hex, '' ORDER BY pos)) AS digest FROM l2 GROUP BY buffer_id"""
 
     sql["tensor_stats"] = """SELECT 'emb-' || label AS buffer_id, vec_id AS ordinal, CAST(len(embedding) AS BIGINT) AS elements,
-       true AS all_finite, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding), 6) AS mean,
+       true AS all_finite, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) / len(embedding) + 1e-9, 6) AS mean,
        array_to_string(list_transform(embedding[1:10], lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)), ',') AS "first"
 FROM embeddings"""
 
@@ -496,7 +500,7 @@ SELECT h.buffer_id, h.ordinal,
        CASE WHEN nbytes % 2 <> 0 THEN nbytes || ' bytes is not a multiple of 2' END AS error,
        CASE WHEN nbytes % 2 = 0 THEN CAST(coalesce(elements, 0) AS INTEGER) END AS elements,
        CASE WHEN nbytes % 2 = 0 THEN CAST(coalesce(finite, 0) AS INTEGER) END AS finite,
-       round(total / finite, 6) AS mean
+       round(total / finite + 1e-9, 6) AS mean
 FROM halves h LEFT JOIN sums s ON h.buffer_id = s.buffer_id AND h.ordinal = s.ordinal"""
 
     sql["validate_buffers"] = f"""WITH {VALIDATED}
@@ -624,22 +628,22 @@ samples AS (
   WHERE iter >= 3 AND phase = 'total' AND seconds > 0),
 sorted AS (SELECT run, phase, scale, list(v ORDER BY v) AS vs, count(*) AS n, avg(v) AS m, median(v) AS med,
                   min(v) AS lo, max(v) AS hi, coalesce(stddev_samp(v), 0) AS sd FROM samples GROUP BY run, phase, scale)
-SELECT run, phase, n, round(m * scale, 6) AS mean, round(med * scale, 6) AS median, round(med * scale, 6) AS p50,
-       round(CASE WHEN n >= 20 THEN vs[CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) + 1] ELSE hi END * scale, 6) AS p95,
-       round(lo * scale, 6) AS min, round(hi * scale, 6) AS max, round(sd * scale, 6) AS stddev
+SELECT run, phase, n, round(m * scale + 1e-9, 6) AS mean, round(med * scale + 1e-9, 6) AS median, round(med * scale + 1e-9, 6) AS p50,
+       round(CASE WHEN n >= 20 THEN vs[CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT) + 1] ELSE hi END * scale + 1e-9, 6) AS p95,
+       round(lo * scale + 1e-9, 6) AS min, round(hi * scale + 1e-9, 6) AS max, round(sd * scale + 1e-9, 6) AS stddev
 FROM sorted"""
 
     sql["mean_transfer"] = f"""WITH {TRANSFERS}
-SELECT run, count(*) AS n, round(sum(seconds), 6) AS wall_seconds, round(sum(seconds) / count(*), 6) AS mean_seconds,
-       round(sum(bytes) / CAST(1073741824 AS DOUBLE) / nullif(sum(seconds), 0), 6) AS gbps
+SELECT run, count(*) AS n, round(sum(seconds) + 1e-9, 6) AS wall_seconds, round(sum(seconds) / count(*) + 1e-9, 6) AS mean_seconds,
+       round(sum(bytes) / CAST(1073741824 AS DOUBLE) / nullif(sum(seconds), 0) + 1e-9, 6) AS gbps
 FROM numbered WHERE iter >= 5 GROUP BY run"""
 
     sql["concurrent_streams"] = f"""WITH {TRANSFERS}
-SELECT run, count(*) AS streams, round(avg(seconds), 6) AS avg_seconds, round(max(seconds), 6) AS max_seconds,
-       round(sum(bytes) / CAST(1073741824 AS DOUBLE), 6) AS total_gib,
-       round(sum(bytes) / CAST(1073741824 AS DOUBLE) / nullif(max(seconds), 0), 6) AS aggregate_gbps,
-       round(sum(bytes) / CAST(1073741824 AS DOUBLE) / count(*) / nullif(avg(seconds), 0), 6) AS per_stream_gbps,
-       round(max(seconds) - min(seconds), 6) AS spread_seconds,
+SELECT run, count(*) AS streams, round(avg(seconds) + 1e-9, 6) AS avg_seconds, round(max(seconds) + 1e-9, 6) AS max_seconds,
+       round(sum(bytes) / CAST(1073741824 AS DOUBLE) + 1e-9, 6) AS total_gib,
+       round(sum(bytes) / CAST(1073741824 AS DOUBLE) / nullif(max(seconds), 0) + 1e-9, 6) AS aggregate_gbps,
+       round(sum(bytes) / CAST(1073741824 AS DOUBLE) / count(*) / nullif(avg(seconds), 0) + 1e-9, 6) AS per_stream_gbps,
+       round(max(seconds) - min(seconds) + 1e-9, 6) AS spread_seconds,
        first(seq ORDER BY seconds, seq) AS fastest, last(seq ORDER BY seconds, seq) AS slowest
 FROM transfers GROUP BY run"""
 
@@ -651,9 +655,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seconds DESC, seq)
 moved AS (SELECT *, CASE WHEN shard_length > 0 THEN shard_length ELSE bytes END AS received_bytes,
                  CASE WHEN mode = 'SCATTER' THEN 7 * (bytes // 8) ELSE bytes END AS sent_bytes FROM transfers)
 SELECT seq, mode, received_bytes, bytes AS logged_bytes, sent_bytes,
-       CASE WHEN seconds > 0 THEN round(received_bytes / CAST(1073741824 AS DOUBLE) / seconds, 6) ELSE 0 END AS received_gbps,
-       CASE WHEN seconds > 0 THEN round(bytes / CAST(1073741824 AS DOUBLE) / seconds, 6) ELSE 0 END AS logged_gbps,
-       CASE WHEN seconds > 0 THEN round(received_bytes / CAST(1073741824 AS DOUBLE) / seconds / 50 * 100, 6) ELSE 0 END AS pct_of_line
+       CASE WHEN seconds > 0 THEN round(received_bytes / CAST(1073741824 AS DOUBLE) / seconds + 1e-9, 6) ELSE 0 END AS received_gbps,
+       CASE WHEN seconds > 0 THEN round(bytes / CAST(1073741824 AS DOUBLE) / seconds + 1e-9, 6) ELSE 0 END AS logged_gbps,
+       CASE WHEN seconds > 0 THEN round(received_bytes / CAST(1073741824 AS DOUBLE) / seconds / 50 * 100 + 1e-9, 6) ELSE 0 END AS pct_of_line
 FROM moved"""
 
     sql["log_parse"] = """WITH lines AS (

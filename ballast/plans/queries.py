@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
@@ -23,6 +23,7 @@ from ballast.operators import (
     shards,
     signals as sig,
 )
+from ballast.operators.skew import hot_keys
 from ballast.plans import relations as rel
 from ballast.schemas import EVENTS
 from ballast.sources import logs, update_info
@@ -64,6 +65,11 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run.finite_events_stream(spark, f"{sf_dir}/events.parquet", EVENTS)
 
 
+def _six_places(value: Column) -> Column:
+    """Six decimals, shifted off exact halves so that the order of a sum cannot decide the last digit."""
+    return F.round(value + 1e-9, 6)
+
+
 def _shape_text(df: DataFrame) -> DataFrame:
     return df.withColumn("shape", F.array_join(F.col("shape").cast("array<string>"), "x"))
 
@@ -210,7 +216,7 @@ def buffer_digests(spark, sf_dir):
 def _stats_text(stats: DataFrame) -> DataFrame:
     return stats.withColumns(
         {
-            "mean": F.round("mean", 6),
+            "mean": _six_places(F.col("mean")),
             "first": F.array_join(F.transform("first", lambda x: F.round(x.cast("double") * 1000).cast("bigint").cast("string")), ","),
         }
     )
@@ -226,7 +232,7 @@ def typed_view_stats(spark, sf_dir):
     """Document bytes read as half floats, an error where their number is odd."""
     typed = payload.typed_view(rel.documents(spark, sf_dir).withColumn("dtype", F.lit("F16")))
     profile = payload.value_profile(typed)
-    mean = F.round(F.try_divide(F.col("total"), F.col("finite")), 6)
+    mean = _six_places(F.try_divide(F.col("total"), F.col("finite")))
     return profile.select("buffer_id", "ordinal", "error", "elements", "finite", mean.alias("mean"))
 
 
@@ -295,9 +301,8 @@ def _resolved(spark, sf_dir):
 
 def _staging(spark, sf_dir):
     claims = rel.claims(spark, sf_dir)
-    return clm.staging_requests(
-        rel.staging(spark, sf_dir, claims), rel.resource_claims(claims), claims, rel.buffers(spark, sf_dir)
-    )
+    requests = rel.staging(spark, sf_dir, claims)
+    return clm.staging_requests(requests, rel.resource_claims(claims), claims, rel.buffers(spark, sf_dir))
 
 
 @query
@@ -327,7 +332,8 @@ def staging_requests(spark, sf_dir):
 @query
 def over_capacity(spark, sf_dir):
     nodes = inv.node_memory(inv.parse_inventory(rel.inventory_reports(spark, sf_dir)))
-    return clm.over_capacity(_staging(spark, sf_dir), nodes).select(
+    hot = hot_keys(rel.staging(spark, sf_dir, rel.claims(spark, sf_dir)), ["node"])
+    return clm.over_capacity(_staging(spark, sf_dir), nodes, hot).select(
         "namespace", "claim", "node", "size_bytes", "memory_bytes", "verdict"
     )
 
@@ -388,7 +394,7 @@ def dedupe_staging(spark, sf_dir):
 
 @query
 def stream_ledger(spark, sf_dir):
-    lifecycle = rel.lifecycle(_event_stream(spark, sf_dir)).where(F.col("seq") >= 0)
+    lifecycle = rel.lifecycle(run.read_events_stream(spark, f"{sf_dir}/events.parquet", EVENTS))
     return run.run_available(ledger.allocation_ledger(lifecycle)).where(~F.col("late")).select(*LEDGER_COLUMNS)
 
 
@@ -457,7 +463,7 @@ def stream_step_sessions(spark, sf_dir):
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: _six_places(F.col(c)) for c in columns})
 
 
 @query
@@ -546,5 +552,5 @@ def condition_transitions(spark, sf_dir):
 
 @query
 def stream_conditions(spark, sf_dir):
-    updates = rel.condition_updates(_event_stream(spark, sf_dir)).where(F.col("seq") >= 0)
+    updates = rel.condition_updates(run.read_events_stream(spark, f"{sf_dir}/events.parquet", EVENTS))
     return ledger.upsert_stream(updates, list(conditions.KEYS), "seq")

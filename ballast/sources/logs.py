@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed format of the two log lines that report a finished transfer.
 TRANSFER_LINE = (
-    r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - (\w+) - "
-    r"(Target|Source) NCCL (BROADCAST|SCATTER) (?:recv )?complete in (\d+\.\d+)s\. Bandwidth: (\d+\.\d+) GB/s\s*$"
+    r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3} - \w+ - "
+    r"(?:Target|Source) NCCL (?:BROADCAST|SCATTER) (?:recv )?complete in \d+\.\d+s\. Bandwidth: \d+\.\d+ GB/s\s*$"
 )
 
 
 def parse_transfer_log(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(ts, level, role, mode, seconds, gbps) of every transfer line; other lines are dropped."""
-    part = [F.regexp_extract(column, TRANSFER_LINE, g) for g in range(8)]
-    stamp = F.to_timestamp(F.concat(part[1], F.lit("."), part[2]), "yyyy-MM-dd HH:mm:ss.SSS")
-    return lines.where(F.col(column).rlike(TRANSFER_LINE)).select(
+    """(ts, level, role, mode, seconds, gbps) of every transfer line; other lines are dropped.
+
+    The pattern is matched once per line; a line that fits has its fields at fixed words.
+    """
+    fitting = lines.where(F.col(column).rlike(TRANSFER_LINE))
+    fields = fitting.select(F.split(F.rtrim(F.col(column)), " ").alias("_w"))
+
+    def word(at: int) -> Column:
+        return F.element_at("_w", at)
+
+    stamp = F.to_timestamp(F.concat(word(1), F.lit(" "), word(2)), "yyyy-MM-dd HH:mm:ss,SSS")
+    return fields.select(
         stamp.alias("ts"),
-        part[3].alias("level"),
-        part[4].alias("role"),
-        part[5].alias("mode"),
-        part[6].cast("double").alias("seconds"),
-        part[7].cast("double").alias("gbps"),
+        word(4).alias("level"),
+        word(6).alias("role"),
+        word(8).alias("mode"),
+        F.regexp_replace(word(-4), "s[.]$", "").cast("double").alias("seconds"),
+        word(-2).cast("double").alias("gbps"),
     )
 
 

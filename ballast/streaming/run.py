@@ -17,7 +17,10 @@ EVENT_TYPES = ("signup", "purchase", "view", "click", "error")
 def read_events_stream(
     spark: SparkSession, path: str, schema: str, file_format: str = "parquet", files_per_batch: int = 1000
 ) -> DataFrame:
-    """Event files under ``path`` as an unbounded source."""
+    """Event files under ``path`` as an unbounded source. A plain path is made a glob, so it may be a single file."""
+    if not set("{[*?") & set(path):
+        parent, name = path.rstrip("/").rsplit("/", 1)
+        path = f"{parent}/{{{name}}}"
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     return reader.format(file_format).load(path)
 

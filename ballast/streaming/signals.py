@@ -6,7 +6,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,13 +17,25 @@ TIMEOUTS = "buffer_id string, seq bigint, started_us bigint, outcome string"
 
 
 def ready_with_metadata(signals: DataFrame, delay: str, timeout: int = READY_TIMEOUT_SECONDS) -> DataFrame:
-    """Each READY with the offset table it goes with, whichever came first; unmatched ones once time has passed."""
-    ready = signals.where(F.col("signal") == READY).select("buffer_id", "seq", F.col("ts").alias("ready_at"))
+    """Each READY with the offset table it goes with, whichever came first; unmatched ones once time has passed.
+
+    The join key holds a time bin as wide as the limit besides the buffer. A READY looks into its own bin and the two
+    beside it, so a row meets only rows near it in time and a busy buffer is spread over its bins; the aggregate then
+    folds the three looks into one row.
+    """
+
+    def bin_of(ts: Column) -> Column:
+        return F.floor(micros(ts) / F.lit(timeout * 1_000_000)).cast("bigint")
+
+    around = F.explode(F.array(*[bin_of(F.col("ts")) + d for d in (-1, 0, 1)]))
+    ready = signals.where(F.col("signal") == READY).select(
+        "buffer_id", "seq", F.col("ts").alias("ready_at"), around.alias("bin")
+    )
     meta = signals.where(F.col("signal") == METADATA).select(
-        F.col("buffer_id").alias("meta_buffer"), F.col("ts").alias("meta_at")
+        F.col("buffer_id").alias("meta_buffer"), F.col("ts").alias("meta_at"), bin_of(F.col("ts")).alias("meta_bin")
     )
     near = F.expr(
-        f"buffer_id = meta_buffer and meta_at >= ready_at - interval {timeout} seconds "
+        f"buffer_id = meta_buffer and bin = meta_bin and meta_at >= ready_at - interval {timeout} seconds "
         f"and meta_at <= ready_at + interval {timeout} seconds"
     )
     pairs = ready.withWatermark("ready_at", delay).join(meta.withWatermark("meta_at", delay), near, "left_outer")
