@@ -17,6 +17,7 @@ from ballast.functions.sizing import (
     nbytes,
     numel,
     size_or_default,
+    whole_div,
 )
 
 __all__ = [
@@ -37,4 +38,5 @@ __all__ = [
     "shard_from_annotations",
     "size_or_default",
     "throughput_gbps",
+    "whole_div",
 ]

@@ -10,6 +10,12 @@ from ballast.functions.literals import lookup
 from ballast.functions.naming import is_sharded
 
 
+def whole_div(a: Column, b: Column | int) -> Column:
+    """Integer quotient without a detour over doubles; null for a zero divisor."""
+    divisor = F.lit(b).cast("bigint") if isinstance(b, int) else F.nullif(b.cast("bigint"), F.lit(0).cast("bigint"))
+    return F.call_function("div", a, divisor)
+
+
 def itemsize(dtype: Column) -> Column:
     """Bytes per element; null for an unknown dtype."""
     return lookup(ITEM_SIZES, dtype, "int")

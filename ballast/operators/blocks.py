@@ -1,13 +1,12 @@
 """Ordered scans over groups of any size.
 
 A window function partitioned by a key sends all rows of that key to one task, so a single key holding a third of
-the table would decide the run time of the job. The scans here cut the order axis into at most ``MAX_BLOCKS``
-balanced blocks first. Each (key, block) is scanned by an ordinary window; one small row per (key, block) carries
-what the rows before (or after) that block contribute. Results equal the plain window's.
+the table would decide the run time of the job. Where a key is that large, the scans here cut the order axis into at
+most ``MAX_BLOCKS`` balanced blocks first. Each (key, block) is scanned by an ordinary window; one small row per
+(key, block) carries what the rows before (or after) that block contribute. Results equal the plain window's.
 
-Blocks are found with ``approxQuantile``, whose sketches have a fixed size, and applied with ``Bucketizer``, a
-binary search inside the JVM. A table too small to need splitting gets no block column and the scans fall back to
-plain windows, which cost one shuffle.
+Blocks are cut at quantiles of a sample and applied with ``Bucketizer``, a binary search inside the JVM. A table whose
+largest key fits a task gets no block column, and the scans fall back to plain windows, which cost one shuffle.
 """
 
 from __future__ import annotations
@@ -18,22 +17,39 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BLOCK = 1 << 20
+from ballast.session import written
+
+ROWS_PER_BLOCK = 1 << 21
 MAX_BLOCKS = 4096
+SAMPLES_PER_BLOCK = 200
 BLOCK = "_block"
 _POSITION = "_position"
 
 
 def split_points(
-    df: DataFrame, order: Column, rows_per_block: int = ROWS_PER_BLOCK, max_blocks: int = MAX_BLOCKS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Column,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    max_blocks: int = MAX_BLOCKS,
 ) -> list[float]:
-    """Positions along ``order`` that cut the table into balanced blocks; none for a table of one block."""
-    wanted = min(max_blocks, -(-df.count() // rows_per_block))
-    if wanted <= 1:
+    """Positions along ``order`` that cut the table into balanced blocks; none when no key needs more than one.
+
+    ``keys`` may be coarser than those of the scans to come. Counting keys combines before its shuffle, and only the
+    largest count and the sample's quantiles come to the driver.
+    """
+    total = df.count()
+    if total <= rows_per_block:
         return []
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    if sizes.agg(F.max("_rows")).first()[0] <= rows_per_block:
+        return []
+    wanted = min(max_blocks, -(-total // rows_per_block))
     fractions = [i / wanted for i in range(1, wanted)]
     placed = df.select(order.cast("double").alias(_POSITION))
-    return sorted(set(placed.approxQuantile(_POSITION, fractions, 0.25 / wanted)))
+    share = max(wanted * SAMPLES_PER_BLOCK, 20_000) / total
+    sample = placed.sample(share, seed=7) if share < 1 else placed
+    return sorted(set(sample.approxQuantile(_POSITION, fractions, 0.25 / wanted)))
 
 
 def cut(df: DataFrame, order: Column, points: Sequence[float]) -> DataFrame:
@@ -49,15 +65,20 @@ def cut(df: DataFrame, order: Column, points: Sequence[float]) -> DataFrame:
     return blocked.withColumn(BLOCK, F.col(BLOCK).cast("int")).drop(_POSITION)
 
 
-def with_blocks(df: DataFrame, order: Column, **blocking: int) -> DataFrame:
+def with_blocks(df: DataFrame, keys: Sequence[str], order: Column, **blocking: int) -> DataFrame:
     """Add the block number of each row along ``order``, a numeric column that leads the scans' sort order."""
-    return df if BLOCK in df.columns else cut(df, order, split_points(df, order, **blocking))
+    return df if BLOCK in df.columns else cut(df, order, split_points(df, keys, order, **blocking))
 
 
 def drop_blocks(df: DataFrame) -> DataFrame:
     return df.drop(BLOCK)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Rows ahead of another scan. A table in blocks is read twice by it, so what led here is written down first."""
+    return written(df) if BLOCK in df.columns else df
+
+
 def _carry(df: DataFrame, keys: Sequence[str], per_block: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.join(per_block.select(*keys, BLOCK, *names), [*keys, BLOCK], "left")
 
@@ -111,12 +132,17 @@ def floored_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], delta:
 
 
 def nearest(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Column], after: bool = False
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    values: dict[str, Column],
+    after: bool = False,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """The closest non-null value strictly before (or after) each row, per key, for every entry of ``values``.
 
     Looking forward reverses the sort instead of using a frame that ends at the last row: Spark walks such a frame
-    again for each row.
+    again for each row. ``base`` is the same rows before earlier scans, from which the blocks' edges are cheaper.
     """
 
     def sort(cols: Sequence[str]) -> list[Column]:
@@ -128,7 +154,7 @@ def nearest(
     outer = Window.partitionBy(*keys).orderBy(*sort([BLOCK])).rowsBetween(Window.unboundedPreceding, -1)
     pick = F.min_by if after else F.max_by
     place = F.struct(*order)
-    blocks = df.groupBy(*keys, BLOCK).agg(
+    blocks = (df if base is None else base).groupBy(*keys, BLOCK).agg(
         *[pick(v, F.when(v.isNotNull(), place)).alias(f"_edge_{n}") for n, v in values.items()]
     )
     blocks = blocks.withColumns({f"_edge_{n}": F.last(f"_edge_{n}", ignorenulls=True).over(outer) for n in values})

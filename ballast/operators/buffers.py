@@ -14,7 +14,7 @@ from ballast.fixed_values import (
     MSG_READY,
     QUANTITY_FORMAT,
 )
-from ballast.functions import parse_quantity, shard_file_name
+from ballast.functions import parse_quantity, shard_file_name, whole_div
 from ballast.operators.shards import numbers_below, split_shards
 
 _SHARD = "struct<index:int,path:string,size_bytes:bigint>"
@@ -132,7 +132,7 @@ def discovered_shards(validated: DataFrame) -> DataFrame:
         "shard_index",
         F.col("shard_index").alias("stored_index"),
         shard_file_name(F.col("source_path"), F.col("shard_index"), n).alias("path"),
-        F.coalesce(F.expr("_bytes div cast(total_shards as bigint)"), F.lit(0).cast("bigint")).alias("size_bytes"),
+        F.coalesce(whole_div(F.col("_bytes"), n), F.lit(0).cast("bigint")).alias("size_bytes"),
     )
 
     even = split_shards(

@@ -34,7 +34,7 @@ def pack_offsets(tensors: DataFrame, order: Sequence[str] = ("ordinal",), **bloc
 
     The first order column must be numeric and close to unique within a buffer; it is what large buffers are cut by.
     """
-    blocked = with_blocks(tensors, F.col(order[0]), **blocking)
+    blocked = with_blocks(tensors, ["buffer_id"], F.col(order[0]), **blocking)
     summed = running_sum(
         blocked, ["buffer_id"], order, {"_through": F.col("nbytes"), "_count": F.lit(1).cast("bigint")}
     )

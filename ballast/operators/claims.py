@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.fixed_values import DEVICE_CLASS, MSG_FOUND, MSG_NO_RANK, MSG_NOT_DISCOVERED, MSG_NOT_FOUND
-from ballast.functions import parse_quantity, shard_from_annotations
+from ballast.functions import parse_quantity, shard_from_annotations, whole_div
 from ballast.operators.skew import hot_keys, join_hot, join_spread
 
 # Joins here carry no broadcast hints, since buffers and claims both grow with the fleet: the planner compares the
@@ -126,9 +126,8 @@ def staging_requests(
         named.join(by_name, ["namespace", "claim"], "left"), sized, ["namespace", "buffer"], hot
     )
     joined = joined.withColumn("total_shards", F.coalesce("_total", F.lit(0)))
-    share = F.when(F.col("total_shards") > 0, F.expr("_bytes div cast(nullif(total_shards, 0) as bigint)")).otherwise(
-        F.col("_bytes")
-    )
+    total, size = F.col("total_shards"), F.col("_bytes")
+    share = F.when(total > 0, whole_div(size, total)).otherwise(size)
     return joined.withColumns(
         {
             "buffer": F.coalesce("buffer", F.lit("")),

@@ -16,7 +16,7 @@ STICKY = ("Validated",)
 
 def condition_transitions(updates: DataFrame, **blocking: int) -> DataFrame:
     """Updates whose status differs from the one before, per object and condition type."""
-    rows = with_blocks(updates, F.col("seq"), **blocking)
+    rows = with_blocks(updates, list(KEYS), F.col("seq"), **blocking)
     rows = nearest(rows, list(KEYS), ["seq"], {"_prev": F.struct("status")})
     first = F.col("_prev").isNull()
     changed = first | ~F.col("status").eqNullSafe(F.col("_prev.status"))

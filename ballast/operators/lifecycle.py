@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.functions import align_up, effective_buffer_id, gpu_for_shard, size_or_default
-from ballast.operators.blocks import drop_blocks, floored_sum, nearest, with_blocks
+from ballast.operators.blocks import drop_blocks, floored_sum, nearest, settled, with_blocks
 
 STAGE, UNSTAGE = "stage", "unstage"
 _TARGET = ["effective_id", "shard_index", "total_shards"]
@@ -39,7 +39,7 @@ def refcount_history(lifecycle: DataFrame, **blocking: int) -> DataFrame:
 
     Staging a claim again counts again while one unstage counts once, as the ledger being audited does.
     """
-    deltas = claim_deltas(with_blocks(lifecycle, F.col("seq"), **blocking))
+    deltas = settled(claim_deltas(with_blocks(lifecycle, ["node"], F.col("seq"), **blocking)))
     counted = floored_sum(deltas, ["node", "effective_id"], ["seq"], F.col("delta"), "ref_count")
     changed = counted.where(F.col("ref_count") != F.col("ref_count_before"))
     return drop_blocks(changed.withColumn("freed", F.col("ref_count") == 0)).drop("ref_count_before")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.fixed_values import GIB, MEAN_WARMUP_ITERATIONS, WARMUP_ITERATIONS
 from ballast.functions import logged_bytes, pct_of_line_rate, received_bytes, throughput_gbps
-from ballast.operators.blocks import drop_blocks, running_sum, with_blocks
+from ballast.operators.blocks import drop_blocks, running_sum, settled, with_blocks
 from ballast.operators.order_statistics import distribution_summary
 
 BANDWIDTH = "bandwidth_gbs"
@@ -15,9 +15,9 @@ BANDWIDTH = "bandwidth_gbs"
 
 def number_iterations(iterations: DataFrame, **blocking: int) -> DataFrame:
     """0-based position of every iteration in its run."""
-    rows = with_blocks(iterations, F.col("seq"), **blocking)
+    rows = with_blocks(iterations, ["run"], F.col("seq"), **blocking)
     rows = running_sum(rows, ["run"], ["seq"], {"_n": F.lit(1).cast("bigint")})
-    return drop_blocks(rows.withColumn("iter", F.col("_n") - 1)).drop("_n")
+    return drop_blocks(settled(rows.withColumn("iter", F.col("_n") - 1).drop("_n")))
 
 
 def drop_warmup(numbered: DataFrame, warmup: int) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballast.functions import whole_div
+
 # Sketch size.
 ACCURACY = 20000
 # A group is large above this many values and above one part in MOST_LARGE_GROUPS of all, which bounds their number.
@@ -62,7 +64,7 @@ def distribution_summary(
     n = c("_n")
     tail = F.when(n >= 20, (n * F.lit(0.95)).cast("bigint")).otherwise(n - 1)
     picked = placed.groupBy(*keys).agg(
-        at(F.floor((n - 1) / 2)).alias("_m1"), at(F.floor(n / 2)).alias("_m2"), at(tail).alias("_p95")
+        at(whole_div(n - 1, 2)).alias("_m1"), at(whole_div(n, 2)).alias("_m2"), at(tail).alias("_p95")
     )
     missed = F.raise_error(F.lit("a place lies outside its bracket")).cast("double")
     return picked.join(stats, keys).select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ballast.fixed_values import ITEM_SIZES, MIB
-from ballast.functions import itemsize
+from ballast.functions import itemsize, whole_div
 from ballast.operators.catalog import pack_offsets
 
 CHUNK_BYTES = 4 * MIB
@@ -34,20 +34,26 @@ def _joined(piece: str, order: str) -> Column:
     return F.expr(f"listagg({piece}) within group (order by {order})")
 
 
-def _touching(start: Column, length: Column, size: Column) -> Column:
+def _touching(start: Column, length: Column, chunk_bytes: int) -> Column:
     """Numbers of the chunks that ``[start, start+length)`` touches; none for an empty range."""
-    first, last = F.floor(start / size), F.floor((start + length - 1) / size)
-    return F.when(length > 0, F.sequence(first.cast("bigint"), last.cast("bigint"))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    first, last = whole_div(start, chunk_bytes), whole_div(start + length - 1, chunk_bytes)
+    return F.when(length > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
-def with_payload_offsets(payloads: DataFrame, order: Sequence[str] = ("ordinal",), **blocking: int) -> DataFrame:
-    """Add nbytes, position and offset of every payload in its buffer."""
-    sized = payloads.withColumn("nbytes", F.octet_length("payload").cast("bigint"))
+def payload_offsets(payloads: DataFrame, order: Sequence[str] = ("ordinal",), **blocking: int) -> DataFrame:
+    """nbytes, position and offset of every payload (buffer_id, ordinal, payload) in its buffer, without the bytes."""
+    sized = payloads.select("buffer_id", *order, F.octet_length("payload").cast("bigint").alias("nbytes"))
     return pack_offsets(sized, order, **blocking)
 
 
+def with_payload_offsets(payloads: DataFrame, order: Sequence[str] = ("ordinal",), **blocking: int) -> DataFrame:
+    """Payloads with their offsets. (buffer_id, ordinal) names one payload.
+
+    Offsets come from a scan over sizes alone and are joined back, so bytes are never sorted within a buffer.
+    """
+    return payloads.join(payload_offsets(payloads, order, **blocking), ["buffer_id", *order])
+
+
 def pack_chunks(packed: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Cut each buffer's flat address space into chunks: (buffer_id, chunk_no, byte_start, bytes)."""
     size = _chunk_size(chunk_bytes)
@@ -55,7 +61,7 @@ def pack_chunks(packed: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     base = c("chunk_no") * size
     start = F.greatest(c("offset"), base)
     end = F.least(c("offset") + c("nbytes"), base + size)
-    pieces = packed.withColumn("chunk_no", F.explode(_touching(c("offset"), c("nbytes"), size))).select(
+    pieces = packed.withColumn("chunk_no", F.explode(_touching(c("offset"), c("nbytes"), chunk_bytes))).select(
         "buffer_id",
         "chunk_no",
         start.alias("_start"),
@@ -73,7 +79,7 @@ def _cut(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str], chunk_bytes:
     """
     size = _chunk_size(chunk_bytes)
     c = F.col
-    asked = ranges.withColumn("chunk_no", F.explode(_touching(c("_from"), c("_length"), size)))
+    asked = ranges.withColumn("chunk_no", F.explode(_touching(c("_from"), c("_length"), chunk_bytes)))
     base = c("chunk_no") * size
     start = F.greatest(c("_from"), base)
     end = F.least(c("_from") + c("_length"), base + size)
@@ -143,7 +149,7 @@ def buffer_digests(digests: DataFrame, levels: int = 3, fan_in: int = DIGEST_FAN
     """
     level = digests.select("buffer_id", F.col("position").alias("_pos"), F.col("sha256").alias("_hex"))
     for _ in range(levels):
-        grouped = level.groupBy("buffer_id", F.floor(F.col("_pos") / fan_in).alias("_next"))
+        grouped = level.groupBy("buffer_id", whole_div(F.col("_pos"), fan_in).alias("_next"))
         level = grouped.agg(F.sha2(_joined("_hex", "_pos"), 256).alias("_hex")).withColumnRenamed("_next", "_pos")
     return level.groupBy("buffer_id").agg(
         F.when(F.count("*") == 1, F.max("_hex")).otherwise(F.raise_error(F.lit("buffer needs more levels")).cast("string")).alias("digest")
@@ -221,6 +227,7 @@ __all__ = [
     "buffer_digests",
     "checksums",
     "pack_chunks",
+    "payload_offsets",
     "scatter",
     "tensor_stats",
     "typed_view",

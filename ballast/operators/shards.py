@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.fixed_values import MIB, SHARD_MARK
-from ballast.functions import base_buffer_id, shard_file_name
+from ballast.functions import base_buffer_id, shard_file_name, whole_div
 
 # Width of the byte bins that spread a large buffer's range join over tasks.
 BIN_BYTES = 64 * MIB
@@ -22,7 +22,7 @@ def numbers_below(n: Column) -> Column:
 def split_shards(buffers: DataFrame) -> DataFrame:
     """One row per shard from ``total_bytes`` and ``num_shards``: the first ``total % n`` shards get a byte more."""
     total, n, i = F.col("total_bytes"), F.col("num_shards").cast("bigint"), F.col("_i")
-    quotient = F.expr("total_bytes div cast(num_shards as bigint)")
+    quotient = whole_div(total, n)
     rest = total % n
     exploded = buffers.where(n > 0).withColumn("_i", F.explode(numbers_below(n)))
     return exploded.withColumns(
@@ -38,7 +38,7 @@ def shard_files(buffers: DataFrame) -> DataFrame:
     """One row per file of a buffer declared by file pattern; the pattern's own text plays no part in the names."""
     n = F.col("num_shards")
     exploded = buffers.where(n > 0).withColumn("_i", F.explode(numbers_below(n)))
-    size = F.coalesce(F.expr("capacity_bytes div cast(num_shards as bigint)"), F.lit(0).cast("bigint"))
+    size = F.coalesce(whole_div(F.col("capacity_bytes"), n), F.lit(0).cast("bigint"))
     return exploded.withColumns(
         {
             "shard_index": F.col("_i").cast("int"),
@@ -49,9 +49,7 @@ def shard_files(buffers: DataFrame) -> DataFrame:
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
-    w = F.lit(width).cast("bigint")
-    low, high = F.floor(start / w), F.floor((end - 1) / w)
-    return F.explode(F.sequence(low.cast("bigint"), high.cast("bigint")))
+    return F.explode(F.sequence(whole_div(start, width), whole_div(end - 1, width)))
 
 
 def tensors_in_shards(tensors: DataFrame, shards: DataFrame, bin_bytes: int = BIN_BYTES) -> DataFrame:
@@ -76,7 +74,7 @@ def tensors_in_shards(tensors: DataFrame, shards: DataFrame, bin_bytes: int = BI
     t = t.withColumn("_bin", _bins(F.col("_ts"), F.col("_te"), bin_bytes))
     s = s.withColumn("_bin", _bins(F.col("_ss"), F.col("_se"), bin_bytes))
     start, end = F.greatest("_ts", "_ss"), F.least("_te", "_se")
-    here = F.floor(start / F.lit(bin_bytes).cast("bigint")) == F.col("_bin")
+    here = whole_div(start, bin_bytes) == F.col("_bin")
     return (
         t.join(s, ["buffer_id", "_bin"])
         .where((start < end) & here)
@@ -98,7 +96,7 @@ def scatter_plan(buffers: DataFrame, targets: Column) -> DataFrame:
     """
     n = F.size("_targets")
     out = buffers.withColumn("_targets", targets)
-    out = out.withColumn("_each", F.expr("total_bytes div cast(size(_targets) as bigint)")).where(n > 0)
+    out = out.withColumn("_each", whole_div(F.col("total_bytes"), n)).where(n > 0)
     out = out.select("*", F.posexplode("_targets").alias("_i", "target_node"))
     return out.select(
         "buffer_id",
@@ -121,7 +119,7 @@ def broadcast_plan(buffers: DataFrame, targets: DataFrame, chunk_bytes: int) ->
     """
     size = F.lit(chunk_bytes).cast("bigint")
     start = F.col("chunk_no") * size
-    chunks = F.ceil(F.col("total_bytes") / size)
+    chunks = whole_div(F.col("total_bytes") + (chunk_bytes - 1), chunk_bytes)
     return (
         buffers.select("buffer_id", "total_bytes")
         .join(targets.select("buffer_id", "target_node"), "buffer_id")

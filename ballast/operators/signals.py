@@ -6,13 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ballast.fixed_values import READY_TIMEOUT_SECONDS
-from ballast.operators.blocks import cut, drop_blocks, nearest, running_sum, split_points, with_blocks
+from ballast.operators.blocks import BLOCK, cut, drop_blocks, nearest, running_sum, settled, split_points, with_blocks
 from ballast.operators.skew import join_hot
 
 PRE_UPDATE, READY, METADATA = "PRE_UPDATE", "READY", "METADATA"
 CONNECT, DISCONNECT = "CONNECT", "DISCONNECT"
 
 
+def _block(rows: DataFrame) -> list[str]:
+    return [BLOCK] if BLOCK in rows.columns else []
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts)
 
@@ -24,7 +28,7 @@ def seconds_between(start: Column, end: Column) -> Column:
 def update_windows(signals: DataFrame, **blocking: int) -> DataFrame:
     """Each PRE_UPDATE with the next READY of its buffer; ``is_open`` when none follows."""
     rows = signals.where(F.col("signal").isin(PRE_UPDATE, READY))
-    rows = with_blocks(rows, micros(F.col("ts")), **blocking)
+    rows = with_blocks(rows, ["buffer_id"], micros(F.col("ts")), **blocking)
     ready = F.when(F.col("signal") == READY, F.col("ts"))
     paired = nearest(rows, ["buffer_id"], ["ts", "seq"], {"ended_at": ready}, after=True)
     return drop_blocks(
@@ -51,10 +55,10 @@ def ready_metadata(signals: DataFrame, timeout: float = READY_TIMEOUT_SECONDS, *
     A receive is complete once both have come. Two ordered scans do this without comparing pairs.
     """
     rows = signals.where(F.col("signal").isin(READY, METADATA))
-    rows = with_blocks(rows, micros(F.col("ts")), **blocking)
+    base = with_blocks(rows, ["buffer_id"], micros(F.col("ts")), **blocking)
     meta = F.when(F.col("signal") == METADATA, F.col("ts"))
-    rows = nearest(rows, ["buffer_id"], ["ts", "seq"], {"_earlier": meta})
-    rows = nearest(rows, ["buffer_id"], ["ts", "seq"], {"_later": meta}, after=True)
+    rows = nearest(base, ["buffer_id"], ["ts", "seq"], {"_earlier": meta})
+    rows = nearest(rows, ["buffer_id"], ["ts", "seq"], {"_later": meta}, after=True, base=base)
     ts, earlier, later = F.col("ts"), F.col("_earlier"), F.col("_later")
     picked = F.when(seconds_between(earlier, ts) <= timeout, earlier).when(
         seconds_between(ts, later) <= timeout, later
@@ -72,7 +76,7 @@ def ready_metadata(signals: DataFrame, timeout: float = READY_TIMEOUT_SECONDS, *
 def subscriptions(signals: DataFrame, **blocking: int) -> DataFrame:
     """Every CONNECT with the next DISCONNECT of the same subscriber and buffer."""
     rows = signals.where(F.col("signal").isin(CONNECT, DISCONNECT))
-    rows = with_blocks(rows, micros(F.col("ts")), **blocking)
+    rows = with_blocks(rows, ["buffer_id"], micros(F.col("ts")), **blocking)
     gone = F.when(F.col("signal") == DISCONNECT, F.col("ts"))
     paired = nearest(rows, ["buffer_id", "peer"], ["ts", "seq"], {"broken_at": gone}, after=True)
     return drop_blocks(
@@ -87,7 +91,7 @@ def deliver_signals(signals: DataFrame, subs: DataFrame, **blocking: int) -> Dat
 
     Counts come from one ordered sweep over connects, breaks and READYs; pairs are never formed.
     """
-    points = split_points(signals, micros(F.col("ts")), **blocking)
+    points = split_points(signals, ["buffer_id"], micros(F.col("ts")), **blocking)
     ready = signals.where(F.col("signal") == READY)
     zero = F.lit(0)
     steps = (
@@ -101,14 +105,14 @@ def deliver_signals(signals: DataFrame, subs: DataFrame, **blocking: int) -> Dat
             )
         )
     )
-    steps = cut(steps, micros(F.col("ts")), points)
+    steps = settled(cut(steps, micros(F.col("ts")), points))
     swept = running_sum(steps, ["buffer_id"], ["ts", "_kind", "seq"], {"receivers": F.col("_step")})
     return swept.where(F.col("_kind") == 1).select("buffer_id", "seq", F.col("ts").alias("ready_at"), "receivers")
 
 
 def subscription_receipts(signals: DataFrame, subs: DataFrame, **blocking: int) -> DataFrame:
     """How many READYs each subscription gets while it lives: the difference of two running counts."""
-    points = split_points(signals, micros(F.col("ts")), **blocking)
+    points = split_points(signals, ["buffer_id"], micros(F.col("ts")), **blocking)
     zero = F.lit(0)
     # A READY at the very moment of connecting counts, one at the moment of breaking does not.
     ready = signals.where(F.col("signal") == READY).select(
@@ -118,7 +122,7 @@ def subscription_receipts(signals: DataFrame, subs: DataFrame, **blocking: int)
     closed = subs.where(F.col("broken_at").isNotNull()).select(
         "buffer_id", F.col("broken_at").alias("ts"), "seq", "peer", F.lit(-1).alias("_kind"), zero.alias("_one")
     )
-    steps = cut(ready.unionByName(opened).unionByName(closed), micros(F.col("ts")), points)
+    steps = settled(cut(ready.unionByName(opened).unionByName(closed), micros(F.col("ts")), points))
     swept = running_sum(steps, ["buffer_id"], ["ts", "_kind", "seq"], {"_seen": F.col("_one")})
     totals = ready.groupBy("buffer_id").agg(F.count("*").alias("_all"))
     per_sub = (
@@ -136,10 +140,11 @@ def subscription_receipts(signals: DataFrame, subs: DataFrame, **blocking: int)
 
 def step_sessions(signals: DataFrame, gap_seconds: float, **blocking: int) -> DataFrame:
     """Update steps per buffer: signals no further apart than the gap form one, with its span and counts."""
-    rows = with_blocks(signals, micros(F.col("ts")), **blocking)
+    rows = with_blocks(signals, ["buffer_id"], micros(F.col("ts")), **blocking)
     rows = nearest(rows, ["buffer_id"], ["ts", "seq"], {"_prev": F.col("ts")})
     fresh = F.col("_prev").isNull() | (seconds_between(F.col("_prev"), F.col("ts")) > gap_seconds)
-    rows = running_sum(rows, ["buffer_id"], ["ts", "seq"], {"_step": fresh.cast("int")})
+    rows = settled(rows.select("buffer_id", "ts", "seq", "signal", fresh.cast("int").alias("_fresh"), *_block(rows)))
+    rows = running_sum(rows, ["buffer_id"], ["ts", "seq"], {"_step": F.col("_fresh")})
     return session_totals(rows.groupBy("buffer_id", "_step")).drop("_step")
 
 

@@ -170,7 +170,7 @@ def pack_chunks(spark, sf_dir):
 def unpack_roundtrip(spark, sf_dir):
     packed = _payload_offsets(spark, sf_dir)
     chunks = payload.pack_chunks(packed, CHUNK_BYTES)
-    back = payload.unpack(chunks, packed.drop("payload"), CHUNK_BYTES)
+    back = payload.unpack(chunks, payload.payload_offsets(rel.documents(spark, sf_dir)), CHUNK_BYTES)
     return payload.checksums(back).drop("crc32")
 
 

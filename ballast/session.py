@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 
@@ -43,6 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/ballast-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, and not again when an executor is lost."""
+    path = f"{shared_dir(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def conf(spark: SparkSession, **values: str) -> Iterator[None]:
     """Set SQL settings (``__`` for dots) for the duration of a block."""

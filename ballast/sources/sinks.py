@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballast.functions import whole_div
 from ballast.operators.measures import summary_record
 
 
@@ -13,7 +14,7 @@ def write_shards(pieces: DataFrame, path: str, range_bytes: int = 256 << 20) ->
 
     A shard is spread over tasks by byte range, so a single huge shard does not become a single file.
     """
-    spread = pieces.withColumn("_range", F.floor(F.col("byte_start") / F.lit(range_bytes).cast("bigint")))
+    spread = pieces.withColumn("_range", whole_div(F.col("byte_start"), range_bytes))
     ordered = spread.repartition("target_buffer", "_range").sortWithinPartitions("target_buffer", "byte_start")
     ordered.drop("_range").write.mode("overwrite").partitionBy("target_buffer").parquet(path)
 

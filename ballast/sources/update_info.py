@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballast.functions import whole_div
 from ballast.schemas import UPDATE_INFO
 
 # Tensors per message; a larger buffer takes several, so no row gathers a whole catalog.
@@ -16,7 +17,7 @@ def tensors_to_update_info(packed: DataFrame, per_message: int = TENSORS_PER_MES
 
     ``total_bytes`` is where the last tensor of the part ends.
     """
-    part = F.floor(F.col("position") / per_message)
+    part = whole_div(F.col("position"), per_message)
     row = F.struct("position", "name", "dtype", "shape", "offset", (F.col("offset") + F.col("nbytes")).alias("until"))
     gathered = packed.groupBy("buffer_id", part.alias("part")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     return gathered.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ballast.fixed_values import READY_TIMEOUT_SECONDS
+from ballast.functions import whole_div
 from ballast.operators.signals import METADATA, PRE_UPDATE, READY, micros, session_totals
 
 TIMEOUTS = "buffer_id string, seq bigint, started_us bigint, outcome string"
@@ -25,7 +26,7 @@ def ready_with_metadata(signals: DataFrame, delay: str, timeout: int = READY_TIM
     """
 
     def bin_of(ts: Column) -> Column:
-        return F.floor(micros(ts) / F.lit(timeout * 1_000_000)).cast("bigint")
+        return whole_div(micros(ts), timeout * 1_000_000)
 
     around = F.explode(F.array(*[bin_of(F.col("ts")) + d for d in (-1, 0, 1)]))
     ready = signals.where(F.col("signal") == READY).select(

@@ -75,16 +75,17 @@ def sample(spark, n=2000):
 
 
 def test_blocks_cut_hot_keys(spark):
-    df = blocks.with_blocks(sample(spark), F.col("at"), rows_per_block=100)
+    df = blocks.with_blocks(sample(spark), ["k"], F.col("at"), rows_per_block=100)
     sizes = df.groupBy("k", blocks.BLOCK).count().agg(F.max("count")).first()[0]
     assert blocks.BLOCK in df.columns and sizes <= 200
+    assert blocks.BLOCK not in blocks.with_blocks(sample(spark), ["k"], F.col("at"), rows_per_block=1500).columns
     assert df.groupBy("at").agg(F.countDistinct(blocks.BLOCK).alias("n")).where("n > 1").count() == 0
 
 
 @pytest.mark.parametrize("rows_per_block", [700, 60])
 def test_scans_equal_windows(spark, rows_per_block):
     plain = sample(spark)
-    cut = blocks.with_blocks(plain, F.col("at"), rows_per_block=rows_per_block)
+    cut = blocks.with_blocks(plain, ["k"], F.col("at"), rows_per_block=rows_per_block)
     order = ["at", "id"]
 
     def scans(df):
