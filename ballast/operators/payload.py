@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from ballast.fixed_values import ITEM_SIZES, MIB
 from ballast.functions import itemsize, whole_div
 from ballast.operators.catalog import pack_offsets
+from ballast.operators.shards import unfold
 
 CHUNK_BYTES = 4 * MIB
 # Largest chunk accepted; a cell near 2 GiB cannot be held by one row.
@@ -34,10 +35,10 @@ def _joined(piece: str, order: str) -> Column:
     return F.expr(f"listagg({piece}) within group (order by {order})")
 
 
-def _touching(start: Column, length: Column, chunk_bytes: int) -> Column:
-    """Numbers of the chunks that ``[start, start+length)`` touches; none for an empty range."""
+def _with_touched_chunks(df: DataFrame, start: Column, length: Column, chunk_bytes: int) -> DataFrame:
+    """One row per chunk that ``[start, start+length)`` touches; none for an empty range."""
     first, last = whole_div(start, chunk_bytes), whole_div(start + length - 1, chunk_bytes)
-    return F.when(length > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return unfold(df.where(length > 0), first, last - first + 1, "chunk_no")
 
 
 def payload_offsets(payloads: DataFrame, order: Sequence[str] = ("ordinal",), **blocking: int) -> DataFrame:
@@ -61,7 +62,7 @@ def pack_chunks(packed: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     base = c("chunk_no") * size
     start = F.greatest(c("offset"), base)
     end = F.least(c("offset") + c("nbytes"), base + size)
-    pieces = packed.withColumn("chunk_no", F.explode(_touching(c("offset"), c("nbytes"), chunk_bytes))).select(
+    pieces = _with_touched_chunks(packed, c("offset"), c("nbytes"), chunk_bytes).select(
         "buffer_id",
         "chunk_no",
         start.alias("_start"),
@@ -79,7 +80,7 @@ def _cut(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str], chunk_bytes:
     """
     size = _chunk_size(chunk_bytes)
     c = F.col
-    asked = ranges.withColumn("chunk_no", F.explode(_touching(c("_from"), c("_length"), chunk_bytes)))
+    asked = _with_touched_chunks(ranges, c("_from"), c("_length"), chunk_bytes)
     base = c("chunk_no") * size
     start = F.greatest(c("_from"), base)
     end = F.least(c("_from") + c("_length"), base + size)
@@ -157,22 +158,28 @@ def buffer_digests(digests: DataFrame, levels: int = 3, fan_in: int = DIGEST_FAN
 
 
 def verify_replicas(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Compare two copies tensor by tensor: MATCH, DIFF, MISSING_LEFT or MISSING_RIGHT.
+    """Compare two copies of buffers, one row per tensor: MATCH, DIFF, MISSING_LEFT or MISSING_RIGHT.
 
-    Payloads are hashed before the join, so the shuffle moves 64 characters per tensor.
+    Payloads are hashed where they are read and both sides meet in one aggregate that combines before its shuffle, so
+    it moves 64 characters per tensor, and a tensor held many times costs no more than one held once. It matches only
+    if every copy does.
     """
-
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("buffer_id", "name", F.sha2("payload", 256).alias(name), F.lit(True).alias(f"_in_{name}"))
-
-    both = side(left, "left_sha").join(side(right, "right_sha"), ["buffer_id", "name"], "full_outer")
+    sides = ("left", "right")
+    rows = [d.select("buffer_id", "name", F.sha2("payload", 256).alias("_sha"), F.lit(s).alias("_side")) for d, s in zip((left, right), sides)]
+    own = {s: F.when(F.col("_side") == s, F.col("_sha")) for s in sides}
+    digests = rows[0].unionByName(rows[1]).groupBy("buffer_id", "name").agg(
+        *[F.count(own[s]).alias(f"{s}_copies") for s in sides],
+        *[F.max(own[s]).alias(f"{s}_sha") for s in sides],
+        F.min("_sha").alias("_least"),
+        F.max("_sha").alias("_most"),
+    )
     verdict = (
-        F.when(F.col("_in_left_sha").isNull(), F.lit("MISSING_LEFT"))
-        .when(F.col("_in_right_sha").isNull(), F.lit("MISSING_RIGHT"))
-        .when(F.col("left_sha").eqNullSafe(F.col("right_sha")), F.lit("MATCH"))
+        F.when(F.col("left_copies") == 0, F.lit("MISSING_LEFT"))
+        .when(F.col("right_copies") == 0, F.lit("MISSING_RIGHT"))
+        .when(F.col("_least") == F.col("_most"), F.lit("MATCH"))
         .otherwise(F.lit("DIFF"))
     )
-    return both.withColumn("verdict", verdict).drop("_in_left_sha", "_in_right_sha")
+    return digests.withColumn("verdict", verdict).drop("_least", "_most")
 
 
 def _decode(raw: bytes, dtype: str) -> np.ndarray:

@@ -10,6 +10,8 @@ from ballast.functions import base_buffer_id, shard_file_name, whole_div
 
 # Width of the byte bins that spread a large buffer's range join over tasks.
 BIN_BYTES = 64 * MIB
+# Numbers unfolded from one array.
+PAGE = 4096
 
 
 def numbers_below(n: Column) -> Column:
@@ -19,6 +21,23 @@ def numbers_below(n: Column) -> Column:
     )
 
 
+def unfold(df: DataFrame, first: Column, count: Column, out: str, spread: bool = False) -> DataFrame:
+    """One row per number ``first`` .. ``first + count - 1``, in pages, so that no array grows with the count.
+
+    ``spread`` deals the pages to tasks before they are unfolded, for rows whose counts differ widely.
+    """
+    pages = df.withColumns({"_first": first, "_count": count}).where(F.col("_count") > 0)
+    page = F.explode(F.sequence(F.lit(0).cast("bigint"), whole_div(F.col("_count") - 1, PAGE)))
+    pages = pages.withColumn("_page", page)
+    if spread:
+        tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+        pages = pages.repartition(tasks, *[c for c in pages.columns if c != "_count"])
+    low = F.col("_page") * PAGE
+    high = F.least(F.col("_count"), low + PAGE) - 1
+    numbers = F.explode(F.sequence(F.col("_first") + low, F.col("_first") + high))
+    return pages.withColumn(out, numbers).drop("_first", "_count", "_page")
+
+
 def split_shards(buffers: DataFrame) -> DataFrame:
     """One row per shard from ``total_bytes`` and ``num_shards``: the first ``total % n`` shards get a byte more."""
     total, n, i = F.col("total_bytes"), F.col("num_shards").cast("bigint"), F.col("_i")
@@ -120,15 +139,11 @@ def broadcast_plan(buffers: DataFrame, targets: DataFrame, chunk_bytes: int) ->
     size = F.lit(chunk_bytes).cast("bigint")
     start = F.col("chunk_no") * size
     chunks = whole_div(F.col("total_bytes") + (chunk_bytes - 1), chunk_bytes)
-    return (
-        buffers.select("buffer_id", "total_bytes")
-        .join(targets.select("buffer_id", "target_node"), "buffer_id")
-        .withColumn("chunk_no", F.explode(numbers_below(chunks)))
-        .select(
-            "buffer_id",
-            "target_node",
-            "chunk_no",
-            start.alias("byte_start"),
-            F.least(size, F.col("total_bytes") - start).alias("length"),
-        )
+    sent = buffers.select("buffer_id", "total_bytes").join(targets.select("buffer_id", "target_node"), "buffer_id")
+    return unfold(sent, F.lit(0).cast("bigint"), chunks, "chunk_no", spread=True).select(
+        "buffer_id",
+        "target_node",
+        "chunk_no",
+        start.alias("byte_start"),
+        F.least(size, F.col("total_bytes") - start).alias("length"),
     )

@@ -120,10 +120,21 @@ def test_typed_views(spark):
 
 def test_replicas(spark):
     schema = "buffer_id string, name string, payload binary"
-    left = spark.createDataFrame([("b", "x", b"1"), ("b", "y", b"2"), ("b", "z", b"")], schema)
-    right = spark.createDataFrame([("b", "x", b"1"), ("b", "y", b"3"), ("b", "w", b"4")], schema)
-    got = {r.name: r.verdict for r in payload.verify_replicas(left, right).collect()}
-    assert got == {"x": "MATCH", "y": "DIFF", "z": "MISSING_RIGHT", "w": "MISSING_LEFT"}
+    left = [("b", "x", b"1"), ("b", "y", b"2"), ("b", "z", b"")] + [("b", "many", b"5")] * 50 + [("b", "mixed", b"6")]
+    right = [("b", "x", b"1"), ("b", "y", b"3"), ("b", "w", b"4")] + [("b", "many", b"5")] * 70
+    right += [("b", "mixed", b"6"), ("b", "mixed", b"7")]
+    checked = payload.verify_replicas(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
+    got = {r.name: r.verdict for r in checked.collect()}
+    assert got == {"x": "MATCH", "y": "DIFF", "z": "MISSING_RIGHT", "w": "MISSING_LEFT", "many": "MATCH", "mixed": "DIFF"}
+    assert checked.count() == 6
+
+
+def test_numbers_are_unfolded_in_pages(spark):
+    df = spark.createDataFrame([("a", 5, 10000), ("b", 0, 0), ("c", 7, 1), ("d", 0, -3)], "k string, f bigint, n bigint")
+    for spread in (False, True):
+        out = shards.unfold(df, F.col("f"), F.col("n"), "i", spread)
+        got = {r.k: (r.lo, r.hi, r.c, r.d) for r in out.groupBy("k").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.count("*").alias("c"), F.countDistinct("i").alias("d")).collect()}
+        assert got == {"a": (5, 10004, 10000, 10000), "c": (7, 7, 1, 1)}
 
 
 def test_digest_tree_sees_order_and_depth(spark):
