@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.fixed_values import READY_TIMEOUT_SECONDS
 from ballast.operators.blocks import BLOCK, cut, drop_blocks, nearest, running_sum, settled, split_points, with_blocks
-from ballast.operators.skew import join_hot
+from ballast.operators.skew import hot_keys, join_spread
 
 PRE_UPDATE, READY, METADATA = "PRE_UPDATE", "READY", "METADATA"
 CONNECT, DISCONNECT = "CONNECT", "DISCONNECT"
@@ -133,7 +133,7 @@ def subscription_receipts(signals: DataFrame, subs: DataFrame, **blocking: int)
             F.max(F.when(F.col("_kind") == -1, F.col("_seen"))).alias("_at_close"),
         )
     )
-    counted = join_hot(per_sub, totals, ["buffer_id"])
+    counted = join_spread(per_sub, totals, ["buffer_id"], hot_keys(signals, ["buffer_id"]))
     through = F.coalesce("_at_close", "_all", F.lit(0))
     return counted.select("buffer_id", "peer", "seq", (through - F.col("_at_open")).alias("delivered"))
 

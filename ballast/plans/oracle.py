@@ -7,7 +7,6 @@ on a 5, where the order of a floating-point sum would decide the last digit.
 from __future__ import annotations
 
 from ballast.fixed_values import (
-    DEVICE_CLASS,
     DEVICE_NAME_PREFIX,
     MSG_BAD_FORMAT,
     MSG_BAD_SUFFIX,
@@ -20,7 +19,6 @@ from ballast.fixed_values import (
     MSG_NUM_SHARDS,
     MSG_READY,
     QUANTITY_FORMAT,
-    RANK_ANNOTATIONS,
 )
 
 
