@@ -15,7 +15,7 @@ from ballast.fixed_values import (
     QUANTITY_FORMAT,
 )
 from ballast.functions import parse_quantity, shard_file_name, whole_div
-from ballast.operators.shards import numbers_below, split_shards
+from ballast.operators.shards import numbers_below
 
 _SHARD = "struct<index:int,path:string,size_bytes:bigint>"
 
@@ -101,49 +101,33 @@ def discovered_shards(validated: DataFrame) -> DataFrame:
     stays a zero entry. A file pattern divides the capacity evenly and drops the rest; without either, the capacity
     is split to the byte and every shard reads the buffer's own path.
     """
-    n = F.col("total_shards")
-    ok = validated.where(n > 0).withColumns(
-        {"_files": _files(), "_bytes": parse_quantity(F.coalesce(F.col("capacity"), F.lit("")))}
+    c, n, i = F.col, F.col("total_shards"), F.col("shard_index")
+    zero = F.lit(0).cast("bigint")
+    placed = validated.where(n > 0).select(
+        "namespace",
+        "name",
+        "source_path",
+        "total_shards",
+        _files().cast(f"array<{_SHARD}>").alias("_files"),
+        _has_pattern().alias("_pattern"),
+        parse_quantity(F.coalesce("capacity", F.lit(""))).alias("_bytes"),
+        F.explode(numbers_below(n).cast("array<int>")).alias("shard_index"),
     )
-    keys = ["namespace", "name"]
-
-    number = F.explode(numbers_below(n).cast("array<int>")).alias("shard_index")
-    listed = ok.where(F.size("_files") > 0).select(*keys, "_files", number)
-    own = F.element_at(
-        F.concat(
-            F.array(F.lit(None).cast(_SHARD)),
-            F.filter(F.col("_files"), lambda f: f["index"] == F.col("shard_index")).cast(f"array<{_SHARD}>"),
-        ),
-        -1,
-    )
-    from_files = listed.withColumn("_own", own).select(
-        *keys,
-        "shard_index",
-        F.coalesce("_own.index", F.lit(0)).alias("stored_index"),
-        F.coalesce("_own.path", F.lit("")).alias("path"),
-        F.coalesce("_own.size_bytes", F.lit(0).cast("bigint")).alias("size_bytes"),
-    )
-
-    named = ok.where((F.size("_files") == 0) & _has_pattern()).select(
-        *keys, "source_path", "_bytes", "total_shards", number
-    )
-    from_pattern = named.select(
-        *keys,
-        "shard_index",
-        F.col("shard_index").alias("stored_index"),
-        shard_file_name(F.col("source_path"), F.col("shard_index"), n).alias("path"),
-        F.coalesce(whole_div(F.col("_bytes"), n), F.lit(0).cast("bigint")).alias("size_bytes"),
-    )
-
-    even = split_shards(
-        ok.where((F.size("_files") == 0) & ~_has_pattern()).select(
-            *keys, "source_path", F.col("_bytes").alias("total_bytes"), n.alias("num_shards")
-        )
-    ).select(
-        *keys,
+    own = F.filter("_files", lambda f: f["index"] == i)
+    placed = placed.withColumn("_own", F.when(F.size(own) > 0, F.element_at(own, -1)))
+    listed, each = F.size("_files") > 0, whole_div(c("_bytes"), n)
+    extra = F.when(i < c("_bytes") % n, F.lit(1)).otherwise(F.lit(0))
+    return placed.select(
+        "namespace",
+        "name",
         "shard_index",
-        F.col("shard_index").alias("stored_index"),
-        F.col("source_path").alias("path"),
-        "size_bytes",
+        F.when(listed, F.coalesce("_own.index", F.lit(0))).otherwise(i).alias("stored_index"),
+        F.when(listed, F.coalesce("_own.path", F.lit("")))
+        .when(c("_pattern"), shard_file_name(c("source_path"), i, n))
+        .otherwise(c("source_path"))
+        .alias("path"),
+        F.when(listed, F.coalesce("_own.size_bytes", zero))
+        .when(c("_pattern"), F.coalesce(each, zero))
+        .otherwise(each + extra)
+        .alias("size_bytes"),
     )
-    return from_files.unionByName(from_pattern).unionByName(even)
