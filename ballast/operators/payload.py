@@ -152,9 +152,9 @@ def buffer_digests(digests: DataFrame, levels: int = 3, fan_in: int = DIGEST_FAN
     for _ in range(levels):
         grouped = level.groupBy("buffer_id", whole_div(F.col("_pos"), fan_in).alias("_next"))
         level = grouped.agg(F.sha2(_joined("_hex", "_pos"), 256).alias("_hex")).withColumnRenamed("_next", "_pos")
-    return level.groupBy("buffer_id").agg(
-        F.when(F.count("*") == 1, F.max("_hex")).otherwise(F.raise_error(F.lit("buffer needs more levels")).cast("string")).alias("digest")
-    )
+    shallow = F.raise_error(F.lit("buffer needs more levels")).cast("string")
+    digest = F.when(F.count("*") == 1, F.max("_hex")).otherwise(shallow)
+    return level.groupBy("buffer_id").agg(digest.alias("digest"))
 
 
 def verify_replicas(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -165,7 +165,8 @@ def verify_replicas(left: DataFrame, right: DataFrame) -> DataFrame:
     if every copy does.
     """
     sides = ("left", "right")
-    rows = [d.select("buffer_id", "name", F.sha2("payload", 256).alias("_sha"), F.lit(s).alias("_side")) for d, s in zip((left, right), sides)]
+    sha = F.sha2("payload", 256).alias("_sha")
+    rows = [d.select("buffer_id", "name", sha, F.lit(s).alias("_side")) for d, s in zip((left, right), sides)]
     own = {s: F.when(F.col("_side") == s, F.col("_sha")) for s in sides}
     digests = rows[0].unionByName(rows[1]).groupBy("buffer_id", "name").agg(
         *[F.count(own[s]).alias(f"{s}_copies") for s in sides],

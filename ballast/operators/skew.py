@@ -36,8 +36,9 @@ def join_spread(
     """``left.join(right, keys, how)`` for inner and left joins, with the ``hot`` keys of ``left`` spread over tasks.
 
     ``hot`` comes from ``hot_keys`` over some of the join keys. Rows of a hot key are dealt to its parts by a hash of
-    their content, and the right side's rows of that key are repeated for each part. All other keys have one part.
-    Without hot keys this is the plain join.
+    their content and of the partition they come from, so that copies of one row spread as well; a task run again deals
+    the same. The right side's rows of that key are repeated for each part. All other keys have one part. Without hot
+    keys this is the plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError("only inner and left joins can be spread")
@@ -47,7 +48,9 @@ def join_spread(
     hot = F.broadcast(hot)  # at most MOST_HOT_KEYS rows
     parts = F.coalesce("_salts", F.lit(1).cast("bigint"))
     hashable = [f.name for f in left.schema.fields if not isinstance(f.dataType, MapType)]
-    dealt = left.join(hot, hot_on, "left").withColumn("_salt", F.pmod(F.xxhash64(*hashable), parts))
+    row = F.xxhash64(*hashable, F.col("_from"))
+    dealt = left.withColumn("_from", F.spark_partition_id()).join(hot, hot_on, "left")
+    dealt = dealt.withColumn("_salt", F.pmod(row, parts)).drop("_from")
     repeated = right.join(hot, hot_on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))
     )
