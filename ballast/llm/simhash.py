@@ -2,8 +2,8 @@
 
 Fingerprints are linked when they differ in at most ``max_bits`` bits. Two such fingerprints agree in at least one of
 ``max_bits + 1`` disjoint blocks of bits, so each distinct fingerprint is dealt once for each block, by the block's
-value. A block value that too many fingerprints share is dealt again, by sub-blocks of the bits that are still free;
-as the free bits shrink at each level and fingerprints are distinct, no group can stay large. Equal fingerprints are
+value. Where too many fingerprints share a value, they are dealt again by more and shorter blocks, of which all but
+``max_bits`` must agree; as the bits left open get fewer and fingerprints are distinct, no group can stay large. Equal fingerprints are
 one row before any of this, so groups of copies cost nothing here.
 
 Several groups make a bucket, which one task searches with an index of its own. Within a group fingerprints are sorted
@@ -15,6 +15,8 @@ exceeds the limit, the whole group below is left. A bucket returns a spanning fo
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -166,63 +168,49 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # --- dealing ----------------------------------------------------------------------------------------------------------
 
 
-def blocks_of(bits: list[int], parts: int) -> list[list[int]]:
-    """``bits`` cut into ``parts`` runs of nearly equal length."""
-    cuts = [round(i * len(bits) / parts) for i in range(parts + 1)]
-    return [bits[a:b] for a, b in zip(cuts, cuts[1:])]
-
+def masks(parts: int, max_bits: int) -> list[int]:
+    """Bit masks of which two fingerprints within ``max_bits`` bits agree on at least one: all but ``max_bits`` of
+    ``parts`` runs of bits, in every choice."""
+    cuts = [round(i * BITS / parts) for i in range(parts + 1)]
+    runs = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [sum(kept) for kept in combinations(runs, parts - max_bits)]
 
-def _mask(bits: list[int]) -> Column:
-    m = sum(1 << b for b in bits)
-    return F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("bigint")
 
-
-def _dealt(rows: DataFrame, free: dict[int, list[int]], max_bits: int) -> tuple[DataFrame, dict[int, list[int]]]:
-    """Each row once for each block of the bits still free; ``path`` names the blocks, ``key`` holds their values."""
-    parts = max_bits + 1
-    below: dict[int, list[int]] = {}
-    entries = []
-    for path, bits in free.items():
-        for j, block in enumerate(blocks_of(bits, parts)):
-            child = path * parts + j + 1
-            below[child] = [b for b in bits if b not in set(block)]
-            entries.append((path, child, block))
-    one = {p: F.array(*[
-        F.struct(F.lit(c).alias("path"), F.xxhash64("key", F.lit(c), F.col("fp").bitwiseAND(_mask(b))).alias("key"))
-        for q, c, b in entries if q == p
-    ]) for p in free}
-    pick = F.coalesce(*[F.when(F.col("path") == p, a) for p, a in one.items()])
-    dealt = rows.withColumn("_d", F.explode(pick)).select("fp", F.col("_d.path").alias("path"), F.col("_d.key").alias("key"))
-    return dealt, below
+def _dealt(rows: DataFrame, parts: int, max_bits: int) -> DataFrame:
+    """Each fingerprint once for each mask; ``key`` holds the mask's number and the bits under it."""
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks(parts, max_bits)]
+    listed = F.array(*[F.lit(m).cast("bigint") for m in signed])
+    dealt = rows.select("fp", F.posexplode(listed).alias("path", "mask"))
+    return dealt.select("fp", "path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(u, v) pairs of fingerprints that connect all of column ``fp`` (distinct, no null) within ``max_bits`` bits."""
-    found = None
-    rows = distinct.select("fp", F.lit(0).alias("path"), F.lit(0).cast("bigint").alias("key"))
-    free = {0: list(range(BITS))}
+    """(u, v) pairs of fingerprints that connect all of column ``fp`` (distinct, no null) within ``max_bits`` bits.
+
+    Groups of more than ``group_rows`` are not searched; their fingerprints are dealt again by more and smaller runs
+    of bits. Once the runs left open have 13 bits in all, no group can have over 8192 rows, and all are searched.
+    """
+    found, rows, parts = None, distinct.select("fp"), max_bits + 1
     while True:
-        dealt, free = _dealt(rows, free, max_bits)
-        dealt = written(dealt)
-        sizes = dealt.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-        sizes = written(sizes)
-        total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
-        last = min(len(b) for b in free.values()) <= max_bits
-        hot = (largest or 0) > group_rows and not last
-        small = sizes.where(F.col("n") <= group_rows) if hot else sizes
+        dealt = written(_dealt(rows, parts, max_bits))
+        sizes = written(dealt.groupBy("path", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+        last = -(-BITS // parts) * max_bits <= 13
+        small = sizes if last else sizes.where(F.col("n") <= group_rows)
+        total = small.agg(F.sum("n")).first()[0]
         own = _search(dealt.join(small.select("path", "key"), ["path", "key"]), int(total or 0), max_bits)
         found = own if found is None else found.unionByName(own)
-        if not hot:
-            return found
         large = sizes.where(F.col("n") > group_rows).select("path", "key")
-        rows = dealt.join(large, ["path", "key"])
+        if last or large.isEmpty():
+            return found
+        rows = dealt.join(large, ["path", "key"]).select("fp").distinct()
+        parts += 1
 
 
 def _search(groups: DataFrame, rows: int, max_bits: int) -> DataFrame:
     buckets = max(1, -(-rows // BUCKET_ROWS)) * 4
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = pdf["key"].to_numpy() ^ pdf["path"].to_numpy().astype(np.int64)
+        group = pdf["key"].to_numpy() * np.int64(1021) + pdf["path"].to_numpy()
         fp = pdf["fp"].to_numpy()
         a, b = GrayIndex(group, fp.view(np.uint64)).forest(max_bits)
         return pd.DataFrame({"u": fp[a], "v": fp[b]})
