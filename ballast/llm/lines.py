@@ -102,10 +102,13 @@ def _boundaries(ids: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts or []), reverse=True)
 
 
-def repeats(lines: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame | None:
-    """Rows of ``lines`` (doc, tag, pos, h1, h2) but those in the largest document that holds their key."""
+def repeats(lines: DataFrame, ids: DataFrame, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """Rows of ``lines`` (doc, tag, pos, h1, h2) but those in the largest document that holds their key.
+
+    Batches are cut along the ids in column ``doc`` of ``ids``.
+    """
     spark = lines.sparkSession
-    cuts = _boundaries(lines.select("doc"), batches)
+    cuts = _boundaries(ids, batches)
     batch = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("doc") >= cut, F.lit(i)).otherwise(batch)
@@ -153,7 +156,8 @@ def dedup_lines(
         .where(F.char_length("key") >= min_chars)
         .select("doc", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
     )
-    again = repeats(lines, batches, fanout)
+    ids = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"))
+    again = repeats(lines, ids, batches, fanout)
     often = again.select(*KEY, "doc").distinct().groupBy(*KEY).count().where(F.col("count") >= min_docs - 1)
     lost = again.join(often.select(*KEY), KEY).groupBy("doc", "tag").agg(F.collect_set("pos").alias("_lost"))
     lost = lost.withColumnsRenamed({"doc": "_doc", "tag": "_lost_tag"})
