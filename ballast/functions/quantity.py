@@ -1,75 +1,76 @@
-"""Resource quantities such as ``10Gi``, ``1.5G`` or ``3e9`` as whole bytes."""
+"""Resource quantities such as ``10Gi``, ``1.5G`` or ``3e9`` as whole bytes.
 
-from __future__ import annotations
+There is one definition, a SQL expression; the Column form applies it to its argument.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ballast.fixed_values import BINARY_SUFFIXES, DECIMAL_SUFFIXES, LONG_MAX
-from ballast.functions.literals import lookup
+from ballast.functions.literals import map_sql
 
 PATTERN = (
     r"^([+-]?)(?=\.?[0-9])([0-9]*)(?:\.([0-9]*))?"
     r"(Ki|Mi|Gi|Ti|Pi|Ei|n|u|m|k|M|G|T|P|E|[eE][+-]?[0-9]+|)$"
 )
+_BIG = "decimal(38,0)"
 
 
-def _power_of_ten(exponent: Column) -> Column:
-    return lookup({str(e): 10**e for e in range(19)}, exponent.cast("string"), "decimal(19,0)")
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _split(text: Column) -> Column:
-    sign, whole, frac, suffix = (F.regexp_extract(text, PATTERN, g) for g in (1, 2, 3, 4))
-    return F.struct(sign.alias("sign"), whole.alias("whole"), frac.alias("frac"), suffix.alias("suffix"))
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _number(part: Column) -> Column:
-    ten = F.coalesce(
-        lookup(DECIMAL_SUFFIXES, part["suffix"], "int"),
-        F.regexp_extract(part["suffix"], "^[eE]([+-]?[0-9]+)$", 1).try_cast("int"),
+def _decimal(part: str) -> str:
+    """Digits with the point moved by string arithmetic. An exponent beyond an int moves it beyond any range."""
+    far = f"if(startswith(substring({part}.suffix, 2), '-'), -2000000000, 2000000000)"
+    ten = (
+        f"cast(coalesce(try_element_at({map_sql(DECIMAL_SUFFIXES, 'int')}, {part}.suffix), "
+        f"try_cast(regexp_extract({part}.suffix, '^[eE]([+-]?[0-9]+)$', 1) as int), {far}) as bigint)"
     )
-    digits = F.when(part["whole"] == "", F.lit("0")).otherwise(part["whole"])
-    frac = F.concat(F.lit("0."), F.rpad(F.substring(part["frac"], 1, 18), 18, "0"))
-    return F.struct(
-        part["sign"].alias("sign"),
-        digits.try_cast("decimal(19,0)").alias("whole"),
-        frac.cast("decimal(18,18)").alias("frac"),
-        lookup({s: 1024**p for s, p in BINARY_SUFFIXES.items()}, part["suffix"], "decimal(19,0)").alias("binary"),
-        ten.alias("ten"),
+    digits = f"ltrim('0', concat({part}.whole, {part}.frac))"
+    point = f"char_length({part}.whole) + {ten} - (char_length({part}.whole) + char_length({part}.frac) - char_length(d))"
+    size = (
+        f"case when d = '' then cast(0 as {_BIG}) when p > 19 then cast({LONG_MAX} as {_BIG}) "
+        f"when p <= 0 then cast(1 as {_BIG}) "
+        f"else cast(rpad(substring(d, 1, cast(p as int)), cast(p as int), '0') as {_BIG}) "
+        f"+ if(ltrim('0', substring(d, cast(p as int) + 1)) = '', 0, 1) end"
     )
+    return _let(digits, "d", _let(point, "p", size))
+
+
+def _binary(part: str) -> str:
+    """The whole part times the unit, and the fraction times the unit by long multiplication from its last digit."""
+    unit = f"element_at({map_sql({s: 1024**p for s, p in BINARY_SUFFIXES.items()}, 'decimal(20,0)')}, {part}.suffix)"
+    product = f"cast(u * cast(substring({part}.frac, i, 1) as decimal(1,0)) + a.carry as decimal(22,0))"
+    step = f"struct(cast(floor({product} / 10) as decimal(22,0)) as carry, a.rest or {product} % 10 > 0 as rest)"
+    last = "cast(a.carry as decimal(38,0)) + if(a.rest, 1, 0)"
+    start = "struct(cast(0 as decimal(22,0)) as carry, false as rest)"
+    places = f"if({part}.frac = '', array(), sequence(char_length({part}.frac), 1, -1))"
+    ceiling = f"aggregate({places}, {start}, (a, i) -> {step}, a -> {last})"
+    whole = f"ltrim('0', {part}.whole)"
+    size = (
+        f"case when char_length(d) > 19 then cast({LONG_MAX} as {_BIG}) "
+        f"else cast(cast(concat('0', d) as decimal(19,0)) * cast(u as decimal(19,0)) as {_BIG}) + {ceiling} end"
+    )
+    return _let(unit, "u", _let(whole, "d", size))
 
 
-def _bytes(number: Column) -> Column:
-    whole, frac, ten = number["whole"], number["frac"], number["ten"]
-    zero, one, limit = (F.lit(str(v)).cast("decimal(38,0)") for v in (0, 1, LONG_MAX))
-
-    def scaled_up(unit: Column) -> Column:
-        return (whole * unit).cast("decimal(38,0)") + F.ceil(frac * unit).cast("decimal(38,0)")
-
-    def scaled_down(divisor: Column) -> Column:
-        rest = whole % divisor
-        return ((whole - rest) / divisor).cast("decimal(38,0)") + F.when((rest > 0) | (frac > 0), one).otherwise(zero)
-
-    up = F.coalesce(_let(F.coalesce(number["binary"], _power_of_ten(ten)), scaled_up), limit)
-    down = F.coalesce(_let(_power_of_ten(-ten), scaled_down), F.when(whole.isNotNull(), one), limit)
-    size = F.when((whole == 0) & (frac == 0), zero).otherwise(
-        F.when(F.coalesce(ten, F.lit(0)) >= 0, up).otherwise(down)
-    )
-    bounded = F.least(size, limit).cast("bigint")
-    return F.when(number["sign"] == "-", -bounded).otherwise(bounded)
+def quantity_sql(s: str) -> str:
+    """SQL for the bytes of the quantity named ``s``."""
+    group = [f"regexp_extract({s}, r'{PATTERN}', {g})" for g in range(5)]
+    part = f"struct({group[1]} as sign, {group[2]} as whole, {group[3]} as frac, {group[4]} as suffix)"
+    units = ", ".join(f"'{u}'" for u in BINARY_SUFFIXES)
+    size = f"if(q.suffix in ({units}), {_binary('q')}, {_decimal('q')})"
+    signed = f"if(q.sign = '-', -1, 1) * cast(least({size}, cast({LONG_MAX} as {_BIG})) as bigint)"
+    return f"case when {s} rlike r'{PATTERN}' then {_let(part, 'q', signed)} end"
 
 
 def parse_quantity(text: Column) -> Column:
     """Whole bytes of a quantity, fractions rounded away from zero, null when the text is not a quantity.
 
-    Values beyond the range of a 64-bit integer are held at its limit. All arithmetic is exact decimal; digits past
-    the 18th after the point are not read.
+    Values beyond the range of a 64-bit integer are held at its limit. All arithmetic is exact, over all digits.
     """
-    return F.when(text.rlike(PATTERN), _let(_split(text), lambda part: _let(_number(part), _bytes)))
+    return F.get(F.call_function("transform", F.array(text), F.expr(f"s -> {quantity_sql('s')}")), F.lit(0))

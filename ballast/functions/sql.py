@@ -8,44 +8,14 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ballast.fixed_values import (
-    BINARY_SUFFIXES,
-    DECIMAL_SUFFIXES,
     DEFAULT_GRANULE,
     DEFAULT_STAGE_BYTES,
     GIB,
-    LONG_MAX,
     RANK_ANNOTATIONS,
     SHARD_FILE_FORMAT,
     SHARD_MARK,
 )
-from ballast.functions.literals import map_sql
-from ballast.functions.quantity import PATTERN
-
-
-def _quantity_sql() -> str:
-    part = [f"regexp_extract(s, r'{PATTERN}', {g})" for g in range(5)]
-    whole = f"try_cast(if({part[2]} = '', '0', {part[2]}) as decimal(19,0))"
-    frac = f"cast(concat('0.', rpad(substring({part[3]}, 1, 18), 18, '0')) as decimal(18,18))"
-    tens = map_sql({str(e): 10**e for e in range(19)}, "decimal(19,0)")
-    ten = (
-        f"coalesce(try_element_at({map_sql(DECIMAL_SUFFIXES, 'int')}, {part[4]}), "
-        f"try_cast(regexp_extract({part[4]}, '^[eE]([+-]?[0-9]+)$', 1) as int))"
-    )
-    binary = map_sql({k: 1024**p for k, p in BINARY_SUFFIXES.items()}, "decimal(19,0)")
-    unit = f"coalesce(try_element_at({binary}, {part[4]}), try_element_at({tens}, cast({ten} as string)))"
-    div = f"try_element_at({tens}, cast(-({ten}) as string))"
-    limit = f"cast('{LONG_MAX}' as decimal(38,0))"
-    up = f"cast({whole} * {unit} as decimal(38,0)) + cast(ceil({frac} * {unit}) as decimal(38,0))"
-    down = f"cast(({whole} - {whole} % {div}) / {div} + if({whole} % {div} > 0 or {frac} > 0, 1, 0) as decimal(38,0))"
-    size = (
-        f"case when {whole} = 0 and {frac} = 0 then cast(0 as decimal(38,0)) "
-        f"when coalesce({ten}, 0) >= 0 then coalesce({up}, {limit}) "
-        f"else coalesce({down}, if({whole} is not null, cast(1 as decimal(38,0)), null), {limit}) end"
-    )
-    return (
-        f"case when s rlike r'{PATTERN}' "
-        f"then if({part[1]} = '-', -1, 1) * cast(least({size}, {limit}) as bigint) end"
-    )
+from ballast.functions.quantity import quantity_sql
 
 
 def _annotation_sql() -> str:
@@ -59,7 +29,7 @@ def _annotation_sql() -> str:
 def definitions() -> dict[str, str]:
     sharded = "coalesce(i >= 0 and t > 0, false)"
     return {
-        "parse_quantity(s STRING) RETURNS BIGINT": _quantity_sql(),
+        "parse_quantity(s STRING) RETURNS BIGINT": quantity_sql("s"),
         "align_up(n BIGINT, g BIGINT) RETURNS BIGINT": (
             f"case when n % coalesce(g, {DEFAULT_GRANULE}) = 0 then n "
             f"else (n div coalesce(g, {DEFAULT_GRANULE}) + 1) * coalesce(g, {DEFAULT_GRANULE}) end"

@@ -12,6 +12,8 @@ largest key fits a task gets no block column, and the scans fall back to plain w
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ballast.session import written
 
 ROWS_PER_BLOCK = 1 << 21
-MAX_BLOCKS = 4096
+MAX_BLOCKS = 1 << 18
 SAMPLES_PER_BLOCK = 200
 BLOCK = "_block"
 _POSITION = "_position"
@@ -55,14 +57,16 @@ def split_points(
 def cut(df: DataFrame, order: Column, points: Sequence[float]) -> DataFrame:
     """Add the block number of each row for given split points.
 
-    Equal positions share a block and block numbers never fall as the position grows, which is all the scans need.
+    Equal positions share a block and block numbers never fall as the position grows, which is all the scans need. As
+    in a sort, null positions come first, in a block of their own, and NaN comes last.
     """
     if not points:
         return df
     splits = [float("-inf"), *points, float("inf")]
-    placed = df.withColumn(_POSITION, order.cast("double"))
+    at = order.cast("double")
+    placed = df.withColumn(_POSITION, F.coalesce(F.when(F.isnan(at), F.lit(float("inf"))).otherwise(at), F.lit(0.0)))
     blocked = Bucketizer(splits=splits, inputCol=_POSITION, outputCol=BLOCK).transform(placed)
-    return blocked.withColumn(BLOCK, F.col(BLOCK).cast("int")).drop(_POSITION)
+    return blocked.withColumn(BLOCK, F.when(at.isNull(), -1).otherwise(F.col(BLOCK)).cast("int")).drop(_POSITION)
 
 
 def with_blocks(df: DataFrame, keys: Sequence[str], order: Column, **blocking: int) -> DataFrame:
@@ -80,7 +84,11 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def _carry(df: DataFrame, keys: Sequence[str], per_block: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.join(per_block.select(*keys, BLOCK, *names), [*keys, BLOCK], "left")
+    """Join one row per (key, block) to the rows; null keys are keys, as they are in a window."""
+    on = [*keys, BLOCK]
+    edge = per_block.select(*[F.col(k).alias(f"_on_{k}") for k in on], *names)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in on])
+    return df.join(edge, same, "left").drop(*[f"_on_{k}" for k in on])
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:

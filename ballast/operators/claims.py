@@ -160,10 +160,16 @@ def filter_unallocated(resource_claims: DataFrame) -> DataFrame:
 
 
 def reconcile_diff(validated_claims: DataFrame, resource_claims: DataFrame) -> DataFrame:
-    """Resource claims missing for validated claims (CREATE), and ones whose claim is gone or invalid (DELETE)."""
+    """Resource claims missing for valid claims (CREATE), and ones whose claim no longer exists (DELETE).
+
+    ``validated_claims`` holds every claim that exists. One that fails validation keeps the resource claim it has. Both
+    tables are read once and meet in one aggregate.
+    """
     keys = ["namespace", "name"]
-    want = validated_claims.where(F.col("status") == "True").select(*keys)
-    have = resource_claims.select(*keys)
-    create = want.join(have, keys, "left_anti").withColumn("action", F.lit("CREATE"))
-    delete = have.join(want, keys, "left_anti").withColumn("action", F.lit("DELETE"))
-    return create.unionByName(delete)
+    claim = validated_claims.select(
+        *keys, F.coalesce(F.col("status") == "True", F.lit(False)).alias("valid"), F.lit(True).alias("exists"), F.lit(False).alias("held")
+    )
+    held = resource_claims.select(*keys, F.lit(False).alias("valid"), F.lit(False).alias("exists"), F.lit(True).alias("held"))
+    met = claim.unionByName(held).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("valid", "exists", "held")])
+    action = F.when(F.col("valid") & ~F.col("held"), "CREATE").when(F.col("held") & ~F.col("exists"), "DELETE")
+    return met.select(*keys, action.alias("action")).where(F.col("action").isNotNull())

@@ -14,9 +14,9 @@ BANDWIDTH = "bandwidth_gbs"
 
 
 def number_iterations(iterations: DataFrame, **blocking: int) -> DataFrame:
-    """0-based position of every iteration in its run."""
-    rows = with_blocks(iterations, ["run"], F.col("seq"), **blocking)
-    rows = running_sum(rows, ["run"], ["seq"], {"_n": F.lit(1).cast("bigint")})
+    """0-based number of every row's iteration in its run. An iteration has one row for each of its phases."""
+    rows = with_blocks(iterations, ["run", "phase"], F.col("seq"), **blocking)
+    rows = running_sum(rows, ["run", "phase"], ["seq"], {"_n": F.lit(1).cast("bigint")})
     return drop_blocks(settled(rows.withColumn("iter", F.col("_n") - 1).drop("_n")))
 
 

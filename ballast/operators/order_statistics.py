@@ -11,9 +11,8 @@ from ballast.functions import whole_div
 
 # Sketch size.
 ACCURACY = 20000
-# A group is large above this many values and above one part in MOST_LARGE_GROUPS of all, which bounds their number.
+# A group is large above this many values. There is one bracket for each, so a millionth of the rows at most.
 LARGE_GROUP = 1 << 20
-MOST_LARGE_GROUPS = 10000
 
 
 def distribution_summary(
@@ -25,7 +24,7 @@ def distribution_summary(
     deviation of a single value is 0. Both order statistics are exact, and no large group is ever gathered. A first
     pass brackets the wanted places of large groups with sketches of fixed size. A second one counts what lies outside
     the brackets and keeps only the distinct values inside. The brackets are four times as wide as the sketch's
-    guaranteed error. Brackets are broadcast: there are at most ``MOST_LARGE_GROUPS`` of them. ``rows``, when known, is
+    guaranteed error. There is a bracket for each large group, and the planner chooses the join. ``rows``, when known, is
     the number of values or a number above it, and saves counting them.
     """
     keys = list(keys)
@@ -46,7 +45,7 @@ def distribution_summary(
     else:
         inside = c("_lo1").isNull() | c("_x").between(c("_lo1"), c("_hi1")) | c("_x").between(c("_lo2"), c("_hi2"))
         part = (c("_hi1") < c("_x")).cast("int") + (c("_hi2") < c("_x")).cast("int")
-        counted = x.join(F.broadcast(brackets), keys, "left").select(
+        counted = x.join(brackets, keys, "left").select(
             *keys, F.coalesce(part, F.lit(0)).alias("_part"), F.when(inside, c("_x")).alias("_v")
         )
     counted = counted.groupBy(*keys, "_part", "_v").agg(F.count("*").alias("_c"))
@@ -85,8 +84,7 @@ def _large_brackets(
     """Value ranges around the wanted places of every large group; None when no group can be large."""
     if total <= LARGE_GROUP:
         return None
-    limit = max(LARGE_GROUP, total // MOST_LARGE_GROUPS)
     sketched = x.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", spots, accuracy).alias("_s"))
     names = ("_lo1", "_hi1", "_lo2", "_hi2")
     ranges = [F.col("_s")[i].alias(name) for i, name in enumerate(names)]
-    return sketched.where(F.col("_n") > limit).select(*keys, *ranges)
+    return sketched.where(F.col("_n") > LARGE_GROUP).select(*keys, *ranges)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from ballast.session import written
+
 ROWS_PER_TASK = 1 << 20
 MOST_HOT_KEYS = 1000
 
@@ -17,16 +19,15 @@ def hot_keys(
 ) -> DataFrame | None:
     """Keys holding more rows than one task should take, and how many parts to cut each into; None without any.
 
-    A key is hot above ``rows_per_task`` rows and above a ``most``-th of the table, so there are never more than
-    ``most`` of them whatever the table's size.
+    A key is hot above ``rows_per_task`` rows whatever the table's size, and its parts are that large at most. Up to
+    ``most`` hot keys come to the driver; where there are more, they stay a table.
     """
-    total = df.count()
-    if total <= rows_per_task:
-        return None
-    limit = max(rows_per_task, total // most)
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit)
-    hot = counts.select(*keys, F.ceil(F.col("_rows") / limit).alias("_salts"))
-    rows = hot.collect()
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_task)
+    hot = counts.select(*keys, F.ceil(F.col("_rows") / rows_per_task).alias("_salts"))
+    hot = written(hot)
+    rows = hot.limit(most + 1).collect()
+    if len(rows) > most:
+        return hot
     return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
@@ -45,7 +46,6 @@ def join_spread(
     if hot is None:
         return left.join(right, list(keys), how)
     hot_on = [c for c in hot.columns if c != "_salts"]
-    hot = F.broadcast(hot)  # at most MOST_HOT_KEYS rows
     parts = F.coalesce("_salts", F.lit(1).cast("bigint"))
     hashable = [f.name for f in left.schema.fields if not isinstance(f.dataType, MapType)]
     row = F.xxhash64(*hashable, F.col("_from"))

@@ -341,7 +341,7 @@ transfers AS (
          CASE WHEN event_id % 2 = 1 THEN 'SCATTER' ELSE 'BROADCAST' END AS mode,
          CASE WHEN event_id % 2 = 1 AND event_id % 4 <> 3 THEN (1 + event_id % 75) * 1073741824 // 8 ELSE 0 END AS shard_length
   FROM events),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seq) - 1 AS iter FROM transfers)"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY run, phase ORDER BY seq) - 1 AS iter FROM transfers)"""
 
 CONDITION_UPDATES = """
 updates AS (
@@ -557,7 +557,7 @@ want AS (SELECT namespace, name FROM conditions WHERE status = 'True')
 SELECT namespace, name, 'CREATE' AS action FROM want w
 WHERE NOT EXISTS (SELECT 1 FROM rcs r WHERE r.namespace = w.namespace AND r.name = w.name)
 UNION ALL SELECT namespace, name, 'DELETE' FROM rcs r
-WHERE NOT EXISTS (SELECT 1 FROM want w WHERE r.namespace = w.namespace AND r.name = w.name)"""
+WHERE NOT EXISTS (SELECT 1 FROM claims w WHERE r.namespace = w.namespace AND r.name = w.name)"""
 
     sql["effective_ids"] = f"""WITH {STAGING}
 SELECT claim, buffer, shard_index, total_shards, shard_index >= 0 AND total_shards > 0 AS sharded,

@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from ballast.operators.inventory import parse_inventory
 
 
+def _empty_files(spark: SparkSession, path: str) -> list[str]:
+    """Names of files without a byte, which no file reader returns a row for. Only the listing comes to the driver."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    tops = files.globStatus(place) or []
+    found = [f for top in tops for f in (files.listStatus(top.getPath()) if top.isDirectory() else [top])]
+    names = [f.getPath().getName() for f in found if f.isFile() and f.getLen() == 0]
+    return [n for n in names if not n.startswith(("_", "."))]
+
+
 def read_gpu_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Device count and memory per node; the node is the file's name without its ending."""
-    files = spark.read.text(path, wholetext=True)
-    node = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    return parse_inventory(files.select(node.alias("node"), F.col("value").alias("content")))
+    """Device count and memory per node; the node is the file's name without its ending. An empty file is an error."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+    empty = spark.createDataFrame([(name, "") for name in _empty_files(spark, path)], "file string, content string")
+    node = F.regexp_extract("file", r"^(.*?)(?:\.[^.]*)?$", 1)
+    return parse_inventory(files.unionByName(empty).select(node.alias("node"), "content"))

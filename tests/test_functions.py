@@ -60,6 +60,34 @@ def test_quantity_values(spark):
     assert got == QUANTITIES
 
 
+LONG_QUANTITIES = {
+    "0.0000000000000000001": 1,
+    "0.0000000000000000001Ei": 1,
+    "100000000000000000000n": 10**11,
+    "100000000000000000000m": 10**17,
+    "0.5e19": 5 * 10**18,
+    "0.001e20": 10**17,
+    "1e99999999999": MAX,
+    "1e-99999999999": 1,
+    "0e99999999999": 0,
+    "-0.0000000000000000000000000000000000000001": -1,
+    "0000000000000000000000000000000000000001.5Ki": 1536,
+    "1.5e0000000000000000001": 15,
+    "1234567890123456789.9999999999999999999999999999999999999999": 1234567890123456790,
+    f"0.{str(5**60).zfill(60)}Ei": 1,
+    f"0.{str(5**60).zfill(60)}1Ei": 2,
+    "7.9999999999999999999999999999Ei": MAX,
+    "9223372036854775807": MAX,
+    "9223372036854775806.1": MAX,
+    "123456789012345678901234567890Ki": MAX,
+}
+
+
+def test_quantities_of_many_digits(spark):
+    df = spark.createDataFrame([(q,) for q in LONG_QUANTITIES], "q string")
+    assert {r.q: r.b for r in df.select("q", fn.parse_quantity(F.col("q")).alias("b")).collect()} == LONG_QUANTITIES
+
+
 @settings(max_examples=5, deadline=None)
 @given(
     st.lists(

@@ -180,3 +180,35 @@ def test_deliveries_equal_pairs(spark):
         per_sub = signals.subscription_receipts(df, found, rows_per_block=size).collect()
         want = {s: sum(k == "READY" and c == b and o <= t and (e is None or t < e) for c, _, _, t, k in rows) for b, _, s, o, e in subs}
         assert {x.seq: x.delivered for x in per_sub} == want
+
+
+@pytest.mark.parametrize("after", [False, True])
+def test_scans_with_null_nan_and_tied_positions(spark, after):
+    """Blocks give the window's rows where positions are null, NaN or equal, and where a key is null."""
+    r = random.Random(8)
+    places = [None, float("nan"), float("-inf"), float("inf"), *[float(i // 3) for i in range(60)]]
+    rows = [(r.choice(["a", None]), r.choice(places), i, r.choice([None, i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at double, id int, v int")
+    results = []
+    for rows_per_block in (1 << 20, 25):
+        cut = blocks.with_blocks(df, ["k"], F.col("at"), rows_per_block=rows_per_block)
+        assert (blocks.BLOCK in cut.columns) == (rows_per_block == 25)
+        near = blocks.nearest(cut, ["k"], ["at", "id"], {"near": F.col("v")}, after=after)
+        summed = blocks.running_sum(cut, ["k"], ["at", "id"], {"s": F.coalesce("v", F.lit(0)).cast("bigint")})
+        floored = blocks.floored_sum(cut, ["k"], ["at", "id"], F.when(F.col("v").isNull(), -2).otherwise(1), "f")
+        results.append([
+            sorted(map(str, near.select("id", "near").collect())),
+            sorted(map(str, summed.select("id", "s").collect())),
+            sorted(map(str, floored.select("id", "f", "f_before").collect())),
+        ])
+    assert results[0] == results[1]
+
+
+def test_warm_up_counts_iterations_not_rows(spark):
+    """23 iterations of four phases, the first three slow: 20 of each phase are measured."""
+    phases = ["pack", "propagate", "metadata", "total"]
+    rows = [("r", 4 * i + j, p, 100.0 if i < 3 else 1.0, 1 << 30) for i in range(23) for j, p in enumerate(phases)]
+    df = spark.createDataFrame(rows, "run string, seq bigint, phase string, seconds double, bytes bigint")
+    for rows_per_block in (1 << 20, 5):
+        got = measures.latency_summary(df, rows_per_block=rows_per_block).collect()
+        assert {r.phase: (r.n, r.max) for r in got if r.phase in phases} == {p: (20, 1000.0) for p in phases}
