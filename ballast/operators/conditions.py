@@ -29,9 +29,13 @@ def latest_by_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
 
 
-def condition_latest(updates: DataFrame, sticky: Sequence[str] = STICKY, **blocking: int) -> DataFrame:
-    """The stored condition per object and type."""
+def condition_changes(updates: DataFrame, sticky: Sequence[str] = STICKY, **blocking: int) -> DataFrame:
+    """The updates that decide the stored conditions: the last one, and every change of a sticky type."""
     is_sticky = F.col("type").isin(*sticky)
     refreshed = latest_by_key(updates.where(~is_sticky), KEYS, "seq")
-    kept = condition_transitions(updates.where(is_sticky), **blocking).drop("previous")
-    return refreshed.unionByName(latest_by_key(kept, KEYS, "seq"))
+    return refreshed.unionByName(condition_transitions(updates.where(is_sticky), **blocking).drop("previous"))
+
+
+def condition_latest(updates: DataFrame, sticky: Sequence[str] = STICKY, **blocking: int) -> DataFrame:
+    """The stored condition per object and type."""
+    return latest_by_key(condition_changes(updates, sticky, **blocking), KEYS, "seq")

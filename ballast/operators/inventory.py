@@ -51,12 +51,12 @@ def node_memory(parsed: DataFrame) -> DataFrame:
 
 
 def device_snapshots(snapshots: DataFrame, seconds: int = SNAPSHOT_SECONDS) -> DataFrame:
-    """Latest readable snapshot per node and publication interval; works on tables and on streams with a watermark."""
+    """Latest readable snapshot, by (ts, seq), per node and publication interval; works on tables and on streams with a watermark."""
     interval = F.window("ts", f"{seconds} seconds")
     return (
         snapshots.where(~F.col("failed"))
         .groupBy("node", interval)
-        .agg(F.max_by(F.struct("memory_mib", "seq"), "ts").alias("_last"), F.count("*").alias("reads"))
+        .agg(F.max_by(F.struct("memory_mib", "seq"), F.struct("ts", "seq")).alias("_last"), F.count("*").alias("reads"))
         .select("node", F.col("window.start").alias("interval_start"), "_last.memory_mib", "_last.seq", "reads")
     )
 

@@ -60,7 +60,8 @@ def ready_metadata(signals: DataFrame, timeout: float = READY_TIMEOUT_SECONDS, *
     rows = nearest(base, ["buffer_id"], ["ts", "seq"], {"_earlier": meta})
     rows = nearest(rows, ["buffer_id"], ["ts", "seq"], {"_later": meta}, after=True, base=base)
     ts, earlier, later = F.col("ts"), F.col("_earlier"), F.col("_later")
-    picked = F.when(seconds_between(earlier, ts) <= timeout, earlier).when(
+    # An offset table of the same instant is none later, whichever was numbered first.
+    picked = F.when(later == ts, later).when(seconds_between(earlier, ts) <= timeout, earlier).when(
         seconds_between(ts, later) <= timeout, later
     )
     return rows.where(F.col("signal") == READY).select(

@@ -308,7 +308,7 @@ SUBS = (
 subs AS (
   SELECT c.buffer_id, c.peer, c.seq, c.ts AS connected_at,
          (SELECT min(d.ts) FROM signals d WHERE d.signal = 'DISCONNECT' AND d.buffer_id = c.buffer_id AND d.peer = c.peer
-            AND d.ts > c.ts) AS broken_at
+            AND (d.ts > c.ts OR (d.ts = c.ts AND d.seq > c.seq))) AS broken_at
   FROM signals c WHERE c.signal = 'CONNECT')"""
 )
 
@@ -687,8 +687,6 @@ FROM stored GROUP BY object_id, type"""
 
     sql["condition_transitions"] = f"WITH {CONDITION_UPDATES} SELECT * FROM transitions"
 
-    sql["stream_conditions"] = f"""WITH {CONDITION_UPDATES}
-SELECT object_id, type, arg_max(status, seq) AS status, arg_max(reason, seq) AS reason, max(seq) AS seq, arg_max(ts, seq) AS ts
-FROM updates GROUP BY object_id, type"""
+    sql["stream_conditions"] = sql["condition_latest"]
 
     return sql

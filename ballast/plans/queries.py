@@ -553,4 +553,4 @@ def condition_transitions(spark, sf_dir):
 @query
 def stream_conditions(spark, sf_dir):
     updates = rel.condition_updates(run.read_events_stream(spark, f"{sf_dir}/events.parquet", EVENTS))
-    return ledger.upsert_stream(updates, list(conditions.KEYS), "seq")
+    return ledger.upsert_stream(updates, list(conditions.KEYS), "seq", conditions.condition_changes)

@@ -7,7 +7,7 @@ sorted by ``seq`` inside a micro-batch; one older than what its key has seen is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,18 +105,21 @@ def dedupe_staging_stream(lifecycle: DataFrame, horizon: str) -> DataFrame:
     return stages.dropDuplicatesWithinWatermark(list(STAGING_KEY))
 
 
-def upsert_stream(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
+def upsert_stream(
+    updates: DataFrame, keys: list[str], order: str, fold: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Keep the latest row per key of a stream in a table in the shared folder, and return the table's view.
 
-    Every micro-batch is folded to its own latest rows and written as one batch folder, overwritten when the batch
+    Every micro-batch is folded to its own latest rows (by ``fold``, which may keep more of them) and written as one batch folder, overwritten when the batch
     is run again, so a restart changes nothing and a batch costs its own size rather than the table's. Reading folds
     the batches once more.
     """
     spark = updates.sparkSession
     folder = shared_dir(spark)
+    fold = fold or (lambda rows: latest_by_key(rows, keys, order))
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        latest_by_key(batch, keys, order).write.mode("overwrite").parquet(f"{folder}/table/batch={batch_id}")
+        fold(batch).write.mode("overwrite").parquet(f"{folder}/table/batch={batch_id}")
 
     with stream_conf(spark):
         query = (
@@ -127,4 +130,4 @@ def upsert_stream(updates: DataFrame, keys: list[str], order: str) -> DataFrame:
         )
     query.awaitTermination()
     batches = spark.read.schema(updates.schema).parquet(f"{folder}/table/batch=*")
-    return latest_by_key(batches, keys, order)
+    return latest_by_key(fold(batches), keys, order)

@@ -85,11 +85,11 @@ class UpdateTimeouts(StatefulProcessor):
         passed = [r for r in held if r[0] < limit]
         if not passed:
             return iter([])
-        ready = sorted(us for us, _, is_ready in held if is_ready)
+        ready = sorted((us, seq) for us, seq, is_ready in held if is_ready)
         out = []
         for us, seq, is_ready in passed:
-            at = bisect_right(ready, us)
-            if not is_ready and (at == len(ready) or ready[at] > us + self.timeout):
+            at = bisect_right(ready, (us, seq))
+            if not is_ready and (at == len(ready) or ready[at][0] > us + self.timeout):
                 out.append((key[0], seq, us, "TIMEOUT"))
         kept = [tuple(r) for r in held if r[0] >= limit]
         self.pending.clear()

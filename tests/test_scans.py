@@ -212,3 +212,14 @@ def test_warm_up_counts_iterations_not_rows(spark):
     for rows_per_block in (1 << 20, 5):
         got = measures.latency_summary(df, rows_per_block=rows_per_block).collect()
         assert {r.phase: (r.n, r.max) for r in got if r.phase in phases} == {p: (20, 1000.0) for p in phases}
+
+
+def test_metadata_of_the_same_instant(spark):
+    """An offset table at the READY's own instant wins over an older one, whatever its number."""
+    rows = [("b", "METADATA", "x", 0, 1), ("b", "READY", "x", 10, 2), ("b", "METADATA", "x", 10, 3)]
+    df = spark.createDataFrame(rows, "buffer_id string, signal string, peer string, at int, seq bigint")
+    df = df.withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    df = df.replace({"METADATA": signals.METADATA, "READY": signals.READY}, subset=["signal"])
+    got = signals.ready_metadata(df).first().asDict()
+    stamps = sorted(v for v in got.values() if hasattr(v, "year"))
+    assert len(stamps) >= 2 and stamps[0] == stamps[-1]
