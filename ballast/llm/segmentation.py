@@ -50,6 +50,7 @@ SAMPLED = StructType(
         StructField("log_prob", DoubleType()),
         StructField("perturbed", DoubleType()),
         StructField("inclusion", DoubleType()),
+        StructField("log_inclusion", DoubleType()),
     ]
 )
 
@@ -278,7 +279,7 @@ def _walk(s: Slice, seed: np.ndarray, begin: np.ndarray, word: np.ndarray) -> tu
 
 
 def sample_slice(pieces: Pieces, texts: list[str], keys: list[str], k: int, sharpness: float) -> list[list[tuple]]:
-    """For each text up to ``k`` samples (ids, log_prob, perturbed, inclusion), the best first."""
+    """For each text up to ``k`` samples (ids, log_prob, perturbed, inclusion, log_inclusion), the best first."""
     s = Slice(pieces, texts, sharpness)
     lat, n = s.lattice, len(texts)
     word_of = np.cumsum(np.bincount(s.word, minlength=len(s.chars) + 1)[: len(s.chars)]) - 1
@@ -358,8 +359,9 @@ def sample_slice(pieces: Pieces, texts: list[str], keys: list[str], k: int, shar
             full = tail if parent is None else np.r_[arcs[parent][:kept], taken, tail]
             arcs.append(full)
             logp, value = out[t][i]
-            inclusion = 1.0 if kappa is None else float(-np.expm1(-np.exp(min(logp - kappa, 700.0))))
-            rows.append((_ids(pieces, s, t, full), logp, value, inclusion))
+            over = 700.0 if kappa is None else min(logp - kappa, 700.0)
+            inclusion = float(-np.expm1(-np.exp(over)))
+            rows.append((_ids(pieces, s, t, full), logp, value, inclusion, float(np.log(inclusion)) if over > -30 else over))
         result.append(rows)
     return result
 
@@ -399,7 +401,8 @@ def sample_encodings(
 ) -> DataFrame:
     """Up to ``k`` distinct sampled segmentations of each text, a row each: the input's columns but the text, then
     ``sample`` (from 1, the largest perturbed log-probability first), ``ids``, ``log_prob``, ``perturbed`` and
-    ``inclusion``, the probability of being among the ``k`` given the threshold that was drawn.
+    ``inclusion``, the probability of being among the ``k`` given the threshold that was drawn, with its logarithm in
+    ``log_inclusion``, as that of a long text's sample is too small for a double.
 
     A text with fewer segmentations gives all of them, with inclusion 1. An empty or null text has one, without ids.
     Rows with equal keys and texts get equal samples; a null key is a key of its own.
@@ -423,7 +426,7 @@ def sample_encodings(
                 new = [
                     pa.array([i + 1 for c in counts.tolist() for i in range(c)], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32())),
-                    *[pa.array([r[i] for r in flat], pa.float64()) for i in (1, 2, 3)],
+                    *[pa.array([r[i] for r in flat], pa.float64()) for i in (1, 2, 3, 4)],
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in kept] + new, names=schema.fieldNames())
 
