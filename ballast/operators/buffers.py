@@ -100,22 +100,38 @@ def discovered_shards(validated: DataFrame) -> DataFrame:
     Declared files keep their own index: when one index is named twice the last entry wins and the place left empty
     stays a zero entry. A file pattern divides the capacity evenly and drops the rest; without either, the capacity
     is split to the byte and every shard reads the buffer's own path.
+
+    Shard numbers and declared files are unfolded side by side and meet in one aggregate, as no row can then hold a
+    list per shard.
     """
     c, n, i = F.col, F.col("total_shards"), F.col("shard_index")
     zero = F.lit(0).cast("bigint")
-    placed = validated.where(n > 0).select(
-        "namespace",
-        "name",
+    shard = ["namespace", "name", "shard_index"]
+    passed = validated.where(n > 0)
+    of = F.struct(
         "source_path",
         "total_shards",
-        _files().cast(f"array<{_SHARD}>").alias("_files"),
-        _has_pattern().alias("_pattern"),
-        parse_quantity(F.coalesce("capacity", F.lit(""))).alias("_bytes"),
-        F.explode(numbers_below(n).cast("array<int>")).alias("shard_index"),
+        (F.size(_files()) > 0).alias("listed"),
+        _has_pattern().alias("pattern"),
+        parse_quantity(F.coalesce("capacity", F.lit(""))).alias("bytes"),
+    )
+    numbers = passed.select("namespace", "name", numbers_below(n).cast("array<int>").alias("_numbers"), of.alias("_of"))
+    numbers = numbers.select("namespace", "name", "_of", F.explode("_numbers").alias("shard_index"))
+    files = passed.select("namespace", "name", F.posexplode(_files().cast(f"array<{_SHARD}>")).alias("_place", "_file"))
+    files = files.select("namespace", "name", c("_file.index").alias("shard_index"), "_place", "_file")
+    met = numbers.unionByName(files, allowMissingColumns=True).groupBy(*shard)
+    met = met.agg(F.max_by("_file", "_place").alias("_own"), F.any_value("_of", True).alias("_of"))
+    met = met.where(c("_of").isNotNull())
+    placed = met.select(
+        *shard,
+        "_own",
+        "_of.source_path",
+        "_of.total_shards",
+        c("_of.listed").alias("_listed"),
+        c("_of.pattern").alias("_pattern"),
+        c("_of.bytes").alias("_bytes"),
     )
-    own = F.filter("_files", lambda f: f["index"] == i)
-    placed = placed.withColumn("_own", F.when(F.size(own) > 0, F.element_at(own, -1)))
-    listed, each = F.size("_files") > 0, whole_div(c("_bytes"), n)
+    listed, each = c("_listed"), whole_div(c("_bytes"), n)
     extra = F.when(i < c("_bytes") % n, F.lit(1)).otherwise(F.lit(0))
     return placed.select(
         "namespace",

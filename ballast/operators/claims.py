@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ballast.fixed_values import DEVICE_CLASS, MSG_FOUND, MSG_NO_RANK, MSG_NOT_DISCOVERED, MSG_NOT_FOUND
 from ballast.functions import parse_quantity, shard_from_annotations, whole_div
 from ballast.operators.skew import hot_keys, join_hot, join_spread
+from ballast.session import written
 
 # Joins here carry no broadcast hints, since buffers and claims both grow with the fleet: the planner compares the
 # measured size of a side with its own limit. Rows that lean on one buffer or node are spread over tasks.
@@ -120,11 +121,13 @@ def staging_requests(
         parse_quantity(F.col("capacity")).alias("_bytes"),
         F.coalesce(F.col("sharding.num_shards"), F.lit(0)).alias("_total"),
     )
-    hot = hot_keys(claims, BUFFER_KEY)
-    hot = hot.withColumnRenamed("buffer_name", "buffer") if hot is not None else None
-    joined = join_spread(
-        named.join(by_name, ["namespace", "claim"], "left"), sized, ["namespace", "buffer"], hot
-    )
+    # Requests are counted once, by claim; how many of them lean on a buffer follows from these counts.
+    asked = written(named.groupBy("namespace", "claim").agg(F.count("*").alias("_asked")))
+    hot_claims = hot_keys(asked, ["namespace", "claim"], weight=F.col("_asked"))
+    leaning = asked.join(by_name.drop("_index"), ["namespace", "claim"])
+    hot_buffers = hot_keys(leaning, ["namespace", "buffer"], weight=F.col("_asked"))
+    claimed = join_spread(named, by_name, ["namespace", "claim"], hot_claims)
+    joined = join_spread(claimed, sized, ["namespace", "buffer"], hot_buffers)
     joined = joined.withColumn("total_shards", F.coalesce("_total", F.lit(0)))
     total, size = F.col("total_shards"), F.col("_bytes")
     share = F.when(total > 0, whole_div(size, total)).otherwise(size)

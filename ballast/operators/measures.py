@@ -42,11 +42,30 @@ def latency_summary(iterations: DataFrame, warmup: int = WARMUP_ITERATIONS, **bl
     return stats.withColumns(shown).withColumn("p50", F.col("median"))
 
 
-def summary_record(summary: DataFrame) -> DataFrame:
-    """One nested row per run, a struct of statistics for every phase, ready to be written as JSON."""
+def summary_record(summary: DataFrame, models: DataFrame | None = None) -> DataFrame:
+    """One nested row per run, ready to be written as JSON: ``iters`` and a struct of statistics for every phase.
+
+    Phases measured in milliseconds are named ``pack_ms`` and so on, the rate keeps its name. ``models`` (run, model,
+    num_params, total_bytes; a row per run) adds ``model``, ``params`` in millions and ``weight_size_gb``, null for
+    a run it lacks.
+    """
     stats = F.struct("mean", "median", "p50", "p95", "min", "max", "stddev")
-    phases = F.map_from_entries(F.array_sort(F.collect_list(F.struct("phase", stats.alias("stats")))))
-    return summary.groupBy("run").agg(phases.alias("phases"))
+    name = F.when(F.col("phase") == BANDWIDTH, F.col("phase")).otherwise(F.concat("phase", F.lit("_ms")))
+    phases = F.map_from_entries(F.array_sort(F.collect_list(F.struct(name.alias("phase"), stats.alias("stats")))))
+    iters = F.max(F.when(F.col("phase") != BANDWIDTH, F.col("n")))
+    record = summary.groupBy("run").agg(iters.alias("iters"), phases.alias("phases"))
+    if models is None:
+        return record
+    gib = F.col("total_bytes") / F.lit(float(GIB))
+    known = models.select(
+        "run",
+        "model",
+        F.format_string("%.1fM", F.col("num_params") / F.lit(1e6)).alias("params"),
+        F.format_string("%.3f", gib).alias("weight_size_gb"),
+    )
+    shown = ["params", "weight_size_gb"]
+    joined = record.join(known, "run", "left")
+    return joined.select("run", "model", *[F.when(F.col("model").isNotNull(), F.col(c)).alias(c) for c in shown], "iters", "phases")
 
 
 def mean_transfer(iterations: DataFrame, warmup: int = MEAN_WARMUP_ITERATIONS, **blocking: int) -> DataFrame:

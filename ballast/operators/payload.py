@@ -75,8 +75,8 @@ def pack_chunks(packed: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
 def _cut(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str], chunk_bytes: int) -> DataFrame:
     """Pieces of chunks asked for by ``ranges`` (buffer_id, *keys, _from, _length), with their absolute start.
 
-    All requests to one chunk are listed beside it before any byte is copied, so a chunk that many small tensors
-    share is moved once and not once per tensor. Such a list is bounded by the chunk's own bytes.
+    Chunks meet their requests in a plain join that cuts each piece as it comes out, so a chunk that many small tensors
+    share is moved once, and however many requests overlap, no row holds more than one piece.
     """
     size = _chunk_size(chunk_bytes)
     c = F.col
@@ -87,21 +87,13 @@ def _cut(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str], chunk_bytes:
     asked = asked.select(
         "buffer_id",
         "chunk_no",
-        F.struct(
-            *keys, start.alias("_start"), (start - base + 1).cast("int").alias("_at"), (end - start).cast("int").alias("_n")
-        ).alias("_ask"),
+        *keys,
+        start.alias("_start"),
+        (start - base + 1).cast("int").alias("_at"),
+        (end - start).cast("int").alias("_n"),
     )
-    asked = asked.groupBy("buffer_id", "chunk_no").agg(F.collect_list("_ask").alias("_asks"))
     hits = chunks.select("buffer_id", "chunk_no", "bytes").join(asked, ["buffer_id", "chunk_no"])
-    pieces = F.transform(
-        "_asks",
-        lambda a: F.struct(
-            *[a[k].alias(k) for k in keys],
-            a["_start"].alias("_start"),
-            F.substring(F.col("bytes"), a["_at"], a["_n"]).alias("_piece"),
-        ),
-    )
-    return hits.select("buffer_id", F.explode(pieces).alias("_p")).select("buffer_id", "_p.*")
+    return hits.select("buffer_id", *keys, "_start", F.substring("bytes", c("_at"), c("_n")).alias("_piece"))
 
 
 def unpack(chunks: DataFrame, tensors: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

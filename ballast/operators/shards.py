@@ -131,16 +131,22 @@ def scatter_plan(buffers: DataFrame, targets: Column) -> DataFrame:
     )
 
 
+def broadcast_ranges(buffers: DataFrame, targets: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Every target of a buffer gets every byte of it: one row per target, with the bytes and chunks it gets."""
+    chunks = whole_div(F.col("total_bytes") + (chunk_bytes - 1), chunk_bytes)
+    sent = buffers.select("buffer_id", "total_bytes").join(targets.select("buffer_id", "target_node"), "buffer_id")
+    return sent.withColumns({"chunk_bytes": F.lit(chunk_bytes).cast("bigint"), "chunks": chunks})
+
+
 def broadcast_plan(buffers: DataFrame, targets: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Every target of a buffer gets every byte of it: one row per target and chunk.
+    """``broadcast_ranges`` with a row for each target and chunk, for the buffers or targets one wants to look at.
 
     Targets are joined per buffer first and chunks unfolded last, so only the two narrow tables are shuffled.
     """
     size = F.lit(chunk_bytes).cast("bigint")
     start = F.col("chunk_no") * size
-    chunks = whole_div(F.col("total_bytes") + (chunk_bytes - 1), chunk_bytes)
-    sent = buffers.select("buffer_id", "total_bytes").join(targets.select("buffer_id", "target_node"), "buffer_id")
-    return unfold(sent, F.lit(0).cast("bigint"), chunks, "chunk_no", spread=True).select(
+    sent = broadcast_ranges(buffers, targets, chunk_bytes)
+    return unfold(sent, F.lit(0).cast("bigint"), F.col("chunks"), "chunk_no", spread=True).select(
         "buffer_id",
         "target_node",
         "chunk_no",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
@@ -15,19 +15,24 @@ MOST_HOT_KEYS = 1000
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK, most: int = MOST_HOT_KEYS
+    df: DataFrame,
+    keys: Sequence[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    most: int = MOST_HOT_KEYS,
+    weight: Column | None = None,
 ) -> DataFrame | None:
     """Keys holding more rows than one task should take, and how many parts to cut each into; None without any.
 
     A key is hot above ``rows_per_task`` rows whatever the table's size, and its parts are that large at most. Up to
-    ``most`` hot keys come to the driver; where there are more, they stay a table.
+    ``most`` hot keys come to the driver; where there are more, they stay a table. ``weight`` is how many rows a row
+    of ``df`` stands for, where they have been counted before.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows_per_task)
+    number = F.count("*") if weight is None else F.sum(weight)
+    counts = df.groupBy(*keys).agg(number.alias("_rows")).where(F.col("_rows") > rows_per_task)
     hot = counts.select(*keys, F.ceil(F.col("_rows") / rows_per_task).alias("_salts"))
-    hot = written(hot)
     rows = hot.limit(most + 1).collect()
     if len(rows) > most:
-        return hot
+        return written(hot)
     return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 

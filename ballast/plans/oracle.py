@@ -451,9 +451,13 @@ SELECT buffer_id, '10.0.' || n || '.' || i AS target_node, buffer_id || '__shard
        total_bytes // n AS length_bytes, CAST(i AS INTEGER) AS target_gpu
 FROM (SELECT *, unnest(range(0, n)) AS i FROM sized)"""
 
-    sql["broadcast_plan"] = f"""WITH {TENSORS}, {TOTALS},
-sent AS (SELECT buffer_id, total_bytes, n_name AS target_node FROM totals JOIN nation
-         ON CAST(substr(buffer_id, 4) AS BIGINT) % 5 = n_nationkey % 5)
+    sent = """sent AS (SELECT buffer_id, total_bytes, n_name AS target_node FROM totals JOIN nation
+         ON CAST(substr(buffer_id, 4) AS BIGINT) % 5 = n_nationkey % 5)"""
+    sql["broadcast_ranges"] = f"""WITH {TENSORS}, {TOTALS}, {sent}
+SELECT buffer_id, target_node, total_bytes, CAST(16384 AS BIGINT) AS chunk_bytes,
+       CAST((total_bytes + 16383) // 16384 AS BIGINT) AS chunks FROM sent"""
+
+    sql["broadcast_plan"] = f"""WITH {TENSORS}, {TOTALS}, {sent}
 SELECT buffer_id, target_node, c AS chunk_no, c * 16384 AS byte_start, least(16384, total_bytes - c * 16384) AS length
 FROM (SELECT *, unnest(range(0, (total_bytes + 16383) // 16384)) AS c FROM sent)"""
 

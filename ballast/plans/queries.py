@@ -136,15 +136,24 @@ def scatter_plan(spark, sf_dir):
     return shards.scatter_plan(rel.buffer_totals(spark, sf_dir), F.when(number % 2 == 0, few).otherwise(many))
 
 
-@query
-def broadcast_plan(spark, sf_dir):
+def _sent(spark, sf_dir):
     group = F.substring_index("buffer_id", "-", -1).cast("bigint") % 5
     buffers = rel.buffer_totals(spark, sf_dir).withColumn("_group", group)
     nodes = rel.table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("target_node"), (F.col("n_nationkey") % 5).cast("bigint").alias("_group")
     )
     targets = buffers.select("buffer_id", "_group").join(nodes, "_group").select("buffer_id", "target_node")
-    return shards.broadcast_plan(buffers, targets, PLAN_CHUNK_BYTES)
+    return buffers, targets
+
+
+@query
+def broadcast_plan(spark, sf_dir):
+    return shards.broadcast_plan(*_sent(spark, sf_dir), PLAN_CHUNK_BYTES)
+
+
+@query
+def broadcast_ranges(spark, sf_dir):
+    return shards.broadcast_ranges(*_sent(spark, sf_dir), PLAN_CHUNK_BYTES)
 
 
 # --- payload --------------------------------------------------------------------------------------------------------

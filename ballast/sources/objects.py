@@ -15,14 +15,17 @@ def read_object_list(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def buffers(objects: DataFrame) -> DataFrame:
-    """Buffer objects in the shape ``validate_buffers`` takes."""
-    files = F.transform(
-        F.coalesce("spec.sharding.shardFiles", F.array()),
-        lambda f: F.struct(
-            f["index"].alias("index"),
-            f["path"].alias("path"),
-            F.coalesce(f["sizeBytes"], F.lit(0).cast("bigint")).alias("size_bytes"),
-        ),
+    """Buffer objects in the shape ``validate_buffers`` takes, and the shards their status holds."""
+    files, found = (
+        F.transform(
+            F.coalesce(column, F.array()),
+            lambda f: F.struct(
+                f["index"].alias("index"),
+                f["path"].alias("path"),
+                F.coalesce(f["sizeBytes"], F.lit(0).cast("bigint")).alias("size_bytes"),
+            ),
+        )
+        for column in ("spec.sharding.shardFiles", "status.discoveredShards")
     )
     sharding = F.struct(
         F.col("spec.sharding.strategy").alias("strategy"),
@@ -38,9 +41,25 @@ def buffers(objects: DataFrame) -> DataFrame:
         F.coalesce("spec.sourcePath", F.lit("")).alias("source_path"),
         F.when(F.col("spec.sharding").isNotNull(), sharding).alias("sharding"),
         F.get(ready, F.lit(0))["reason"].alias("ready_reason"),
+        F.coalesce("status.totalShards", F.lit(0)).alias("stored_total_shards"),
+        found.alias("stored_shards"),
     )
 
 
+def stored_buffers(objects: DataFrame) -> DataFrame:
+    """Buffers with the shard count their status holds as ``total_shards``, to resolve claims against what was stored.
+
+    The stored count stays when a later spec becomes invalid; ``validate_buffers`` gives what the spec says now.
+    """
+    return buffers(objects).withColumnRenamed("stored_total_shards", "total_shards")
+
+
+def stored_shards(objects: DataFrame) -> DataFrame:
+    """One row per discovered shard in the buffers' status, in the shape ``resolve_shards`` takes; place is the index."""
+    listed = buffers(objects).select("namespace", "name", F.posexplode("stored_shards").alias("shard_index", "_shard"))
+    return listed.select("namespace", "name", "shard_index", "_shard.path", "_shard.size_bytes")
+
+
 def claims(objects: DataFrame) -> DataFrame:
     """Claim objects in the shape the claim operators take."""
     return objects.select(
@@ -49,6 +68,7 @@ def claims(objects: DataFrame) -> DataFrame:
         F.col("metadata.annotations").alias("annotations"),
         F.col("spec.weightBufferName").alias("buffer_name"),
         F.col("spec.shardIndex").alias("shard_index"),
+        F.col("status.assignedShardIndex").alias("assigned_index"),
     )
 
 

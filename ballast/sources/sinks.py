@@ -19,6 +19,6 @@ def write_shards(pieces: DataFrame, path: str, range_bytes: int = 256 << 20) ->
     ordered.drop("_range").write.mode("overwrite").partitionBy("target_buffer").parquet(path)
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
-    """Write a latency summary as JSON, one object per run with a struct per phase."""
-    summary_record(summary).write.mode("overwrite").json(path)
+def write_summary(summary: DataFrame, path: str, models: DataFrame | None = None) -> None:
+    """Write a latency summary as JSON, one object per run with a struct per phase (see ``summary_record``)."""
+    summary_record(summary, models).write.mode("overwrite").json(path)

@@ -238,3 +238,40 @@ def test_buffer_and_claim_conditions(spark):
         "c7": ("False", "ShardValidationFailed", "WeightBuffer sharding not yet discovered (totalShards=0)"),
         "c8": ("True", "BufferFound", "Validated. Assigned shard 0 of 2 (path: , size: 0 bytes)"),
     }
+
+
+def test_overlapping_assignments(spark):
+    """Many targets that ask for the same bytes each get them, a piece per row."""
+    body = bytes(range(250)) * 4
+    rows = spark.createDataFrame([("b", 0, body)], "buffer_id string, ordinal bigint, payload binary")
+    chunks = payload.pack_chunks(payload.with_payload_offsets(rows), 64)
+    asked = spark.createDataFrame(
+        [("b", f"t{i}", i, 10 * (i % 7), 300) for i in range(200)],
+        "buffer_id string, target_buffer string, shard_index int, offset_bytes bigint, length_bytes bigint",
+    )
+    got = {}
+    for r in payload.scatter(chunks, asked, 64).orderBy("byte_start").collect():
+        assert len(r.bytes) <= 64
+        got[r.target_buffer] = got.get(r.target_buffer, b"") + bytes(r.bytes)
+    assert got == {f"t{i}": body[10 * (i % 7) :][:300] for i in range(200)}
+
+
+def test_many_declared_shards(spark):
+    n = 20_000
+    files = [(i ^ 1, f"/f{i}", i) for i in range(n)]
+    files[5] = (0, "/again", 99)
+    schema = (
+        "namespace string, name string, source_path string, capacity string, total_shards int, "
+        "sharding struct<num_shards:int, shard_files:array<struct<index:int,path:string,size_bytes:bigint>>, file_pattern:string>"
+    )
+    rows = spark.createDataFrame([("d", "b", "/m", "10", n, (n, files, "")), ("d", "off", "/m", "10", 0, (0, [], ""))], schema)
+    got = {r.shard_index: (r.stored_index, r.path, r.size_bytes) for r in buffers.discovered_shards(rows).collect()}
+    assert len(got) == n
+    assert got[0] == (0, "/again", 99) and got[4] == (0, "", 0) and got[7] == (7, "/f6", 6)
+
+
+def test_broadcast_ranges(spark):
+    sizes = spark.createDataFrame([("a", 10), ("e", 0)], "buffer_id string, total_bytes bigint")
+    targets = spark.createDataFrame([("a", "n1"), ("a", "n2"), ("e", "n1")], "buffer_id string, target_node string")
+    got = {(r.buffer_id, r.target_node): (r.total_bytes, r.chunks) for r in shards.broadcast_ranges(sizes, targets, 4).collect()}
+    assert got == {("a", "n1"): (10, 3), ("a", "n2"): (10, 3), ("e", "n1"): (0, 0)}

@@ -158,6 +158,9 @@ def test_spread_join_equals_join(spark, how):
     want = left.join(right, ["k"], how).select("k", "i", "w")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert skew.hot_keys(left, ["k"], rows_per_task=1000) is None
+    counted = left.groupBy("k").agg(F.count("*").alias("rows"))
+    again = skew.hot_keys(counted, ["k"], rows_per_task=100, weight=F.col("rows"))
+    assert sorted(again.collect()) == sorted(hot.collect())
 
 
 def test_deliveries_equal_pairs(spark):

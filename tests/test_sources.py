@@ -172,7 +172,53 @@ def test_shard_sink(spark, tmp_path):
 def test_summary_sink(spark, tmp_path):
     rows = [("r", i, p, 1.0 + i, GIB) for i in range(30) for p in ("pack", "total")]
     df = spark.createDataFrame([(a, 2 * b + (c == "total"), c, d, e) for a, b, c, d, e in rows], "run string, seq bigint, phase string, seconds double, bytes bigint")
-    sinks.write_summary(measures.latency_summary(df), str(tmp_path / "s"))
+    models = spark.createDataFrame([("r", "tiny", 124_400_000, GIB // 4)], "run string, model string, num_params bigint, total_bytes bigint")
+    sinks.write_summary(measures.latency_summary(df), str(tmp_path / "s"), models)
     record = json.loads(next((tmp_path / "s").glob("part-*.json")).read_text())
-    assert record["run"] == "r" and set(record["phases"]) == {"pack", "total", "bandwidth_gbs"}
-    assert set(record["phases"]["pack"]) == {"mean", "median", "p50", "p95", "min", "max", "stddev"}
+    assert record["run"] == "r" and set(record["phases"]) == {"pack_ms", "total_ms", "bandwidth_gbs"}
+    assert set(record["phases"]["pack_ms"]) == {"mean", "median", "p50", "p95", "min", "max", "stddev"}
+    assert record["phases"]["total_ms"]["max"] == 30_000.0 and record["phases"]["bandwidth_gbs"]["min"] == 1 / 30
+    assert (record["model"], record["params"], record["weight_size_gb"], record["iters"]) == ("tiny", "124.4M", "0.250", 27)
+
+
+def test_summary_without_models(spark):
+    df = spark.createDataFrame([("r", i, "total", 1.0, GIB) for i in range(5)], "run string, seq bigint, phase string, seconds double, bytes bigint")
+    summary = measures.latency_summary(df, warmup=1)
+    record = measures.summary_record(summary).first()
+    assert record.iters == 4 and set(record.phases) == {"total_ms", "bandwidth_gbs"}
+    unknown = spark.createDataFrame([], "run string, model string, num_params bigint, total_bytes bigint")
+    record = measures.summary_record(summary, unknown).first()
+    assert (record.model, record.params, record.weight_size_gb) == (None, None, None)
+
+
+def test_stored_status(spark, tmp_path):
+    """A count stored earlier outlives a spec that became invalid, and a stored assignment reaches staging."""
+    buffer_items = [
+        {
+            "metadata": {"namespace": "d", "name": "wb"},
+            "spec": {"capacity": "10", "sourcePath": "/m", "sharding": {"strategy": "Custom", "numShards": 0}},
+            "status": {
+                "totalShards": 2,
+                "discoveredShards": [{"index": 0, "path": "/a", "sizeBytes": 6}, {"index": 1, "path": "/b"}],
+            },
+        }
+    ]
+    claim_items = [
+        {"metadata": {"namespace": "d", "name": "c"}, "spec": {"weightBufferName": "wb", "shardIndex": 1}, "status": {"assignedShardIndex": 1}},
+        {"metadata": {"namespace": "d", "name": "auto"}, "spec": {"weightBufferName": "wb"}, "status": {"assignedShardIndex": 0}},
+    ]
+    for kind, items in {"WeightBuffer": buffer_items, "WeightClaim": claim_items}.items():
+        (tmp_path / f"{kind}.json").write_text(json.dumps({"items": items}))
+    found = objects.read_object_list(spark, str(tmp_path / "WeightBuffer.json"), "WeightBuffer")
+    owned = objects.claims(objects.read_object_list(spark, str(tmp_path / "WeightClaim.json"), "WeightClaim"))
+
+    assert buffers.validate_buffers(objects.buffers(found)).first().total_shards == 0
+    resolved = claims.resolve_shards(owned, objects.stored_buffers(found), objects.stored_shards(found))
+    got = {r.name: (r.status, r.shard_path, r.shard_bytes) for r in resolved.collect()}
+    assert got == {"c": ("True", "/b", 0), "auto": ("False", None, None)}
+
+    requests = spark.createDataFrame([("d", "u", "auto")], "namespace string, uid string, name string")
+    held = spark.createDataFrame([], "namespace string, uid string, name string")
+    for use, index in ((False, -1), (True, 0)):
+        staged = claims.staging_requests(requests, held, owned, objects.buffers(found), use_assigned=use).first()
+        assert (staged.buffer, staged.shard_index) == ("wb", index)
