@@ -29,10 +29,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    marked = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = marked.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(COLUMNS)
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Rows without an id come last in their group, so one of them stays where a group has no other. Rows that share an id
+    are told apart by their texts, and repeats of one row are one document.
+    """
+    key = F.struct(
+        F.col("doc_id").isNull().alias("nameless"),
+        F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("body"),
+    )
+    keyed = docs.withColumn("key", key)
+    marked = simhash.near_duplicates(keyed.select("key", "text"), doc_id="key")
+    first = marked.where(F.col("key") == F.col("component_id")).select("key").distinct()
+    return keyed.join(first, "key", "left_semi").dropDuplicates(["key"]).select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

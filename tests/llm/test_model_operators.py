@@ -194,3 +194,15 @@ def test_pipeline_stages(spark, sf_dir):
     text = {r.doc_id: r.text for r in rows.collect()}
     out = segmentation.decode(corpus_pipeline.run(spark, sf_dir)).collect()
     assert {r.doc_id for r in out} == set(text) and all(r.text == text[r.doc_id] for r in out)
+
+
+def test_simhash_stage_keeps_one_of_each_group(spark):
+    """Clean documents stay, with or without an id; of a group one stays, even where ids are null or repeat."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "blue", "green"))
+    rows = [(1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (3, "a text of its own under a repeated id"), (3, c), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.simhash_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (None, b), (3, c), (3, "a text of its own under a repeated id"), (4, None)]
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted(want, key=str)
+    assert corpus_pipeline.simhash_stage(spark, docs.limit(0), "").count() == 0
