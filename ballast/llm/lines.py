@@ -47,43 +47,48 @@ class Runs:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
-    def _store(self, keys: DataFrame) -> str:
+    def _store(self, keys: DataFrame) -> tuple[str, str]:
+        """Name and folder of a new table of these keys, bucketed and sorted by hash."""
         name = f"run_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{name}"
         writer = keys.repartition(self.buckets, *KEY).write.bucketBy(self.buckets, *KEY).sortBy(*KEY)
-        writer.option("path", f"{shared_dir(self.spark)}/{name}").format("parquet").saveAsTable(name)
-        return name
+        writer.option("path", path).format("parquet").saveAsTable(name)
+        return name, path
 
     def tables(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The keys that no run holds."""
+        self._compact()
         for name in self.tables():
             keys = keys.join(self.spark.table(name).hint("merge"), KEY, "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> DataFrame:
         """Store keys that no run holds as a run, and give them back as a table."""
-        name = self._store(keys)
-        rows = self.spark.read.parquet(self._path(name))
+        name, path = self._store(keys)
         self._put(0, name)
-        return rows
-
-    def _path(self, name: str) -> str:
-        return self.spark.table(name).inputFiles()[0].rsplit("/", 1)[0]
+        return self.spark.read.schema(keys.schema).parquet(path)
 
     def _put(self, level: int, name: str) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(name)
-        if len(self.levels[level]) == self.fanout:
-            merged = None
-            for run in self.levels[level]:
-                rows = self.spark.table(run)
-                merged = rows if merged is None else merged.unionByName(rows)
-            higher = self._store(merged)
-            self._forget(level)
-            self._put(level + 1, higher)
+
+    def _compact(self) -> None:
+        """Merge each level of ``fanout`` runs into a run of the next: when runs are read again, not as they are added."""
+        level = 0
+        while level < len(self.levels):
+            if len(self.levels[level]) >= self.fanout:
+                merged = None
+                for run in self.levels[level]:
+                    rows = self.spark.table(run)
+                    merged = rows if merged is None else merged.unionByName(rows)
+                higher, _ = self._store(merged)
+                self._forget(level)
+                self._put(level + 1, higher)
+            level += 1
 
     def _forget(self, level: int) -> None:
         for run in self.levels[level]:
@@ -120,11 +125,7 @@ def repeats(lines: DataFrame, ids: DataFrame, batches: int = BATCHES, fanout: in
     for i in range(len(cuts) + 1):
         own = stored.where(F.col("batch") == i).drop("batch")
         keys = own.groupBy(*KEY).agg(F.max("doc").alias("doc"))
-        first = runs.unseen(keys)
-        if first.isEmpty():
-            new = keys.limit(0)
-        else:
-            new = runs.add(first)
+        new = runs.add(runs.unseen(keys))
         again = written(own.join(new, [*KEY, "doc"], "left_anti"))
         found = again if found is None else found.unionByName(again)
     runs.close()
