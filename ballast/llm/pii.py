@@ -1,8 +1,9 @@
 """Personal data by fixed patterns and a linear-chain conditional random field.
 
 Four kinds have patterns of their own, which always count: e-mail and IP addresses, card and phone numbers. The field
-adds spans that they miss: spelled or grouped in another way. It runs over the tokens (between blanks) of lines that
-hold a digit or an at sign, as no kind does without. Its features are the shapes of words, of their neighbours and of
+adds spans that they miss: spelled or grouped in another way. It runs over the tokens (between blanks) of every line
+that a span can come from: those with a digit, ``@``, ``(`` or the colons of an IPv6 address in letters, as no span
+counts without one of them (``NEEDS``, ``_plausible``). Its features are the shapes of words, of their neighbours and of
 their ends: capitals, small letters and digits by class, everything else as it stands. It is trained on a small
 labelled table, ``labelled_lines``, and decoded by Viterbi's algorithm in numpy, many lines at a time. A decoded span
 counts where it touches no pattern's span and holds what its kind cannot lack.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from ipaddress import AddressValueError, IPv6Address
 
 import numpy as np
 import pyarrow as pa
@@ -343,13 +345,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- the operator -----------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-_WANTED = re.compile(r"[0-9@]")
 _ENDS = "\"'<>()[]{},;:!?.*&$%#"
+# Digits and one of the marks that a kind cannot lack; an IPv6 address needs no digits.
 NEEDS = {"email": (0, "@("), "ip": (4, ".:-"), "card": (12, ""), "phone": (6, "")}
+# Some of it is in every plausible span: a kind without digits has its marks here, and letters alone need '::' or
+# seven colons to be an IPv6 address.
+_WANTED = re.compile(r"[0-9@(]|:[A-Fa-f]*:")
 
 
 def candidate_lines(text: str) -> list[tuple[int, int]]:
-    """Lines that hold a digit or an at sign."""
+    """Lines that hold what any plausible span holds."""
     out, at = [], 0
     while got := _WANTED.search(text, at):
         begin = text.rfind("\n", at, got.start()) + 1 or at
@@ -368,9 +373,16 @@ def _trimmed(text: str, begin: int, end: int) -> tuple[int, int]:
     return begin, end
 
 
+def _ipv6(text: str) -> bool:
+    try:
+        return text.isascii() and bool(IPv6Address(text.partition("/")[0]))
+    except AddressValueError:
+        return False
+
+
 def _plausible(kind: str, text: str) -> bool:
     digits, marks = NEEDS[kind]
-    return len(_digits(text)) >= digits and (not marks or any(m in text for m in marks))
+    return len(_digits(text)) >= digits and (not marks or any(m in text for m in marks)) or kind == "ip" and _ipv6(text)
 
 
 def find_spans(field: Field, texts: list[str]) -> list[tuple[list, list]]:

@@ -284,6 +284,26 @@ def test_field_finds_what_patterns_miss(spark):
     assert got == [["212-555-0199"], ["5105-1051-0510-5100"], [], ["bob(at)home.example"]]
 
 
+def test_field_sees_every_line_a_span_can_come_from(monkeypatch):
+    """Each labelled span is found on a line of its own, and leaving lines out changes nothing."""
+    field = pii.train([pii.tokens_and_labels(line) for line in pii.LINES.strip().split("\n")])
+    found = lambda text: [(k, text[a:b]) for k, a, b in pii.find_spans(field, [text])[0][1]]
+    for line in pii.LINES.strip().split("\n"):
+        text = re.sub(r"\[\w+ ([^\]]*)\]", r"\1", line)
+        for kind, span in re.findall(r"\[(\w+) ([^\]]*)\]", line):
+            assert any(k == kind and s.strip("<>") in span for k, s in found(text)), line
+    assert found("my address is ben(at)work.example thanks") == [("email", "ben(at)work.example")]
+    assert found("write to bob(at)home.example") == [("email", "bob(at)home.example")]
+    assert found("ping dead:beef::cafe failed") == [("ip", "dead:beef::cafe")]
+    assert found("ping abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd failed") == [("ip", "abcd:abcd:abcd:abcd:abcd:abcd:abcd:abcd")]
+    rng = random.Random(8)
+    pool = ["dead:beef::cafe", "a::b", "::", "abcd:" * 7 + "f", "x(at)y.example", "(", "@", "7", "555-0199", "see", "std::x", ":", "\n", "\n"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(20))) for _ in range(500)]
+    some = pii.find_spans(field, texts)
+    monkeypatch.setattr(pii, "candidate_lines", lambda text: [m.span() for m in re.finditer(r"[^\n]+", text)])
+    assert pii.find_spans(field, texts) == some
+
+
 def test_viterbi_equals_brute_force():
     import itertools
 
