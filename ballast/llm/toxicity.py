@@ -3,9 +3,10 @@
 A logistic regression on which words and word beginnings a text holds once, twice or more often; beginnings catch
 inflected forms. Its vocabulary is the features that tell the classes of the training rows apart best, and all identity
 terms. For each training sentence with an identity term, counterfactuals are made in
-which the term is swapped for the others of its group, and the squared difference of the two scores is added to the
-loss. A group's name then cannot move a score by itself, which is what makes neutral mentions look toxic where the
-training rows happen to hold them.
+which the term is swapped for the others of its group, and the squared difference of the whole text's two scores is
+added to the loss, over all features that the swap changes: words, their beginnings and levels of both. What a group's
+name adds to a score is held near what the other names of its group add, as neutral mentions look toxic otherwise where
+the training rows happen to hold them.
 
 Training reads at most ``max_rows`` labelled rows (those with the smallest hash of their id); the driver gets only the
 vocabulary and, for each such row, the places of its words in it. Scoring reads every whole text where it lies.
@@ -76,15 +77,24 @@ def forms(word: str) -> list[str]:
     return [word, *[f"{word[:n]}-" for n in PREFIXES if len(word) > n]]
 
 
-def features_of(text: str) -> list[str]:
-    """Names of what a text holds: each form, and again for each further level its count reaches."""
+def form_counts(words: list[str]) -> Counter[str]:
     counts: Counter[str] = Counter()
-    for word, n in Counter(words_of(text)).items():
+    for word, n in Counter(words).items():
         for form in forms(word):
             counts[form] += n
+    return counts
+
+
+def reached(counts: dict[str, int]) -> list[str]:
+    """Names of features: each form, and again for each further level its count reaches."""
     return sorted(f if level == 1 else f"{f}*{level}" for f, n in counts.items() for level in LEVELS if n >= level)
 
 
+def features_of(text: str) -> list[str]:
+    """Names of what a text holds."""
+    return reached(form_counts(words_of(text)))
+
+
 class Scorer:
     """The summed weight of a text's features, looking only at forms that the vocabulary knows."""
 
@@ -133,10 +143,35 @@ def counterfactuals(sentences: list[list[str]]) -> list[tuple[str, str]]:
     return [(w, o) for s in sentences for w in s if w in group for o in group[w] if o != w]
 
 
+def changes(text: str) -> list[tuple[list[str], list[str]]]:
+    """(features left, features taken) of the text in each of its distinct counterfactuals.
+
+    In one sentence a term is swapped wherever it stands; the rest of the text stays. As counts change for forms of the
+    two terms only, so do features.
+    """
+    sentences = [words_of(s) for s in SENTENCE.split(text)]
+    held = None
+    out = {}
+    for sentence in sentences:
+        for term, other in dict.fromkeys(counterfactuals([sentence])):
+            held = form_counts(words_of(text)) if held is None else held
+            n = sentence.count(term)
+            before = {f: held[f] for f in (*forms(term), *forms(other))}
+            after = dict(before)
+            for f in forms(term):
+                after[f] -= n
+            for f in forms(other):
+                after[f] += n
+            had, has = set(reached(before)), set(reached(after))
+            out[term, other, *sorted(had - has), "", *sorted(has - had)] = (sorted(had - has), sorted(has - had))
+    return list(out.values())
+
+
 def train(
-    rows: list[tuple[list[int], float]], swaps: list[tuple[int, int, int]], size: int, penalty: float = PENALTY
+    rows: list[tuple[list[int], float]], swaps: list[tuple], size: int, penalty: float = PENALTY
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept. ``rows``: a text's word places and its label; ``swaps``: (row, place left, place taken)."""
+    """Weights and intercept. ``rows``: a text's word places and its label; ``swaps``: (row, places left, places taken),
+    where a single place may stand for a list of one."""
     x = np.zeros((len(rows), size), dtype=np.float32)
     for i, (places, _) in enumerate(rows):
         x[i, places] = 1.0
@@ -145,7 +180,9 @@ def train(
     w, b = np.zeros(size), float(np.log(rate / (1 - rate)))
     if not len(rows):
         return w, b
-    row, left, taken = (np.array(c, dtype=np.int64) for c in zip(*swaps)) if swaps else (np.zeros(0, np.int64),) * 3
+    row = np.array([s[0] for s in swaps], dtype=np.int64)
+    moves = [(i, p, sign) for i, s in enumerate(swaps) for sign, ps in ((-1.0, s[1]), (1.0, s[2])) for p in np.atleast_1d(ps)]
+    swap, place, sign = (np.array(c, dtype=t) for c, t in zip(zip(*moves) if moves else ((),) * 3, (np.int64, np.int64, np.float64)))
     n, pairs = len(rows), max(len(row), 1)
     speed_w, speed_b = np.zeros(size), 0.0
     mean_w, mean_b = np.zeros(size), 0.0
@@ -155,13 +192,13 @@ def train(
         off = (s - y) / n
         grad_w, grad_b = x.T @ off.astype(np.float32) + 2 * RIDGE * w, off.sum()
         if len(row):
-            other = 1 / (1 + np.exp(-(z[row] + w[taken] - w[left])))
+            moved = np.bincount(swap, weights=sign * w[place], minlength=len(row))
+            other = 1 / (1 + np.exp(-(z[row] + moved)))
             gap = 2 * penalty * (s[row] - other) / pairs
             here, there = gap * s[row] * (1 - s[row]), -gap * other * (1 - other)
             both = np.bincount(row, weights=here + there, minlength=n)
             grad_w = grad_w + x.T @ both.astype(np.float32)
-            np.add.at(grad_w, taken, there)
-            np.add.at(grad_w, left, -there)
+            grad_w = grad_w + np.bincount(place, weights=sign * there[swap], minlength=size)
             grad_b += both.sum()
         mean_w, mean_b = 0.9 * mean_w + 0.1 * grad_w, 0.9 * mean_b + 0.1 * grad_b
         speed_w, speed_b = 0.99 * speed_w + 0.01 * grad_w**2, 0.99 * speed_b + 0.01 * grad_b**2
@@ -183,27 +220,31 @@ def fit(
     def rows_of(batches):
         for batch in batches:
             bodies = batch.column("body").to_pylist()
-            swaps = [counterfactuals([words_of(s) for s in SENTENCE.split(b)]) for b in bodies]
+            swaps = [[{"gone": gone, "new": new} for gone, new in changes(b)] for b in bodies]
+            names = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     batch.column("y"),
-                    pa.array([features_of(b) for b in bodies], pa.list_(pa.string())),
-                    pa.array([[f"{a} {o}" for a, o in s] for s in swaps], pa.list_(pa.string())),
+                    pa.array([features_of(b) for b in bodies], names),
+                    pa.array(swaps, pa.list_(pa.struct([("gone", names), ("new", names)]))),
                 ],
                 names=["id", "y", "words", "swaps"],
             )
 
     found = found.dropDuplicates(["body"])
-    rows = written(found.mapInArrow(rows_of, f"id {dict(found.dtypes)['id']}, y double, words array<string>, swaps array<string>"))
+    swapped = "array<struct<gone: array<string>, new: array<string>>>"
+    rows = written(found.mapInArrow(rows_of, f"id {dict(found.dtypes)['id']}, y double, words array<string>, swaps {swapped}"))
     # A row can be longer than the vocabulary, and joins by id can repeat it: the bound holds for what is collected.
     known = list(dict.fromkeys([*vocabulary(rows.select("y", "words")), *sorted(group)]))
     place = {w: i for i, w in enumerate(known)}
     listed = F.array(*[F.lit(w) for w in known])
-    got = rows.select("y", F.array_intersect("words", listed).alias("words"), F.array_distinct("swaps").alias("swaps"))
+    # Features outside the vocabulary have no weight, so what a swap changes among them changes no score.
+    known_only = lambda s: F.struct(*[F.array_intersect(s[c], listed).alias(c) for c in ("gone", "new")])
+    got = rows.select("y", F.array_intersect("words", listed).alias("words"), F.transform("swaps", known_only).alias("swaps"))
     got = got.orderBy(F.xxhash64("words"), "y").limit(max_rows).collect()
     data = [([place[w] for w in r.words], r.y) for r in got]
-    swaps = [(i, place[a], place[o]) for i, r in enumerate(got) for a, o in (s.split(" ") for s in r.swaps)]
+    swaps = [(i, [place[f] for f in s.gone], [place[f] for f in s.new]) for i, r in enumerate(got) for s in r.swaps]
     w, b = train(data, swaps, len(known), penalty)
     return {k: float(v) for k, v in zip(known, w)}, float(b)
 

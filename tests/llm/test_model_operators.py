@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -173,6 +174,48 @@ def test_swapped_identities_score_alike():
     assert toxicity.counterfactuals([["the", "men"], ["gay"]])[0] == ("men", "women")
 
 
+def test_changes_equal_features_of_the_whole_counterfactual_text():
+    texts = [
+        "", "no term", "Muslim women.", "the MUSLIM met a muslim! muslims, christian. Muslim?\nchristians and jews",
+        "men men men men. women! women men", "black 12 black white\n\nasian?!black", "women. " * 5 + "womens men",
+    ]
+    for text in texts:
+        have, want = set(toxicity.features_of(text)), set()
+        parts = re.split(r"([.!?\n]+)", text)
+        for i in range(0, len(parts), 2):
+            for a, b in toxicity.counterfactuals([toxicity.words_of(parts[i])]):
+                swapped = re.sub(rf"(?i)(?<![a-z0-9]){a}(?![a-z0-9])", b, parts[i])
+                other = set(toxicity.features_of("".join([*parts[:i], swapped, *parts[i + 1 :]])))
+                want.add((tuple(sorted(have - other)), tuple(sorted(other - have))))
+        assert {(tuple(gone), tuple(new)) for gone, new in toxicity.changes(text)} == want
+
+
+def test_neutral_mentions_of_long_terms_are_not_toxic(spark):
+    """Names that stand in toxic training rows mostly: their beginnings and counts must not carry what the name may not."""
+    rng = random.Random(7)
+    fill = "today people walked along river then cooked supper with friends while rain fell over town".split()
+    rows = []
+    for i in range(600):
+        bad = i % 2
+        few = ["muslim", "muslims"] if bad and rng.random() < 0.8 else ["christian", "christians", "jews", "jewish"]
+        words = [*rng.choices(fill, k=8), rng.choice(few)] + ([rng.choice(["idiot", "moron"])] if bad and rng.random() < 0.6 else [])
+        rng.shuffle(words)
+        rows.append((i, " ".join(words) + f". note {i}", bad))
+    neutral = "many {} walked along the river. The {} cooked supper"
+    pairs = [("muslim", "christian"), ("muslims", "christians"), ("muslim", "jewish"), ("jews", "muslims")]
+    ids = {t: 1000 + i for i, t in enumerate(sorted({t for p in pairs for t in p}))}
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(i, neutral.replace("{}", t)) for t, i in ids.items()] + [(2000, "you idiot moron")], SCHEMA)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    for penalty in (0.0, toxicity.PENALTY):
+        score = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, labels, penalty=penalty).collect()}
+        gaps = [abs(score[ids[a]] - score[ids[b]]) for a, b in pairs]
+        assert score[2000] > 0.5
+        if penalty:
+            assert max(gaps) < 0.3 and all(score[i] < 0.5 for i in ids.values()), (gaps, score)
+        else:
+            assert max(gaps) > 0.6, gaps
+
+
 def test_isotonic_pools_neighbours():
     assert quality.isotonic(np.array([1.0, 1, 2, 1]), np.array([0.0, 1, 0.25, 2])).tolist() == pytest.approx([0, 0.5, 0.5, 2])
 
