@@ -146,23 +146,26 @@ def _spans(words: Column, rule: Column) -> Column:
 
 
 def _suppressed(hits: Column) -> Column:
-    """Detections that stay, by start: none inside another of the same or a higher rank."""
+    """Detections that stay, by start: none inside a single other one of the same or a smaller rank.
+
+    What holds a detection comes before it in this order. Of the kept ones, ``open`` has those that reach beyond the
+    present start, as no other can hold this detection or a later one.
+    """
     ordered = F.array_sort(F.transform(hits, lambda h: F.struct(
         h["start"].alias("start"), (-h["end"]).alias("back"), h["rank"].alias("rank"), h["label"].alias("label"),
         h["weight"].alias("weight"), h["end"].alias("end"))))
     empty = F.array().cast("array<struct<start:int,end:int,rank:int,label:string,weight:double>>")
 
     def step(acc: Column, h: Column) -> Column:
-        inside = (h["end"] <= acc["end"]) & (h["rank"] >= acc["rank"])
+        inside = F.exists(acc["open"], lambda k: (k["end"] >= h["end"]) & (k["rank"] <= h["rank"]))
         one = F.struct(h["start"].alias("start"), h["end"].alias("end"), h["rank"].alias("rank"), h["label"].alias("label"), h["weight"].alias("weight"))
-        further = h["end"] > acc["end"]
+        reach = F.struct(h["end"].alias("end"), h["rank"].alias("rank"))
         return F.when(inside, acc).otherwise(F.struct(
-            F.greatest(acc["end"], h["end"]).alias("end"),
-            F.when(further, h["rank"]).otherwise(F.least(acc["rank"], h["rank"])).alias("rank"),
+            F.concat(F.filter(acc["open"], lambda k: k["end"] > h["start"]), F.array(reach)).alias("open"),
             F.concat(acc["out"], F.array(one)).alias("out"),
         ))
 
-    start = F.struct(F.lit(-1).alias("end"), F.lit(1 << 30).alias("rank"), empty.alias("out"))
+    start = F.struct(F.array().cast("array<struct<end:int,rank:int>>").alias("open"), empty.alias("out"))
     return F.aggregate(ordered, start, step, lambda acc: acc["out"])
 
 

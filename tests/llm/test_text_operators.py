@@ -234,6 +234,25 @@ def test_detections_equal_all_rules_without_gates(spark):
     assert all(any(g in pattern for g in licenses.GATE) for _, pattern, _, _, _ in licenses.rules())
 
 
+def test_detections_stay_unless_a_single_better_one_holds_them(spark):
+    """All pairs of hits compared."""
+    rng = random.Random(12)
+    pieces = [
+        "unauthorized use", "under", "mit license", "or", "gpl license", "prohibited", "copyleft", "released", "into the public domain",
+        "licensed under the apache license version 2.0", "copyright 2019", "all rights reserved", "gnu general public license v2", "public domain",
+    ]
+    texts = ["unauthorized use under mit license or gpl license prohibited"]
+    texts += [" ".join(rng.choice(pieces) for _ in range(rng.randrange(12))) for _ in range(200)]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("doc_id").collect()
+    assert "gpl" in got[0].labels.split(",") and "mit" in got[0].labels.split(",")
+    for r, text in zip(got, texts):
+        body, hits = f" {' '.join(WORD.findall(text))} ", []
+        for rank, (label, pattern, _, _, weight) in enumerate(licenses.rules()):
+            hits += [(m.start(), m.end(), rank, label, weight) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", body)]
+        held = lambda h: any(k != h and k[0] <= h[0] and k[1] >= h[1] and k[2] <= h[2] for k in hits)  # noqa: B023, E731
+        assert sorted(tuple(d) for d in r.detections) == sorted(h for h in hits if not held(h)), text
+
+
 def test_license_edges(spark, edge_docs):
     out = licenses.scan_licenses(edge_docs.withColumn("score", F.lit("clash")).withColumn("other", F.lit(1)))
     assert out.columns[:3] == ["doc_id", "text", "other"] and dict(out.dtypes)["score"] == "double"
