@@ -138,13 +138,21 @@ MAX_SHAPE = 48
 
 
 def shape_of(token: str) -> str:
-    """The token by classes of characters. Runs longer than four are written as five, as in ``00000``; a shape of more
-    than ``MAX_SHAPE`` characters is cut, so that the number of shapes stays small."""
-    shape = _RUN.sub(lambda m: m[1] * 5, token.translate(_CLASS))
-    shape = "".join("x" if ord(c) > 127 else c for c in shape)
+    """The token by classes of characters, as its features, one to a line.
+
+    Counts, marks and ends are those of the whole token. In the shape as a feature by itself, runs longer than four are
+    written as five, as in ``00000``, and what goes beyond ``MAX_SHAPE`` characters is cut, so that the number of shapes
+    stays small."""
+    whole = "".join("x" if ord(c) > 127 else c for c in token.translate(_CLASS))
     if ":" in token and _HEX.fullmatch(token):
-        shape = "h" * min(token.count(":"), 5) + ":"
-    return shape if len(shape) <= MAX_SHAPE else f"{shape[:MAX_SHAPE]}~"
+        whole = "h" * min(token.count(":"), 5) + ":"
+    shape = _RUN.sub(lambda m: m[1] * 5, whole)
+    digits, letters = whole.count("0"), whole.count("x") + whole.count("X")
+    out = [f"s={shape if len(shape) <= MAX_SHAPE else f'{shape[:MAX_SHAPE]}~'}", f"c={coarse(shape)}"]
+    out += [f"d={min(digits, 6)}", f"l={min(letters, 3)}", f"n={min(len(whole), 12) // 2}"]
+    out += [f"has{c}" for c in sorted({c for c in whole if c not in "xX0"})]
+    out += [f"many{c}{min(whole.count(c), 4)}" for c in "@.:-" if c in whole]
+    return "\n".join([*out, f"first={whole[0]}", f"last={whole[-1]}"])
 
 
 def coarse(shape: str) -> str:
@@ -153,13 +161,7 @@ def coarse(shape: str) -> str:
 
 
 def features_of(shape: str) -> list[str]:
-    if shape == PAD:
-        return ["edge"]
-    digits, letters = shape.count("0"), shape.count("x") + shape.count("X")
-    out = [f"s={shape}", f"c={coarse(shape)}", f"d={min(digits, 6)}", f"l={min(letters, 3)}", f"n={min(len(shape), 12) // 2}"]
-    out += [f"has{c}" for c in sorted({c for c in shape if c not in "xX0"})]
-    out += [f"many{c}{min(shape.count(c), 4)}" for c in "@.:-" if c in shape]
-    return out + [f"first={shape[0]}", f"last={shape[-1]}"]
+    return ["edge"] if shape == PAD else shape.split("\n")
 
 
 class Field:

@@ -323,6 +323,17 @@ def test_field_sees_every_line_a_span_can_come_from(monkeypatch):
     assert pii.find_spans(field, texts) == some
 
 
+def test_features_are_those_of_the_whole_token():
+    path = "https://Ab.c1/" * 5
+    for token in (f"{path}bob@host42", f"{path}call=555-0199", "1" * 30 + "@", "x" * 60 + "9"):
+        got, bare = set(pii.features_of(pii.shape_of(token))), "".join(c for c in token if not c.isalnum())
+        assert {f"has{c}" for c in bare} == {f for f in got if f.startswith("has")}
+        assert {f"many{c}{min(token.count(c), 4)}" for c in "@.:-" if c in token} == {f for f in got if f.startswith("many")}
+        digits, letters = sum(c.isdigit() for c in token), sum(c.isalpha() for c in token)
+        last = "0" if token[-1].isdigit() else token[-1]
+        assert {f"d={min(digits, 6)}", f"l={min(letters, 3)}", "n=6", f"last={last}"} <= got
+
+
 def test_viterbi_equals_brute_force():
     import itertools
 
