@@ -48,7 +48,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segmentation.sample_encodings(_texts(spark, sf_dir))
+    rows = segmentation.decode(segmentation.sample_encodings(_texts(spark, sf_dir)))
+    return rows.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -86,6 +87,12 @@ def test_op3_over_the_table(spark, sf_dir):
     assert {r.doc_id for r in rows} == set(docs) and all(r.text == docs[r.doc_id] for r in rows)
 
 
+def test_op3_decodes_its_samples(spark, sf_dir):
+    digest = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op3_sentencepiece(spark, sf_dir).collect()
+    assert {r.doc_id for r in rows} == set(digest) and all(r.text_sha256 == digest[r.doc_id] for r in rows)
+
+
 # --- token counts -----------------------------------------------------------------------------------------------------
 
 
