@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm import (
+    centroids,
     decontamination,
     licenses,
     lines,
+    near_vectors,
     pii,
     quality,
     segmentation,
@@ -18,6 +20,7 @@ from ballast.llm import (
     token_counts,
     toxicity,
     vectors,
+    whitening,
 )
 
 QUERY_STEP = 50
@@ -95,6 +98,30 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.drop("embedding")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    rows = out.select("*", F.posexplode("whitened").alias("place", "value"))
+    return rows.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        F.col("deviation").cast("bigint").alias("deviation"),
+        F.col("value").alias("whitened"),
+        F.col("explained")[F.col("place")].alias("explained"),
+        "identity_error",
+    )
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,9 +135,63 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_top_k,
         op10_personal_data,
+        op11_centroids,
+        op12_whitening,
+        op13_near_vectors,
     )
 }
 
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _centroid_sql() -> str:
+    """Lloyd's rounds one after another, every vector against every centroid."""
+    squared = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [
+        f"""
+        kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE len(embedding) = {centroids.DIM} AND {_SOUND}
+        ),
+        named AS (SELECT sha256('{centroids.SALT}' || CAST(vec_id AS VARCHAR)) AS h, v FROM kept WHERE vec_id IS NOT NULL),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v
+            FROM (SELECT * FROM named ORDER BY h, v LIMIT {centroids.CENTROIDS})
+        )"""
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(
+            f"""
+        a{i} AS MATERIALIZED (
+            SELECT r, vec_id, v, struct_extract(least, 'd') AS d, struct_extract(least, 'c') AS c FROM (
+                SELECT k.r, k.vec_id, k.v, min(struct_pack(d := {squared}, c := c.c)) AS least
+                FROM kept k CROSS JOIN c{i} c GROUP BY k.r, k.vec_id, k.v
+            )
+        )"""
+        )
+        if i < centroids.ROUNDS:
+            parts.append(
+                f"""
+        s{i} AS (
+            SELECT c, i, sum(x) AS s, count(*) AS n
+            FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY c, i
+        ),
+        m{i} AS (
+            SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{i} GROUP BY c
+        ),
+        c{i + 1} AS MATERIALIZED (SELECT c{i}.c AS c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} ON c{i}.c = m{i}.c)"""
+            )
+    last = centroids.ROUNDS
+    return f"""
+        WITH {",".join(parts)}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS "cluster", CAST(d AS BIGINT) AS distance,
+            CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM a{last} a JOIN c{last} c ON a.c = c.c
+    """
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOWER.format("coalesce(text, '')"))
 
@@ -175,4 +256,5 @@ SQL: dict[str, str] = {
         FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
         QUALIFY rank <= 5
     """,
+    "op11_centroids": _centroid_sql(),
 }
