@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballast.operators.blocks import drop_blocks, nearest, with_blocks
+from ballast.operators.skew import join_hot
 
 KEYS = ("object_id", "type")
 # Types whose stored entry changes only when the status does; all others are rewritten by every update.
@@ -39,3 +40,22 @@ def condition_changes(updates: DataFrame, sticky: Sequence[str] = STICKY, **bloc
 def condition_latest(updates: DataFrame, sticky: Sequence[str] = STICKY, **blocking: int) -> DataFrame:
     """The stored condition per object and type."""
     return latest_by_key(condition_changes(updates, sticky, **blocking), KEYS, "seq")
+
+
+def deciding_updates(updates: DataFrame, sticky: Sequence[str] = STICKY, **limits: int) -> DataFrame:
+    """The updates that can still decide a stored condition, whatever other updates are yet to come in whatever order.
+
+    Of a type that is not sticky, that is the last update. Of a sticky type it is the last run of equal status, all of
+    it, and the update before it: a late update inside the run would make the first one after it decide. What lies
+    further back cannot, as the last update of every other status only moves on. So this is a merge: applied to parts
+    of the updates, and again to what it left of them, it leaves what it leaves of all. A key has few statuses.
+    """
+    is_sticky = F.coalesce(F.col("type").isin(*sticky), F.lit(False))
+    refreshed = latest_by_key(updates.where(~is_sticky), KEYS, "seq")
+    own = updates.where(is_sticky)
+    newest = own.groupBy(*KEYS, "status").agg(F.max("seq").alias("_newest"))
+    by_age = F.sort_array(F.collect_list("_newest"), asc=False)
+    before_run = newest.groupBy(*KEYS).agg(F.get(by_age, F.lit(1)).alias("_before"))
+    placed = join_hot(own, before_run, list(KEYS), "left", **limits)
+    held = placed.where(F.col("_before").isNull() | (F.col("seq") >= F.col("_before"))).drop("_before")
+    return refreshed.unionByName(held)

@@ -14,18 +14,21 @@ STAGE, UNSTAGE = "stage", "unstage"
 _TARGET = ["effective_id", "shard_index", "total_shards"]
 
 
-def claim_deltas(lifecycle: DataFrame) -> DataFrame:
+def claim_deltas(lifecycle: DataFrame, expire_seconds: int | None = None) -> DataFrame:
     """Turn events into +1 / -1 on the buffer they touch.
 
     An unstage names only its claim, so it acts on the buffer of that claim's previous event, provided that was a
     stage. A failed stage still records the claim but adds nothing. Events of one node and claim are ordered by
-    ``seq``, which is unique.
+    ``seq``, which is unique. With ``expire_seconds`` an unstage later than that, by column ``at``, acts on nothing.
     """
     c = F.col
     named = lifecycle.withColumn("effective_id", effective_buffer_id(c("buffer_id"), c("shard_index"), c("total_shards")))
-    seen = nearest(named, ["node", "claim"], ["seq"], {"_prev": F.struct("op", *_TARGET)})
+    at = ["at"] if expire_seconds is not None else []
+    seen = nearest(named, ["node", "claim"], ["seq"], {"_prev": F.struct("op", *_TARGET, *at)})
     up = (c("op") == STAGE) & c("ok")
     down = (c("op") == UNSTAGE) & F.coalesce(c("_prev.op") == STAGE, F.lit(False))
+    if expire_seconds is not None:
+        down &= F.coalesce(F.unix_micros("at") - F.unix_micros("_prev.at") <= expire_seconds * 1_000_000, F.lit(True))
     target = {t: F.when(down, c(f"_prev.{t}")).otherwise(c(t)) for t in _TARGET}
     return (
         seen.where(up | down)

@@ -404,7 +404,7 @@ def dedupe_staging(spark, sf_dir):
 @query
 def stream_ledger(spark, sf_dir):
     lifecycle = rel.lifecycle(run.read_events_stream(spark, f"{sf_dir}/events.parquet", EVENTS))
-    return run.run_available(ledger.allocation_ledger(lifecycle)).where(~F.col("late")).select(*LEDGER_COLUMNS)
+    return ledger.allocation_ledger(lifecycle).where(~F.col("late")).select(*LEDGER_COLUMNS)
 
 
 @query
@@ -457,7 +457,7 @@ def stream_ready_metadata(spark, sf_dir):
 @query
 def stream_update_timeouts(spark, sf_dir):
     late = stream_sig.update_timeouts_stream(rel.signals(_event_stream(spark, sf_dir)), STREAM_DELAY)
-    return run.run_available(late).where(F.col("seq") >= 0).withColumnRenamed("started_us", "started_at")
+    return run.run_available(late).where(F.col("seq") >= 0)
 
 
 @query
@@ -562,4 +562,6 @@ def condition_transitions(spark, sf_dir):
 @query
 def stream_conditions(spark, sf_dir):
     updates = rel.condition_updates(run.read_events_stream(spark, f"{sf_dir}/events.parquet", EVENTS))
-    return ledger.upsert_stream(updates, list(conditions.KEYS), "seq", conditions.condition_changes)
+    return ledger.upsert_stream(
+        updates, list(conditions.KEYS), "seq", conditions.deciding_updates, conditions.condition_latest
+    )

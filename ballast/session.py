@@ -43,10 +43,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/ballast-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: computed once, and not again when an executor is lost."""
-    path = f"{shared_dir(df.sparkSession)}/rows"
-    df.write.parquet(path)
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, and not again when an executor is lost.
+
+    A ``path`` is overwritten, so that a job that runs again and again, as a stream's batches do, leaves one table.
+    """
+    path = path or f"{shared_dir(df.sparkSession)}/rows"
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,19 @@ def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def run_batches(stream: DataFrame, advance: Callable[[DataFrame, int], None], folder: str) -> None:
+    """Run a stream over all data its source holds, a function taking each micro-batch and its number. Progress is kept
+    in ``folder``, so a later run goes on where this one ended."""
+    with stream_conf(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(advance)
+            .option("checkpointLocation", f"{folder}/state")
+            .trigger(availableNow=True)
+            .start()
+        )
+    query.awaitTermination()
+
+
 def stream_conf(spark: SparkSession):
     """RocksDB state, with a state partition per core of the application."""
     return conf(

@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ballast.fixed_values import READY_TIMEOUT_SECONDS
 from ballast.functions import whole_div
 from ballast.operators.signals import METADATA, PRE_UPDATE, READY, micros, session_totals
 
-TIMEOUTS = "buffer_id string, seq bigint, started_us bigint, outcome string"
-
 
 def ready_with_metadata(signals: DataFrame, delay: str, timeout: int = READY_TIMEOUT_SECONDS) -> DataFrame:
     """Each READY with the offset table it goes with, whichever came first; unmatched ones once time has passed.
@@ -54,63 +47,33 @@ def ready_with_metadata(signals: DataFrame, delay: str, timeout: int = READY_TIM
     )
 
 
-class UpdateTimeouts(StatefulProcessor):
-    """Holds updates and READYs of one buffer until the watermark has passed an update's time limit.
+def update_timeouts_stream(signals: DataFrame, delay: str, timeout: int = READY_TIMEOUT_SECONDS) -> DataFrame:
+    """Updates that saw no READY within the time limit, reported when the watermark has passed the limit.
 
-    An update is judged only then, so the order in which its rows arrive does not matter. A READY is kept as long,
-    which outlasts every update it could answer. One timer per buffer waits for the next limit.
+    These are the rows that an outer join of updates with READYs leaves unmatched. The join key holds a time bin as wide
+    as the limit besides the buffer; a READY stands in its own bin and the one before, where all updates it can answer
+    begin, so an update is looked up once and a busy buffer is spread over its bins. Both sides' state goes with the
+    watermark. A READY of an update's own instant answers it if it has the larger number, as in the batch twin.
     """
 
-    def __init__(self, timeout_seconds: int):
-        self.timeout = timeout_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getListState("pending", "us bigint, seq bigint, ready boolean")
-
-    def _wait_for(self, us: int) -> None:
-        # Timers count whole milliseconds; the extra one keeps a READY at the very limit in time.
-        self.handle.registerTimer((us + self.timeout) // 1000 + 1)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            new = [(int(us), int(seq), kind == READY) for us, seq, kind in zip(pdf["us"], pdf["seq"], pdf["signal"])]
-            self.pending.appendList(new)
-            self._wait_for(min(us for us, _, _ in new))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs() * 1000 - self.timeout
-        held = list(self.pending.get())
-        passed = [r for r in held if r[0] < limit]
-        if not passed:
-            return iter([])
-        ready = sorted((us, seq) for us, seq, is_ready in held if is_ready)
-        out = []
-        for us, seq, is_ready in passed:
-            at = bisect_right(ready, (us, seq))
-            if not is_ready and (at == len(ready) or ready[at][0] > us + self.timeout):
-                out.append((key[0], seq, us, "TIMEOUT"))
-        kept = [tuple(r) for r in held if r[0] >= limit]
-        self.pending.clear()
-        if kept:
-            self.pending.put(kept)
-            self._wait_for(min(us for us, _, _ in kept))
-        return iter([pd.DataFrame(out, columns=["buffer_id", "seq", "started_us", "outcome"])] if out else [])
-
-    def close(self) -> None:
-        pass
-
+    def bin_of(ts: Column) -> Column:
+        return whole_div(micros(ts), timeout * 1_000_000)
 
-def update_timeouts_stream(signals: DataFrame, delay: str, timeout: int = READY_TIMEOUT_SECONDS) -> DataFrame:
-    """Updates that saw no READY within the time limit, reported when the limit has passed."""
-    rows = (
-        signals.where(F.col("signal").isin(PRE_UPDATE, READY))
-        .withWatermark("ts", delay)
-        .select("buffer_id", "seq", "signal", "ts", micros(F.col("ts")).alias("us"))
+    begun = signals.where(F.col("signal") == PRE_UPDATE).select(
+        "buffer_id", "seq", F.col("ts").alias("started_at"), bin_of(F.col("ts")).alias("bin")
+    )
+    answered = F.explode(F.array(bin_of(F.col("ts")), bin_of(F.col("ts")) - 1))
+    ready = signals.where(F.col("signal") == READY).select(
+        F.col("buffer_id").alias("ready_buffer"), F.col("seq").alias("ready_seq"), F.col("ts").alias("ready_at"),
+        answered.alias("ready_bin"),
+    )
+    in_time = F.expr(
+        f"buffer_id = ready_buffer and bin = ready_bin and ready_at >= started_at "
+        f"and ready_at <= started_at + interval {timeout} seconds and (ready_at > started_at or ready_seq > seq)"
     )
-    return rows.groupBy("buffer_id").transformWithStateInPandas(
-        statefulProcessor=UpdateTimeouts(timeout), outputStructType=TIMEOUTS, outputMode="Append", timeMode="EventTime"
+    pairs = begun.withWatermark("started_at", delay).join(ready.withWatermark("ready_at", delay), in_time, "left_outer")
+    return pairs.where(F.col("ready_buffer").isNull()).select(
+        "buffer_id", "seq", "started_at", F.lit("TIMEOUT").alias("outcome")
     )
 
 
