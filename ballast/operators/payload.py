@@ -1,6 +1,7 @@
 """Tensor bytes: packing into fixed chunks, cutting them out again, scattering, checking and decoding.
 
-Bytes never leave the JVM except to be decoded as numbers. Every gathered cell is one tensor or one chunk.
+Bytes never leave the JVM except to be decoded as numbers. Every gathered cell is one tensor or one chunk; ``pieces`` has
+the same work for tensors beyond a row.
 """
 
 from __future__ import annotations
@@ -25,17 +26,19 @@ MAX_CHUNK_BYTES = 1 << 30
 DIGEST_FAN_IN = 4096
 
 
-def _chunk_size(chunk_bytes: int) -> Column:
+def chunk_size(chunk_bytes: int) -> Column:
+    """The chunk size as a column, if it is one that a row can hold."""
     if not 0 < chunk_bytes <= MAX_CHUNK_BYTES:
         raise ValueError(f"chunk_bytes must be in 1..{MAX_CHUNK_BYTES}")
     return F.lit(chunk_bytes).cast("bigint")
 
 
-def _joined(piece: str, order: str) -> Column:
+def joined(piece: str, order: str) -> Column:
+    """Pieces of a group put together in order."""
     return F.expr(f"listagg({piece}) within group (order by {order})")
 
 
-def _with_touched_chunks(df: DataFrame, start: Column, length: Column, chunk_bytes: int) -> DataFrame:
+def with_touched_chunks(df: DataFrame, start: Column, length: Column, chunk_bytes: int) -> DataFrame:
     """One row per chunk that ``[start, start+length)`` touches; none for an empty range."""
     first, last = whole_div(start, chunk_bytes), whole_div(start + length - 1, chunk_bytes)
     return unfold(df.where(length > 0), first, last - first + 1, "chunk_no")
@@ -57,30 +60,30 @@ def with_payload_offsets(payloads: DataFrame, order: Sequence[str] = ("ordinal",
 
 def pack_chunks(packed: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Cut each buffer's flat address space into chunks: (buffer_id, chunk_no, byte_start, bytes)."""
-    size = _chunk_size(chunk_bytes)
+    size = chunk_size(chunk_bytes)
     c = F.col
     base = c("chunk_no") * size
     start = F.greatest(c("offset"), base)
     end = F.least(c("offset") + c("nbytes"), base + size)
-    pieces = _with_touched_chunks(packed, c("offset"), c("nbytes"), chunk_bytes).select(
+    pieces = with_touched_chunks(packed, c("offset"), c("nbytes"), chunk_bytes).select(
         "buffer_id",
         "chunk_no",
         start.alias("_start"),
         F.substring("payload", (start - c("offset") + 1).cast("int"), (end - start).cast("int")).alias("_piece"),
     )
-    chunks = pieces.groupBy("buffer_id", "chunk_no").agg(_joined("_piece", "_start").alias("bytes"))
+    chunks = pieces.groupBy("buffer_id", "chunk_no").agg(joined("_piece", "_start").alias("bytes"))
     return chunks.select("buffer_id", "chunk_no", base.alias("byte_start"), "bytes")
 
 
-def _cut(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str], chunk_bytes: int) -> DataFrame:
+def cut_chunks(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str], chunk_bytes: int) -> DataFrame:
     """Pieces of chunks asked for by ``ranges`` (buffer_id, *keys, _from, _length), with their absolute start.
 
     Chunks meet their requests in a plain join that cuts each piece as it comes out, so a chunk that many small tensors
     share is moved once, and however many requests overlap, no row holds more than one piece.
     """
-    size = _chunk_size(chunk_bytes)
+    size = chunk_size(chunk_bytes)
     c = F.col
-    asked = _with_touched_chunks(ranges, c("_from"), c("_length"), chunk_bytes)
+    asked = with_touched_chunks(ranges, c("_from"), c("_length"), chunk_bytes)
     base = c("chunk_no") * size
     start = F.greatest(c("_from"), base)
     end = F.least(c("_from") + c("_length"), base + size)
@@ -97,10 +100,11 @@ def _cut(chunks: DataFrame, ranges: DataFrame, keys: Sequence[str], chunk_bytes:
 
 
 def unpack(chunks: DataFrame, tensors: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Payload of every tensor (buffer_id, ordinal, offset, nbytes), cut back out of the chunks."""
+    """Payload of every tensor (buffer_id, ordinal, offset, nbytes), cut back out of the chunks and put together in one
+    row each. ``pieces.unpack_pieces`` leaves it in pieces, for tensors that no row can hold."""
     ranges = tensors.select("buffer_id", "ordinal", F.col("offset").alias("_from"), F.col("nbytes").alias("_length"))
-    pieces = _cut(chunks, ranges, ["ordinal"], chunk_bytes)
-    filled = pieces.groupBy("buffer_id", "ordinal").agg(_joined("_piece", "_start").alias("payload"))
+    pieces = cut_chunks(chunks, ranges, ["ordinal"], chunk_bytes)
+    filled = pieces.groupBy("buffer_id", "ordinal").agg(joined("_piece", "_start").alias("payload"))
     empty = tensors.where(F.col("nbytes") == 0).select("buffer_id", "ordinal", F.lit(b"").alias("payload"))
     return filled.unionByName(empty)
 
@@ -118,7 +122,7 @@ def scatter(chunks: DataFrame, assignments: DataFrame, chunk_bytes: int = CHUNK_
         F.col("offset_bytes").alias("_from"),
         F.col("length_bytes").alias("_length"),
     )
-    pieces = _cut(chunks, ranges, ["target_buffer", "shard_index"], chunk_bytes)
+    pieces = cut_chunks(chunks, ranges, ["target_buffer", "shard_index"], chunk_bytes)
     return pieces.select(
         "buffer_id", "target_buffer", "shard_index", F.col("_start").alias("byte_start"), F.col("_piece").alias("bytes")
     )
@@ -140,13 +144,19 @@ def buffer_digests(digests: DataFrame, levels: int = 3, fan_in: int = DIGEST_FAN
     Level by level, up to ``fan_in`` neighbouring digests are joined in order and hashed, so no row ever gathers a
     whole buffer. Three levels of 4096 reach past 6e10 tensors.
     """
-    level = digests.select("buffer_id", F.col("position").alias("_pos"), F.col("sha256").alias("_hex"))
+    leaves = digests.select("buffer_id", F.col("position").alias("_pos"), F.col("sha256").alias("_hex"))
+    return digest_tree(leaves, ["buffer_id"], levels, fan_in)
+
+
+def digest_tree(leaves: DataFrame, keys: Sequence[str], levels: int, fan_in: int) -> DataFrame:
+    """(*keys, digest) from hashes (*keys, _pos, _hex), numbered without gaps from 0."""
+    level = leaves
     for _ in range(levels):
-        grouped = level.groupBy("buffer_id", whole_div(F.col("_pos"), fan_in).alias("_next"))
-        level = grouped.agg(F.sha2(_joined("_hex", "_pos"), 256).alias("_hex")).withColumnRenamed("_next", "_pos")
-    shallow = F.raise_error(F.lit("buffer needs more levels")).cast("string")
+        grouped = level.groupBy(*keys, whole_div(F.col("_pos"), fan_in).alias("_next"))
+        level = grouped.agg(F.sha2(joined("_hex", "_pos"), 256).alias("_hex")).withColumnRenamed("_next", "_pos")
+    shallow = F.raise_error(F.lit("more levels are needed")).cast("string")
     digest = F.when(F.count("*") == 1, F.max("_hex")).otherwise(shallow)
-    return level.groupBy("buffer_id").agg(digest.alias("digest"))
+    return level.groupBy(*keys).agg(digest.alias("digest"))
 
 
 def verify_replicas(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -175,7 +185,7 @@ def verify_replicas(left: DataFrame, right: DataFrame) -> DataFrame:
     return digests.withColumn("verdict", verdict).drop("_least", "_most")
 
 
-def _decode(raw: bytes, dtype: str) -> np.ndarray:
+def decoded(raw: bytes, dtype: str) -> np.ndarray:
     if dtype in ("BF16", "bfloat16"):
         return (np.frombuffer(raw, "<u2").astype("<u4") << 16).view("<f4")
     return np.frombuffer(raw, {2: "<f2", 4: "<f4", 8: "<f8"}[ITEM_SIZES[dtype]]).astype("<f4")
@@ -185,7 +195,7 @@ def _decode(raw: bytes, dtype: str) -> np.ndarray:
 def _typed_values(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for raw, dtype in batches:
         whole = [r is not None and len(r) % ITEM_SIZES[d] == 0 for r, d in zip(raw, dtype, strict=True)]
-        yield pd.Series([_decode(r, d) if w else None for r, d, w in zip(raw, dtype, whole, strict=True)])
+        yield pd.Series([decoded(r, d) if w else None for r, d, w in zip(raw, dtype, whole, strict=True)])
 
 
 def typed_view(payloads: DataFrame) -> DataFrame:

@@ -470,6 +470,33 @@ FROM (SELECT *, unnest(range(0, (octet_length(body) + 65535) // 65536)) AS c FRO
     for key in ("unpack_roundtrip", "payload_checksums"):
         sql[key] = f"WITH {DOCS} SELECT buffer_id, ordinal, sha256(payload) AS sha256 FROM docs"
 
+    sql["payload_crc32"] = f"""WITH {DOCS},
+crc AS (
+  SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, x: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))) AS steps),
+raw AS (
+  SELECT buffer_id, ordinal, steps, list_transform(range(nbytes), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b
+  FROM (SELECT *, hex(payload) AS h FROM docs), crc)
+SELECT buffer_id, ordinal,
+       CAST(xor(list_reduce([4294967295] || b, lambda a, x: xor(a >> 8, steps[(xor(a, x) & 255) + 1])), 4294967295) AS BIGINT) AS crc32
+FROM raw"""
+
+    sql["piece_digests"] = f"""WITH {DOCS},
+placed AS (
+  SELECT *, CAST(coalesce(sum(nbytes) OVER (PARTITION BY buffer_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS lo
+  FROM docs),
+cut AS (
+  SELECT buffer_id, ordinal, payload, lo, nbytes, lo // 1025 AS first,
+         unnest(range(lo // 1025, greatest((lo + nbytes - 1) // 1025, lo // 1025) + 1)) AS c FROM placed),
+leaf AS (
+  SELECT buffer_id, ordinal, c - first AS pos,
+         array_slice(payload, greatest(c * 1025 - lo, 0) + 1, least((c + 1) * 1025 - lo, nbytes)) AS bytes FROM cut),
+l1 AS (
+  SELECT buffer_id, ordinal, pos // 4096 AS pos, sha256(string_agg(sha256(bytes), '' ORDER BY pos)) AS hex,
+         count(*) AS pieces, sum(octet_length(bytes)) AS nbytes FROM leaf GROUP BY buffer_id, ordinal, pos // 4096)
+SELECT buffer_id, ordinal, CAST(sum(pieces) AS BIGINT) AS pieces, CAST(sum(nbytes) AS BIGINT) AS nbytes,
+       sha256(string_agg(hex, '' ORDER BY pos)) AS digest FROM l1 GROUP BY buffer_id, ordinal"""
+
     sql["scatter_bytes"] = f"""WITH {FLAT},
 parts AS (SELECT *, unnest(range(0, 4)) AS i, octet_length(body) // 4 AS each FROM flat),
 pieces AS (
@@ -497,7 +524,8 @@ SELECT buffer_id, sha256(string_agg(hex, '' ORDER BY pos)) AS digest FROM l2 GRO
        array_to_string(list_transform(embedding[1:10], lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)), ',') AS "first"
 FROM embeddings"""
 
-    sql["typed_view_stats"] = f"""WITH {HALF}
+    for key in ("typed_view_stats", "typed_view_pieces"):
+        sql[key] = f"""WITH {HALF}
 SELECT h.buffer_id, h.ordinal,
        CASE WHEN nbytes % 2 <> 0 THEN nbytes || ' bytes is not a multiple of 2' END AS error,
        CASE WHEN nbytes % 2 = 0 THEN CAST(coalesce(elements, 0) AS INTEGER) END AS elements,

@@ -20,6 +20,7 @@ from ballast.operators import (
     lifecycle as life,
     measures,
     payload,
+    pieces,
     shards,
     signals as sig,
 )
@@ -37,6 +38,7 @@ REGISTRY: dict[str, Query] = {}
 BUCKET_BYTES = 128 * KIB
 CHUNK_BYTES = 64 * KIB
 PLAN_CHUNK_BYTES = 16 * KIB
+PIECE_BYTES = KIB + 1
 SESSION_GAP_SECONDS = 3600
 LINE_RATE = 50.0
 TOP_STREAMS = 3
@@ -216,6 +218,22 @@ def payload_checksums(spark, sf_dir):
     return payload.checksums(rel.documents(spark, sf_dir)).drop("crc32")
 
 
+@query
+def payload_crc32(spark, sf_dir):
+    return payload.checksums(rel.documents(spark, sf_dir)).drop("sha256")
+
+
+def _unpacked(spark, sf_dir):
+    """Documents packed and cut out again; most of them lie over several chunks, which begin at odd bytes."""
+    chunks = payload.pack_chunks(_payload_offsets(spark, sf_dir), PIECE_BYTES)
+    return pieces.unpack_pieces(chunks, payload.payload_offsets(rel.documents(spark, sf_dir)), PIECE_BYTES)
+
+
+@query
+def piece_digests(spark, sf_dir):
+    return pieces.tensor_digests(_unpacked(spark, sf_dir))
+
+
 @query
 def buffer_digests(spark, sf_dir):
     placed = _payload_offsets(spark, sf_dir).select("buffer_id", "position", F.sha2("payload", 256).alias("sha256"))
@@ -239,10 +257,22 @@ def tensor_stats(spark, sf_dir):
 @query
 def typed_view_stats(spark, sf_dir):
     """Document bytes read as half floats, an error where their number is odd."""
-    typed = payload.typed_view(rel.documents(spark, sf_dir).withColumn("dtype", F.lit("F16")))
-    profile = payload.value_profile(typed)
+    whole = rel.documents(spark, sf_dir).select(
+        "buffer_id", "ordinal", F.lit("F16").alias("dtype"), F.lit(0).cast("bigint").alias("at"), F.col("payload").alias("bytes")
+    )
+    return _profile_columns(pieces.number_profile(whole))
+
+
+def _profile_columns(profile: DataFrame) -> DataFrame:
     mean = _six_places(F.try_divide(F.col("total"), F.col("finite")))
-    return profile.select("buffer_id", "ordinal", "error", "elements", "finite", mean.alias("mean"))
+    counts = [F.col(n).cast("int").alias(n) for n in ("elements", "finite")]
+    return profile.select("buffer_id", "ordinal", "error", *counts, mean.alias("mean"))
+
+
+@query
+def typed_view_pieces(spark, sf_dir):
+    """The same over the pieces of unpacked documents, whose cuts fall inside elements too."""
+    return _profile_columns(pieces.number_profile(_unpacked(spark, sf_dir).withColumn("dtype", F.lit("F16"))))
 
 
 # --- buffers --------------------------------------------------------------------------------------------------------

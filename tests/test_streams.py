@@ -38,7 +38,7 @@ def deal(spark, rows, schema, r, most):
     """The rows in batches of random sizes, the rows of each in random order, as DataFrames."""
     out = []
     while rows:
-        n = r.randrange(1, most)
+        n = r.randrange(most // 2, most)
         out.append(spark.createDataFrame(r.sample(rows[:n], len(rows[:n])), schema))
         rows = rows[n:]
     return out
@@ -47,12 +47,12 @@ def deal(spark, rows, schema, r, most):
 @pytest.mark.parametrize("seed, fanout, rows_per_block", [(1, 2, 1 << 20), (2, 3, 40)])
 def test_ledger_in_any_cut_and_again(spark, tmp_path, seed, fanout, rows_per_block):
     r = random.Random(seed)
-    rows = random_lifecycle(260, seed)
+    rows = random_lifecycle(200, seed)
     live = ledger.Ledger(spark, str(tmp_path / "ledger"), fanout=fanout, rows_per_block=rows_per_block)
-    batches = deal(spark, rows, LIFECYCLE, r, 90)
+    batches = deal(spark, rows, LIFECYCLE, r, 80)
     for i, batch in enumerate(batches):
         live.advance(batch, i)
-        if i % 2 == 0:  # a batch is run again after its end was not recorded
+        if i == 2:  # a batch is run again after its end was not recorded
             live.advance(batch, i)
     out = live.changes().collect()
     assert not any(x.late for x in out) and len(batches) > 3
