@@ -11,6 +11,7 @@ from ballast.fixed_values import (
     DEFAULT_GRANULE,
     DEFAULT_STAGE_BYTES,
     GIB,
+    ITEM_SIZES,
     RANK_ANNOTATIONS,
     SHARD_FILE_FORMAT,
     SHARD_MARK,
@@ -26,6 +27,11 @@ def _annotation_sql() -> str:
     return f"coalesce({', '.join(keys)})"
 
 
+def _lookup_sql(name: str) -> str:
+    entries = " ".join(f"when '{k}' then {v}" for k, v in ITEM_SIZES.items())
+    return f"case {name} {entries} end"
+
+
 def definitions() -> dict[str, str]:
     sharded = "coalesce(i >= 0 and t > 0, false)"
     return {
@@ -51,6 +57,13 @@ def definitions() -> dict[str, str]:
         "received_bytes(m STRING, n BIGINT, l BIGINT) RETURNS BIGINT": (
             "case when m = 'SCATTER' and coalesce(l, 0) > 0 then l else n end"
         ),
+        "itemsize(d STRING) RETURNS INT": _lookup_sql("d"),
+        "numel(s ARRAY<BIGINT>) RETURNS BIGINT": "aggregate(s, 1L, (a, x) -> a * x)",
+        "nbytes(d STRING, s ARRAY<BIGINT>) RETURNS BIGINT": f"aggregate(s, 1L, (a, x) -> a * x) * {_lookup_sql('d')}",
+        "logged_bytes(m STRING, n BIGINT) RETURNS BIGINT": "n",
+        "sent_bytes(m STRING, n BIGINT, l ARRAY<BIGINT>) RETURNS BIGINT": (
+            "case when m = 'SCATTER' and size(l) > 0 then aggregate(l, 0L, (a, x) -> a + x) else n end"
+        ),
         "size_or_default(n BIGINT) RETURNS BIGINT": f"coalesce(nullif(n, 0), {DEFAULT_STAGE_BYTES})",
         "gpu_for_shard(i INT, t INT, g INT) RETURNS INT": (
             f"case when {sharded} then coalesce(case when g > 0 then i % g end, 0) else 0 end"

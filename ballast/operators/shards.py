@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ballast.fixed_values import MIB, SHARD_MARK
+from ballast.fixed_values import SHARD_MARK
 from ballast.functions import base_buffer_id, shard_file_name, whole_div
+from ballast.operators.blocks import nearest, with_blocks
 
-# Width of the byte bins that spread a large buffer's range join over tasks.
-BIN_BYTES = 64 * MIB
 # Numbers unfolded from one array.
 PAGE = 4096
 
@@ -67,44 +66,43 @@ def shard_files(buffers: DataFrame) -> DataFrame:
     ).drop("_i")
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(whole_div(start, width), whole_div(end - 1, width)))
-
-
-def tensors_in_shards(tensors: DataFrame, shards: DataFrame, bin_bytes: int = BIN_BYTES) -> DataFrame:
+def tensors_in_shards(tensors: DataFrame, shards: DataFrame, **blocking: int) -> DataFrame:
     """Slices of tensors that fall into each shard: where in the tensor, where in the shard, how long.
 
-    Both sides are cut into fixed byte bins and joined on (buffer, bin), so a buffer of any size is spread over tasks
-    and no task compares all tensors with all shards. A slice is kept only in the bin its first byte lies in, which
-    makes every slice appear once.
+    Both are runs of bytes on one line, the buffer, and neither overlaps its like. One ordered sweep over the beginnings
+    of both carries the tensor and the shard that are open, and every beginning gives the slice that begins there. So
+    the work is linear in tensors, shards and slices, however small either are, and large buffers are swept in blocks.
     """
-    t = tensors.where(F.col("nbytes") > 0).select(
+    c = F.col
+    none = {"name": "string", "_ts": "bigint", "_te": "bigint"}, {"shard_index": "int", "_ss": "bigint", "_se": "bigint"}
+    t = tensors.where(c("nbytes") > 0).select(
         "buffer_id",
-        "name",
-        F.col("offset").alias("_ts"),
-        (F.col("offset") + F.col("nbytes")).alias("_te"),
+        c("offset").alias("_at"),
+        F.lit(0).alias("_kind"),
+        F.struct("name", c("offset").alias("_ts"), (c("offset") + c("nbytes")).alias("_te")).alias("_t"),
+        F.lit(None).cast(f"struct<{','.join(f'{n}:{k}' for n, k in none[1].items())}>").alias("_s"),
     )
-    s = shards.where(F.col("size_bytes") > 0).select(
+    s = shards.where(c("size_bytes") > 0).select(
         "buffer_id",
-        "shard_index",
-        F.col("offset_bytes").alias("_ss"),
-        (F.col("offset_bytes") + F.col("size_bytes")).alias("_se"),
+        c("offset_bytes").alias("_at"),
+        F.lit(1).alias("_kind"),
+        F.lit(None).cast(f"struct<{','.join(f'{n}:{k}' for n, k in none[0].items())}>").alias("_t"),
+        F.struct("shard_index", c("offset_bytes").alias("_ss"), (c("offset_bytes") + c("size_bytes")).alias("_se")).alias("_s"),
     )
-    t = t.withColumn("_bin", _bins(F.col("_ts"), F.col("_te"), bin_bytes))
-    s = s.withColumn("_bin", _bins(F.col("_ss"), F.col("_se"), bin_bytes))
-    start, end = F.greatest("_ts", "_ss"), F.least("_te", "_se")
-    here = whole_div(start, bin_bytes) == F.col("_bin")
-    return (
-        t.join(s, ["buffer_id", "_bin"])
-        .where((start < end) & here)
-        .select(
-            "buffer_id",
-            "shard_index",
-            "name",
-            (start - F.col("_ts")).alias("src_start"),
-            (start - F.col("_ss")).alias("dst_start"),
-            (end - start).alias("length"),
-        )
+    starts = with_blocks(t.unionByName(s), ["buffer_id"], c("_at"), **blocking)
+    swept = nearest(starts, ["buffer_id"], ["_at", "_kind"], {"_open_t": c("_t"), "_open_s": c("_s")})
+    swept = swept.select(
+        "buffer_id", "_at", F.coalesce("_t", "_open_t").alias("_t"), F.coalesce("_s", "_open_s").alias("_s")
+    )
+    # Where both begin, the tensor comes first and meets the shard before, which ends there: no slice.
+    end = F.least("_t._te", "_s._se")
+    return swept.where(c("_t").isNotNull() & c("_s").isNotNull() & (end > c("_at"))).select(
+        "buffer_id",
+        "_s.shard_index",
+        "_t.name",
+        (c("_at") - c("_t._ts")).alias("src_start"),
+        (c("_at") - c("_s._ss")).alias("dst_start"),
+        (end - c("_at")).alias("length"),
     )
 
 

@@ -681,7 +681,13 @@ FROM transfers GROUP BY run"""
 SELECT run, seq AS stream, seconds, CAST(place AS INTEGER) AS place
 FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY seconds DESC, seq) AS place FROM transfers) WHERE place <= 3"""
 
-    sql["transfer_rates"] = f"""WITH {TRANSFERS},
+    sql["sql_tensor_sizes"] = f"""WITH {TENSORS}
+SELECT buffer_id, name, itemsize, numel, nbytes, CAST((nbytes + 255) // 256 * 256 AS BIGINT) AS aligned FROM (
+  SELECT buffer_id, name, CAST(nbytes // numel AS INTEGER) AS itemsize, numel, nbytes FROM (
+    SELECT *, CAST(l_quantity AS BIGINT) * (1 + l_partkey % 8) AS numel FROM tensors))"""
+
+    for key in ("transfer_rates", "sql_transfer_rates"):
+        sql[key] = f"""WITH {TRANSFERS},
 moved AS (SELECT *, CASE WHEN shard_length > 0 THEN shard_length ELSE bytes END AS received_bytes,
                  CASE WHEN mode = 'SCATTER' THEN 7 * (bytes // 8) ELSE bytes END AS sent_bytes FROM transfers)
 SELECT seq, mode, received_bytes, bytes AS logged_bytes, sent_bytes,

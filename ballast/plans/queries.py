@@ -11,6 +11,7 @@ from pyspark.sql.types import TimestampType
 
 from ballast import functions as fn
 from ballast.fixed_values import KIB
+from ballast.functions import sql as sql_names
 from ballast.operators import (
     buffers as buf,
     catalog,
@@ -539,6 +540,34 @@ def transfer_rates(spark, sf_dir):
     return _rounded(shown, "received_gbps", "logged_gbps", "pct_of_line")
 
 
+@query
+def sql_transfer_rates(spark, sf_dir):
+    """``transfer_rates`` as SQL over the functions' names."""
+    sql_names.register(spark)
+    out = spark.sql(
+        """SELECT seq, mode, received_bytes(mode, bytes, shard_length) AS received_bytes,
+             logged_bytes(mode, bytes) AS logged_bytes, sent_bytes(mode, bytes, lengths) AS sent_bytes,
+             throughput_gbps(received_bytes(mode, bytes, shard_length), seconds) AS received_gbps,
+             throughput_gbps(logged_bytes(mode, bytes), seconds) AS logged_gbps,
+             pct_of_line_rate(throughput_gbps(received_bytes(mode, bytes, shard_length), seconds), :line) AS pct_of_line
+           FROM {transfers}""",
+        args={"line": LINE_RATE},
+        transfers=rel.transfers(_events(spark, sf_dir)),
+    )
+    return _rounded(out, "received_gbps", "logged_gbps", "pct_of_line")
+
+
+@query
+def sql_tensor_sizes(spark, sf_dir):
+    """Sizes of tensors by the functions' SQL names."""
+    sql_names.register(spark)
+    return spark.sql(
+        """SELECT buffer_id, name, itemsize(dtype) AS itemsize, numel(shape) AS numel, nbytes(dtype, shape) AS nbytes,
+             align_up(nbytes(dtype, shape), 256L) AS aligned FROM {tensors}""",
+        tensors=rel.tensors(spark, sf_dir),
+    )
+
+
 @query
 def log_parse(spark, sf_dir):
     return logs.parse_transfer_log(rel.log_lines(_events(spark, sf_dir)))

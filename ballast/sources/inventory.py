@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.operators.inventory import parse_inventory
 
 
-def _empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Names of files without a byte, which no file reader returns a row for. Only the listing comes to the driver."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    tops = files.globStatus(place) or []
-    found = [f for top in tops for f in (files.listStatus(top.getPath()) if top.isDirectory() else [top])]
-    names = [f.getPath().getName() for f in found if f.isFile() and f.getLen() == 0]
-    return [n for n in names if not n.startswith(("_", "."))]
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
 
 
 def read_gpu_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Device count and memory per node; the node is the file's name without its ending. An empty file is an error."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
-    empty = spark.createDataFrame([(name, "") for name in _empty_files(spark, path)], "file string, content string")
-    node = F.regexp_extract("file", r"^(.*?)(?:\.[^.]*)?$", 1)
-    return parse_inventory(files.unionByName(empty).select(node.alias("node"), "content"))
+    """Device count and memory per node from report files in a folder or below it.
+
+    The node is the file's name without its ending. An empty file is an error, as is a report that cannot be read. No
+    reader gives a row for a file without a byte, so those are the ones of the reader's own file list without a row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = spark.createDataFrame([(unquote(f),) for f in files.inputFiles()], "listed string")
+    read = files.select(_plain(F.col("path")).alias("_place"), F.decode("content", "UTF-8").alias("_text"))
+    all_files = listed.select(_plain(F.col("listed")).alias("_place")).join(read, "_place", "left")
+    node = F.regexp_extract(F.element_at(F.split("_place", "/"), -1), r"^(.*?)(?:\.[^.]*)?$", 1)
+    return parse_inventory(all_files.select(node.alias("node"), F.coalesce("_text", F.lit("")).alias("content")))

@@ -197,6 +197,13 @@ def test_sql_names_agree(spark):
         fn.shard_from_annotations(F.create_map(F.lit("ray.io/rank"), F.lit("4x"))),
     ).collect()
     assert [tuple(r) for r in by_sql] == [tuple(r) for r in by_column]
+    rows = [("F16", [3, 4], "SCATTER", [5, 6]), ("bfloat16", [], "SCATTER", []), ("what", [0], "BROADCAST", [9])]
+    t = spark.createDataFrame(rows, "d string, s array<bigint>, m string, l array<bigint>")
+    t.createOrReplaceTempView("t2")
+    by_sql = spark.sql("select itemsize(d), numel(s), nbytes(d, s), logged_bytes(m, 99L), sent_bytes(m, 99L, l) from t2").collect()
+    n = F.lit(99).cast("bigint")
+    by_column = t.select(fn.itemsize(c("d")), fn.numel(c("s")), fn.nbytes(c("d"), c("s")), *fn.logged_bytes(c("m"), n, c("l"))).collect()
+    assert [tuple(r) for r in by_sql] == [tuple(r) for r in by_column]
     shards = spark.sql("select * from split_shards(10, 4)").collect()
     assert [tuple(r) for r in shards] == [(0, 0, 3), (1, 3, 3), (2, 6, 2), (3, 8, 2)]
     assert spark.sql("select * from split_shards(10, 0)").collect() == []

@@ -1,6 +1,7 @@
 """Packing, cutting, checking and decoding bytes; shard plans; published figures."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -45,7 +46,7 @@ def test_slices_tile_tensors_and_shards(spark):
     packed = catalog.pack_offsets(tensors)
     totals = tensors.groupBy("buffer_id").agg(F.sum("nbytes").alias("total_bytes")).withColumn("num_shards", F.lit(7))
     cut = shards.split_shards(totals)
-    results = [sorted(map(tuple, shards.tensors_in_shards(packed, cut, bins).collect())) for bins in (16, 1000, 1 << 26)]
+    results = [sorted(map(tuple, shards.tensors_in_shards(packed, cut, rows_per_block=n).collect())) for n in (20, 150, 1 << 20)]
     assert results[0] == results[1] == results[2]
     by_shard, by_tensor = {}, {}
     for b, s, name, src, dst, length in results[0]:
@@ -63,6 +64,23 @@ def test_slices_tile_tensors_and_shards(spark):
             assert at == want[key]
 
 
+def test_small_tensors_meet_small_shards_in_linear_work(spark):
+    """A million tensors and a hundred thousand shards inside 64 MiB."""
+    n, m, total = 1_000_000, 100_000, 64_000_000
+    t = spark.range(n).select(F.lit("b").alias("buffer_id"), F.col("id").cast("string").alias("name"), (F.col("id") * 64).alias("offset"), F.lit(64).cast("bigint").alias("nbytes"))
+    s = spark.range(m).select(F.lit("b").alias("buffer_id"), F.col("id").cast("int").alias("shard_index"), (F.col("id") * 640 + 17).alias("offset_bytes"), F.lit(640).cast("bigint").alias("size_bytes"))
+    begin = time.time()
+    out = shards.tensors_in_shards(t, s, rows_per_block=200_000).agg(F.sum("length"), F.count("*"), F.max("length")).first()
+    assert tuple(out) == (total - 17, 11 * m - 1, 64)
+    assert time.time() - begin < 90
+
+
+def test_gaps_give_no_slices(spark):
+    t = spark.createDataFrame([("b", "x", 0, 10), ("b", "y", 20, 10), ("c", "z", 0, 5)], "buffer_id string, name string, offset bigint, nbytes bigint")
+    s = spark.createDataFrame([("b", 0, 5, 3), ("b", 1, 12, 10), ("d", 0, 0, 9)], "buffer_id string, shard_index int, offset_bytes bigint, size_bytes bigint")
+    assert sorted(map(tuple, shards.tensors_in_shards(t, s).collect())) == [("b", 0, "x", 5, 0, 3), ("b", 1, "y", 0, 8, 2)]
+
+
 def test_split_values(spark):
     rows = [("a", 10, 4), ("b", 3, 4), ("c", 600 * GIB, 8), ("d", 5, 0), ("e", 5, -1)]
     df = spark.createDataFrame(rows, "buffer_id string, total_bytes bigint, num_shards int")

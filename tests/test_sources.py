@@ -126,12 +126,15 @@ def test_transfer_log(spark, tmp_path):
 def test_gpu_inventory(spark, tmp_path):
     for node, text in {"n1": "81559 MiB\n1 MiB\n", "n2": "", "n3": "oops MiB\n", "n4": "100 MiB"}.items():
         (tmp_path / f"{node}.csv").write_text(text)
+    (tmp_path / "rack").mkdir()
+    (tmp_path / "rack" / "n5").write_text("7 MiB\n")
     parsed = inventory_source.read_gpu_inventory(spark, str(tmp_path))
     devices = sorted(tuple(r) for r in inventory.devices(parsed).collect())
     assert devices == [
         ("n1", "wpi-device-0", 81559 << 20),
         ("n1", "wpi-device-1", 81559 << 20),
         ("n4", "wpi-device-0", 100 << 20),
+        ("n5", "wpi-device-0", 7 << 20),
     ]
     errors = {r.node: r.error for r in inventory.inventory_errors(parsed).collect()}
     assert errors["n3"] == "failed to parse memory value 'oops'" and set(errors) == {"n2", "n3"}
