@@ -51,8 +51,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = segmentation.decode(segmentation.sample_encodings(_texts(spark, sf_dir)))
-    return rows.withColumn("text_sha256", F.sha2("text", 256)).drop("text")
+    rows = segmentation.sample_encodings(_texts(spark, sf_dir), decode_to=("decoded_sha256",))
+    return rows.withColumnRenamed("decoded_sha256", "text_sha256")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,12 +22,14 @@ vocabulary holds ranks only. Characters the vocabulary lacks are spelled in byte
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ballast.llm.texts import annotate, cached, hash_spans, slices, small_batches, with_columns
 
@@ -137,6 +139,56 @@ class Pieces:
         return out
 
 
+class Spelling:
+    """The bytes every id stands for, end to end, to put texts together by."""
+
+    def __init__(self, processor):
+        spelled = []
+        for i in range(processor.vocab_size()):
+            if processor.is_byte(i):
+                spelled.append(bytes([int(processor.id_to_piece(i)[3:-1], 16)]))
+            elif processor.is_control(i):
+                spelled.append(b"")
+            elif processor.is_unknown(i):
+                spelled.append(processor.decode([i]).encode())
+            else:
+                spelled.append(processor.id_to_piece(i).replace("▁", " ").encode())
+        self.size = np.array([len(x) for x in spelled], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the texts whose ids end at ``ends``, end to end, and where each text ends. The blank that encoding
+        puts before a text is left out."""
+        size = self.size[ids]
+        place = _expand(self.begin[ids], size)
+        through = np.r_[0, np.cumsum(size)]
+        stops = through[ends]
+        starts = np.r_[0, stops[:-1]] if len(stops) else stops
+        out = self.bytes[place]
+        led = starts[stops > starts]
+        led = led[out[led] == 0x20]
+        kept = np.ones(len(out), dtype=bool)
+        kept[led] = False
+        return out[kept], stops - np.searchsorted(led, stops)
+
+
+def spelling_of(model: str) -> Spelling:
+    return cached(f"spelling {model}", lambda: Spelling(pieces_of(model).processor))
+
+
+def _decoded_columns(data: np.ndarray, ends: np.ndarray, wanted: tuple[str, ...]) -> list[pa.Array]:
+    out = []
+    for name in wanted:
+        if name == "decoded":
+            offsets = pa.py_buffer(np.r_[0, ends].astype(np.int64))
+            out.append(pa.LargeStringArray.from_buffers(len(ends), offsets, pa.py_buffer(data)).cast(pa.string()))
+        else:
+            whole, at = memoryview(data), [0, *ends.tolist()]
+            out.append(pa.array([sha256(whole[a:b]).hexdigest() for a, b in zip(at, at[1:])], pa.string()))
+    return out
+
+
 def pieces_of(model: str) -> Pieces:
     return cached(f"sentencepiece {model}", lambda: Pieces(model))
 
@@ -397,7 +449,7 @@ def _ids(pieces: Pieces, s: Slice, text: int, arcs: np.ndarray) -> np.ndarray:
 
 def sample_encodings(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SAMPLES, model: str = MODEL,
-    sharpness: float = SHARPNESS,
+    sharpness: float = SHARPNESS, decode_to: tuple[str, ...] = (),
 ) -> DataFrame:
     """Up to ``k`` distinct sampled segmentations of each text, a row each: the input's columns but the text, then
     ``sample`` (from 1, the largest perturbed log-probability first), ``ids``, ``log_prob``, ``perturbed`` and
@@ -405,11 +457,18 @@ def sample_encodings(
     ``log_inclusion``, as that of a long text's sample is too small for a double.
 
     A text with fewer segmentations gives all of them, with inclusion 1. An empty or null text has one, without ids.
-    Rows with equal keys and texts get equal samples; a null key is a key of its own.
+    Rows with equal keys and texts get equal samples; a null key is a key of its own. Texts of any length are sampled
+    whole; a long one takes memory and time in proportion to it.
+
+    ``decode_to`` adds what the ids of each sample decode to, put together where they were drawn: ``decoded``, the text,
+    ``decoded_sha256``, its SHA-256 in hex, or both.
     """
+    if not set(decode_to) <= {"decoded", "decoded_sha256"}:
+        raise ValueError("decode_to takes decoded and decoded_sha256")
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != text and c not in SAMPLED.fieldNames()]
-    schema = with_columns(docs.drop(text).schema, SAMPLED)
+    added = StructType([*SAMPLED, *[StructField(n, StringType()) for n in decode_to]])
+    kept = [c for c in docs.columns if c != text and c not in added.fieldNames()]
+    schema = with_columns(docs.drop(text).schema, added)
 
     def run(batches):
         pieces = pieces_of(model)
@@ -428,6 +487,8 @@ def sample_encodings(
                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(values, pa.int32())),
                     *[pa.array([r[i] for r in flat], pa.float64()) for i in (1, 2, 3, 4)],
                 ]
+                if decode_to:
+                    new += _decoded_columns(*spelling_of(model).texts(values, sizes[1:]), decode_to)
                 yield pa.RecordBatch.from_arrays([part.column(c).take(take) for c in kept] + new, names=schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
@@ -445,8 +506,6 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", model: str = M
 
 def decode(rows: DataFrame, ids: str = "ids", text: str = "text", model: str = MODEL) -> DataFrame:
     """Add the text of each row's ids. No ids, or null, give an empty text."""
-    from pyspark.sql.types import StringType
-
     small_batches(rows.sparkSession)
     kept = [c for c in rows.columns if c != text]
     schema = with_columns(rows.schema, StructType([StructField(text, StringType())]))

@@ -74,6 +74,32 @@ def test_samples_decode_and_do_not_depend_on_neighbours(spark):
     assert segmentation.sample_encodings(docs.limit(0)).count() == 0
 
 
+def test_spelling_equals_the_tokenizers_own_decoding():
+    """Any ids at all, those of single bytes in order among them, not only ids of texts."""
+    processor = segmentation.pieces_of(segmentation.MODEL).processor
+    rng = np.random.default_rng(6)
+    spoken = [i for i in range(processor.vocab_size()) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
+    lists = [rng.choice(spoken, n).tolist() for n in (1, 2, 30, 0, 5, 200)]
+    lists += [[processor.piece_to_id(p) for p in ps] for ps in (["▁"], ["▁", "▁", "a"], ["<0xF0>", "<0x9F>", "<0x98>", "<0x80>", "▁b"], ["a", "▁"])]
+    flat = np.array([i for x in lists for i in x], dtype=np.int32)
+    data, ends = segmentation.spelling_of(segmentation.MODEL).texts(flat, np.cumsum([len(x) for x in lists]))
+    cuts = [0, *ends.tolist()]
+    assert [data[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:])] == processor.decode(lists)
+    none = segmentation.spelling_of(segmentation.MODEL).texts(np.zeros(0, np.int32), np.zeros(0, np.int64))
+    assert [len(x) for x in none] == [0, 0]
+
+
+def test_samples_are_decoded_where_they_are_drawn(spark):
+    texts = [None, "", "a", "  two  blanks\n\ttab ", "naïve \U0001f600 ኣ text\x00", " ", "   ", "x" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA).withColumn("decoded", F.lit(1))
+    rows = segmentation.sample_encodings(docs, k=3, decode_to=("decoded", "decoded_sha256")).collect()
+    for r in rows:
+        assert r.decoded == (texts[r.doc_id] or "")
+        assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
+    with pytest.raises(ValueError, match="decode_to"):
+        segmentation.sample_encodings(docs, decode_to=("text",))
+
+
 def test_encode_and_decode_round_trip(spark):
     texts = [None, "", "Plain text.", " é\n\n x"]
     docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
