@@ -52,8 +52,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Distinct sampled encodings of each document, with their inclusion probabilities."""
-    return segmentation.sample_encodings(docs.select("doc_id", "text"))
+    """Distinct sampled encodings of each document, with their inclusion probabilities and the text each decodes to."""
+    return segmentation.sample_encodings(docs.select("doc_id", "text"), decode_to=("decoded",))
 
 
 STAGES = [
