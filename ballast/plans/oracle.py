@@ -597,7 +597,7 @@ SELECT claim, buffer, shard_index, total_shards, shard_index >= 0 AND total_shar
        buffer AS base_id
 FROM staging"""
 
-    for key in ("refcount_history", "stream_ledger"):
+    for key in ("refcount_history", "stream_ledger", "backfill_ledger"):
         sql[key] = f"WITH {HISTORY} SELECT node, effective_id, claim, seq, op, delta, ref_count, freed FROM history"
 
     sql["live_allocations"] = f"WITH {LIVE} SELECT * FROM live"
@@ -616,6 +616,21 @@ GROUP BY node, claim, buffer_id, shard_index"""
     sql["stream_dedupe_staging"] = f"""WITH {LIFECYCLE}
 SELECT DISTINCT node, claim, buffer_id, shard_index FROM lifecycle WHERE op = 'stage'"""
 
+    for key in ("staging_in_horizon", "backfill_staging"):
+        sql[key] = f"""WITH RECURSIVE {LIFECYCLE},
+stages AS (SELECT l.*, epoch_us(e.ts) AS us FROM lifecycle l JOIN events e ON l.seq = e.event_id WHERE op = 'stage'),
+kept AS (
+  SELECT node, claim, buffer_id, shard_index, min(us) AS us FROM stages GROUP BY node, claim, buffer_id, shard_index
+  UNION ALL
+  SELECT k.node, k.claim, k.buffer_id, k.shard_index, min(s.us) AS us FROM kept k
+  JOIN stages s ON s.node = k.node AND s.claim = k.claim AND s.buffer_id = k.buffer_id AND s.shard_index = k.shard_index
+   AND s.us > k.us + 172800000000
+  GROUP BY k.node, k.claim, k.buffer_id, k.shard_index)
+SELECT s.node, s.claim, s.buffer_id, s.shard_index, min(s.seq) AS seq, arg_min(total_shards, s.seq) AS total_shards,
+       arg_min(ok, s.seq) AS ok, arg_min(size_bytes, s.seq) AS size_bytes, s.us AS ts
+FROM stages s JOIN kept k USING (node, claim, buffer_id, shard_index, us)
+GROUP BY s.node, s.claim, s.buffer_id, s.shard_index, s.us"""
+
     sql["update_windows"] = f"""WITH {WINDOWS}
 SELECT buffer_id, seq, epoch_us(started_at) AS started_at, epoch_us(ended_at) AS ended_at,
        (epoch_us(ended_at) - epoch_us(started_at)) / CAST(1000000 AS DOUBLE) AS seconds, ended_at IS NULL AS is_open

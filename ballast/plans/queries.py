@@ -25,12 +25,15 @@ from ballast.operators import (
     shards,
     signals as sig,
 )
+from ballast.operators.horizon import first_in_horizon
 from ballast.operators.skew import hot_keys
 from ballast.plans import relations as rel
 from ballast.schemas import EVENTS
 from ballast.sources import logs, update_info
-from ballast.streaming import ledger, run
+from ballast.session import shared_dir
+from ballast.streaming import ledger, run, staging
 from ballast.streaming import signals as stream_sig
+from ballast.streaming.backfill import backfill
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -44,6 +47,9 @@ SESSION_GAP_SECONDS = 3600
 LINE_RATE = 50.0
 TOP_STREAMS = 3
 STREAM_DELAY = "10 minutes"
+STAGING_HORIZON_US = 2 * 86400 * 1_000_000
+STAGING_DELAY_US = 600 * 1_000_000
+BACKLOG_BATCHES = 3
 
 
 def query(function: Query) -> Query:
@@ -444,6 +450,33 @@ def stream_dedupe_staging(spark, sf_dir):
     return run.run_available(deduped).where(F.col("seq") >= 0).select(*life.STAGING_KEY)
 
 
+@query
+def backfill_ledger(spark, sf_dir):
+    """The live ledger over a backlog, taken in in several batches."""
+    live = ledger.Ledger(spark, shared_dir(spark))
+    backfill(rel.lifecycle(_events(spark, sf_dir)), "seq", live.advance, least_batches=BACKLOG_BATCHES)
+    return live.changes().where(~F.col("late")).select(*LEDGER_COLUMNS)
+
+
+STAGING_COLUMNS = [*life.STAGING_KEY, "seq", "total_shards", "ok", "size_bytes", "ts"]
+
+
+@query
+def staging_in_horizon(spark, sf_dir):
+    stages = rel.lifecycle(_events(spark, sf_dir)).where(F.col("op") == life.STAGE)
+    return first_in_horizon(stages, life.STAGING_KEY, F.unix_micros("ts"), STAGING_HORIZON_US).select(*STAGING_COLUMNS)
+
+
+@query
+def backfill_staging(spark, sf_dir):
+    """The live filter of staging requests over a backlog, the last batch deciding all that waits."""
+    lifecycle = rel.lifecycle(_events(spark, sf_dir))
+    live = staging.StagingFilter(spark, shared_dir(spark), lifecycle.schema, STAGING_HORIZON_US, STAGING_DELAY_US)
+    batches = backfill(lifecycle, "ts", live.advance, least_batches=BACKLOG_BATCHES)
+    live.advance(lifecycle.limit(0), batches, end=True)
+    return live.kept().where(~F.col("late")).select(*STAGING_COLUMNS)
+
+
 # --- signals --------------------------------------------------------------------------------------------------------
 
 

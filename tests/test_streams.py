@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from test_scans import LIFECYCLE, fold, random_lifecycle
 
 from ballast.operators import conditions
+from ballast.operators import lifecycle as life
+from ballast.operators.horizon import first_in_horizon
 from ballast.operators.signals import update_timeouts, update_windows
-from ballast.streaming import ledger, levels, run
+from ballast.streaming import ledger, levels, run, staging
 from ballast.streaming import signals as stream_signals
+from ballast.streaming.backfill import backfill
 
 
 def write_batches(spark, folder, batches, schema):
@@ -92,6 +95,74 @@ def test_ledger_forgets_claims(spark, tmp_path):
     assert [x.key for x in held] == ["c"]
 
 
+STAGES = LIFECYCLE + ", at bigint"
+
+
+def random_stages(r, n):
+    """A busy key with requests at every distance, ties among them, and some quiet ones."""
+    rows = []
+    for seq in range(n):
+        hot = r.random() < 0.6
+        at = r.randrange(400) if hot else r.randrange(4000)
+        rows.append(("n", "hot" if hot else f"c{r.randrange(4)}", "b", -1, 0, "stage", True, seq, 1, at))
+    return rows
+
+
+def greedy(rows, horizon):
+    last, kept = {}, []
+    for row in sorted(rows, key=lambda x: (x[9], x[7])):
+        if row[1] not in last or row[9] - last[row[1]] > horizon:
+            last[row[1]] = row[9]
+            kept.append(row[7])
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("horizon, rows_per_block", [(7, 1 << 20), (60, 25), (100000, 40)])
+def test_first_in_horizon_equals_a_walk(spark, horizon, rows_per_block):
+    rows = random_stages(random.Random(horizon), 300)
+    df = spark.createDataFrame(rows + [("n", None, "b", -1, 0, "stage", True, 999, 1, 5)], STAGES)
+    got = first_in_horizon(df, life.STAGING_KEY, F.col("at"), horizon, rows_per_block=rows_per_block)
+    assert got.columns == df.columns
+    assert sorted(x.seq for x in got.collect()) == greedy(rows, horizon)
+
+
+def test_staging_filter_waits_for_its_delay(spark, tmp_path):
+    r = random.Random(8)
+    rows, horizon, delay = random_stages(r, 240), 40, 90
+    ordered = sorted(rows, key=lambda x: x[9] + r.randrange(delay))  # out of order by less than the delay
+    schema = spark.createDataFrame([], STAGES).withColumn("ts", F.timestamp_micros("at")).schema
+    live = staging.StagingFilter(spark, str(tmp_path / "staging"), schema, horizon, delay)
+    cuts = [0, 90, 130, 240]
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        batch = spark.createDataFrame(ordered[a:b], STAGES).withColumn("ts", F.timestamp_micros("at"))
+        live.advance(batch, i)
+        if i == 1:
+            live.advance(batch, i)
+    late = ("n", "hot", "b", -1, 0, "stage", True, 777, 1, 1)
+    live.advance(spark.createDataFrame([late], STAGES).withColumn("ts", F.timestamp_micros("at")), 3, end=True)
+    out = live.kept().collect()
+    assert sorted(x.seq for x in out if not x.late) == greedy(rows, horizon)
+    assert [x.seq for x in out if x.late] == [777]
+
+
+def test_a_backlog_is_cut_along_its_order(spark):
+    r = random.Random(3)
+    values = [None, None] + [r.choice([r.randrange(1000), 7]) for _ in range(500)]
+    numbers = spark.createDataFrame([(v,) for v in values], "v bigint")
+    for df in (numbers, numbers.select(F.timestamp_micros("v").alias("v"))):
+        seen = []
+        n = backfill(df, "v", lambda batch, i: seen.append((i, batch.collect())), rows_per_batch=60, first_batch=5)
+        assert [i for i, _ in seen] == list(range(5, 5 + n)) and n > 4
+        flat = [x.v for _, rows in seen for x in rows]
+        assert len(flat) == len(values) and max(len(rows) for _, rows in seen[1:]) < 400
+        known = [[x.v for x in rows if x.v is not None] for _, rows in seen]
+        known = [k for k in known if k]
+        assert all(max(a) < min(b) for a, b in zip(known, known[1:]))
+        assert {x.v for x in seen[0][1]} >= {None}
+    empty = []
+    assert backfill(numbers.limit(0), "v", lambda batch, i: empty.append(batch.count()), least_batches=3) == 1 and empty == [0]
+
+
 UPDATES = "object_id string, type string, status string, reason string, seq bigint"
 
 
