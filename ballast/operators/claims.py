@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ballast.fixed_values import DEVICE_CLASS, MSG_FOUND, MSG_NO_RANK, MSG_NOT_DISCOVERED, MSG_NOT_FOUND
 from ballast.functions import parse_quantity, shard_from_annotations, whole_div
-from ballast.operators.skew import hot_keys, join_hot, join_spread
+from ballast.operators.skew import ROWS_PER_TASK, hot_keys, join_spread
 from ballast.session import written
 
 # Joins here carry no broadcast hints, since buffers and claims both grow with the fleet: the planner compares the
@@ -96,6 +96,7 @@ def staging_requests(
     claims: DataFrame,
     buffers: DataFrame,
     use_assigned: bool = False,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """What a node is asked to stage for each request: claim, buffer, path, bytes, shard and shard count.
 
@@ -104,9 +105,10 @@ def staging_requests(
     ``use_assigned`` reads ``assigned_index`` as well. Sizes are whole quotients, 0 when the capacity is unreadable.
     """
     by_uid = resource_claims.select("namespace", "uid", F.col("name").alias("_rc_name"))
-    named = join_hot(requests, by_uid, ["namespace", "uid"]).withColumn(
-        "claim", F.coalesce("_rc_name", "name")
-    )
+    # No key of a table is hot that has no more rows than a hot key has.
+    few = requests.limit(rows_per_task + 1).count() <= rows_per_task
+    hot_uids = None if few else hot_keys(requests, ["namespace", "uid"], rows_per_task)
+    named = join_spread(requests, by_uid, ["namespace", "uid"], hot_uids).withColumn("claim", F.coalesce("_rc_name", "name"))
     index = F.coalesce("shard_index", "assigned_index") if use_assigned else F.col("shard_index")
     by_name = claims.select(
         "namespace",
@@ -121,11 +123,13 @@ def staging_requests(
         parse_quantity(F.col("capacity")).alias("_bytes"),
         F.coalesce(F.col("sharding.num_shards"), F.lit(0)).alias("_total"),
     )
-    # Requests are counted once, by claim; how many of them lean on a buffer follows from these counts.
-    asked = written(named.groupBy("namespace", "claim").agg(F.count("*").alias("_asked")))
-    hot_claims = hot_keys(asked, ["namespace", "claim"], weight=F.col("_asked"))
-    leaning = asked.join(by_name.drop("_index"), ["namespace", "claim"])
-    hot_buffers = hot_keys(leaning, ["namespace", "buffer"], weight=F.col("_asked"))
+    hot_claims = hot_buffers = None
+    if not few:
+        # Requests are counted once, by claim; how many of them lean on a buffer follows from these counts.
+        asked = written(named.groupBy("namespace", "claim").agg(F.count("*").alias("_asked")))
+        hot_claims = hot_keys(asked, ["namespace", "claim"], rows_per_task, weight=F.col("_asked"))
+        leaning = asked.join(by_name.drop("_index"), ["namespace", "claim"])
+        hot_buffers = hot_keys(leaning, ["namespace", "buffer"], rows_per_task, weight=F.col("_asked"))
     claimed = join_spread(named, by_name, ["namespace", "claim"], hot_claims)
     joined = join_spread(claimed, sized, ["namespace", "buffer"], hot_buffers)
     joined = joined.withColumn("total_shards", F.coalesce("_total", F.lit(0)))

@@ -1,6 +1,7 @@
 """Readers and writers on small files."""
 
 import json
+import random
 import struct
 from datetime import datetime
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ballast.operators import buffers, catalog, claims, inventory, measures, payload, shards
+from ballast.session import conf
 from ballast.sources import inventory as inventory_source
 from ballast.sources import logs, objects, safetensors, sinks, update_info
 
@@ -123,6 +125,51 @@ def test_transfer_log(spark, tmp_path):
     ]
 
 
+def fleet(n, seed):
+    r = random.Random(seed)
+    items = []
+    for i in range(n):
+        text = r.choice(["plain", 'with "quotes" and \\ back', "brackets ]}[{ , inside", "line\nbreak", "\u00e9 \u2028", ""])
+        spec = {"capacity": f"{i}Gi", "sourcePath": text}
+        if i % 3 == 0:
+            files = [{"index": k, "path": f"/m/{k}", "sizeBytes": k * 10} for k in range(r.randrange(4))]
+            spec["sharding"] = {"strategy": "Custom", "numShards": 4, "shardFiles": files}
+        items.append({"metadata": {"namespace": "d", "name": f"wb{i}", "annotations": {}}, "spec": spec})
+    return items
+
+
+@pytest.mark.parametrize("indent, rows_per_block", [(4, 1 << 20), (1, 50), (None, 1 << 20)])
+def test_large_object_lists_are_read_in_parts(spark, tmp_path, indent, rows_per_block):
+    lists = {
+        "a": {"apiVersion": "v1", "items": fleet(60, 1), "kind": "List", "metadata": {"items": {"x": {"y": [{"items": 1}]}}}},
+        "b": {"kind": "List", "metadata": {"resourceVersion": "items"}, "items": fleet(40, 2)},
+        "empty": {"items": [], "kind": "List"},
+        "none": {"kind": "List", "items": None},
+    }
+    for name, content in lists.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(content, indent=indent, ensure_ascii=False))
+    want = sorted(map(str, objects.read_object_list(spark, str(tmp_path), "WeightBuffer").collect()))
+    with conf(spark, spark__sql__files__maxPartitionBytes="3000", spark__sql__files__openCostInBytes="0"):
+        assert indent is None or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+        got = objects.read_large_object_list(spark, str(tmp_path), "WeightBuffer", rows_per_block=rows_per_block)
+        found = sorted(map(str, got.collect()))
+    assert found == want and len(found) == 100
+
+
+def test_odd_layouts_are_read_whole(spark, tmp_path):
+    item = '{"metadata": {"name": "%s"}, "spec": {"capacity": "1"}}'
+    texts = {
+        "one": '{"items": [' + item % "a" + ",\n" + item % "b" + "]\n}",
+        "two": '{\n"items": [\n' + item % "c" + ",\n" + item % "d" + "\n]\n}",
+        "three": '{\n"items": [{\n"metadata": {"name": "e"}\n}, {\n"metadata": {"name": "f"}\n}]}',
+        "four": '{\n"items": [\n{\n"metadata": {"name": "g"}}, {"metadata": {"name": "h"}\n}\n]\n}',
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    got = objects.read_large_object_list(spark, str(tmp_path), "WeightBuffer").collect()
+    assert sorted(r.metadata.name for r in got) == list("abcdefgh")
+
+
 def test_gpu_inventory(spark, tmp_path):
     for node, text in {"n1": "81559 MiB\n1 MiB\n", "n2": "", "n3": "oops MiB\n", "n4": "100 MiB"}.items():
         (tmp_path / f"{node}.csv").write_text(text)
