@@ -204,19 +204,26 @@ def test_base_phrases_equal_brute_force(spark):
 
 
 def brute_detections(text):
-    """Every rule without gates, then the sweep as its docstring has it."""
+    """Every rule without gates; a match stays unless a single other one of no larger rank holds it, all pairs compared."""
     body = f" {' '.join(WORD.findall((text or '').lower()))} "
     hits = []
     for rank, (label, pattern, _, _, weight) in enumerate(licenses.rules()):
-        hits += [(m.start(), -m.end(), rank, label, weight) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", body)]
-    kept, end, best = [], -1, 1 << 30
-    for start, back, rank, label, weight in sorted(hits):
-        if -back <= end and rank >= best:
-            continue
-        kept.append((start, -back, rank, label, weight))
-        best = rank if -back > end else min(best, rank)
-        end = max(end, -back)
-    return kept
+        hits += [(m.start(), m.end(), rank, label, weight) for m in re.finditer(f"(?<= )(?:{pattern})(?= )", body)]
+    kept = [
+        h for h in hits
+        if not any(o is not h and o[0] <= h[0] and o[1] >= h[1] and o[2] <= h[2] for o in hits)
+    ]
+    return sorted(kept, key=lambda h: (h[0], -h[1], h[2]))
+
+
+def test_texts_of_many_mentions(spark):
+    """More detections than are gathered at a time, nested and not, in one text."""
+    rng = random.Random(21)
+    pieces = ["mit license", "licensed under the apache license version 2.0", "copyright 2019", "public domain", "copyleft", "word"]
+    texts = [" ".join(rng.choice(pieces) for _ in range(n)) for n in (licenses.RUN, licenses.RUN + 1, 700)]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("doc_id").collect()
+    assert [[tuple(d) for d in r.detections] for r in got] == [brute_detections(t) for t in texts]
+    assert len(got[2].detections) > 3 * licenses.RUN
 
 
 def test_detections_equal_all_rules_without_gates(spark):
