@@ -15,7 +15,8 @@ one block takes one pass over the documents for each block, and each pass adds t
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ballast.llm.texts import Words, annotate, flat, hash_words, mix
+from ballast.llm.texts import Words, annotate, flat, latest, mix, slices, small_batches
 from ballast.session import written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
 LANE_WORDS = 256
+PART_WORDS = 1 << 17
 
 RESULT = StructType(
     [
@@ -40,35 +42,109 @@ RESULT = StructType(
 )
 
 
+def _in_parts(function, *arrays: np.ndarray) -> np.ndarray:
+    """``function`` of arrays of equal length, part by part, so that what it makes on its way stays small."""
+    out = None
+    for i in range(0, max(len(arrays[0]), 1), PART_WORDS):
+        part = function(*[a[i : i + PART_WORDS] for a in arrays])
+        if out is None:
+            out = np.empty(len(arrays[0]), dtype=part.dtype)
+        out[i : i + PART_WORDS] = part
+    return out
+
+
+class ItemWords:
+    """Words of many items: their bytes with single spaces between, and for each its place, hash and item number."""
+
+    def __init__(self, bodies: list[str]):
+        arena, self.count, parts, at, item = bytearray(), [], [], 0, 0
+        for part in slices(pa.RecordBatch.from_arrays([pa.array(bodies, pa.large_string())], names=["body"]), "body"):
+            words = Words(*flat(part.column("body")))
+            arena += words.bytes.tobytes()
+            spans = [(words.start + at).astype(np.int32), (words.end + at).astype(np.int32), (words.row + item).astype(np.int32)]
+            parts.append([*spans, words.hash])
+            self.count += words.count.tolist()
+            at, item = len(arena), item + part.num_rows
+        self.arena = bytes(arena)
+        empty = [np.zeros(0, dtype=t) for t in (np.int32, np.int32, np.int32, np.uint64)]
+        self.start, self.end, self.row, self.hash = map(np.concatenate, zip(empty, *parts))
+        self.count = np.array(self.count, dtype=np.int32)
+        self.first = (np.cumsum(self.count) - self.count).astype(np.int32)
+
+    def begins(self, window: int) -> dict[int, np.ndarray]:
+        """By length of pattern, the words at which one begins."""
+        room = self.first[self.row] + self.count[self.row] - window
+        found = {window: np.flatnonzero(np.arange(len(self.row), dtype=np.int32) <= room).astype(np.int32)}
+        for length in np.unique(self.count[(self.count < window) & (self.count > 0)]).tolist():
+            found[length] = self.first[self.count == length]
+        return {n: b for n, b in found.items() if len(b)}
+
+
 class Patterns:
-    """All patterns of ``length`` words, ready for search."""
+    """All patterns of ``length`` words, ready for search. A pattern is a place in the items' words.
+
+    ``begins`` are the words at which a pattern of this length begins. Equal windows are one pattern with a list of
+    items, so a passage that many items share is compared once.
+    """
 
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], set[str]]):
-        self.length = length
-        self.words = list(windows)
-        self.items = [sorted(windows[w]) for w in self.words]
+    def __init__(self, length: int, items: ItemWords, begins: np.ndarray):
+        self.length, self.arena, self.hash = length, items.arena, items.hash
+        self.start, self.end = items.start, items.end
         self.block = min(2, length)
-        hashes = hash_words([w for p in self.words for w in p]).reshape(len(self.words), length)
-        self.bits = np.uint64(64 - max(12, int(np.ceil(np.log2(len(self.words) * length * 16)))))
-        self.shift = np.full(1 << (64 - int(self.bits)), length - self.block + 1, dtype=np.int64)
-        for last in range(self.block - 1, length):
-            at = self._blocks(hashes, last) >> self.bits
-            np.minimum.at(self.shift, at, length - 1 - last)
-        key = mix(self._blocks(hashes, length - 1), self._blocks(hashes, self.block - 1))
-        self.order = np.argsort(key, kind="stable")
+        begins = begins[np.argsort(_in_parts(self._window_hash, begins))]
+        same = np.zeros(len(begins), dtype=bool)
+        same[1:] = _in_parts(self._equal, begins[1:], begins[:-1])
+        for i in np.flatnonzero(same).tolist():
+            same[i] = self.bytes_of(begins[i]) == self.bytes_of(begins[i - 1])
+        self.place = begins[~same]
+        # Pattern and item as one number, so that an item that repeats a window is listed once.
+        held = np.cumsum(~same, dtype=np.int64)
+        held -= 1
+        held <<= 32
+        held += items.row[begins]
+        held.sort()
+        held = held[np.diff(held, prepend=-1) > 0]
+        self.item = (held & 0xFFFFFFFF).astype(np.int32)
+        self.upto = np.searchsorted(held, np.arange(len(self.place) + 1) << 32).astype(np.int32)
+        del begins, same, held
+
+        key = _in_parts(lambda p: mix(self._block_at(self.hash, p + length - 1), self._block_at(self.hash, p + self.block - 1)), self.place)
+        self.order = np.argsort(key).astype(np.int32)
         self.key = key[self.order]
-        self.hashes = hashes
+        del key
+        # Windows that follow each other share all their blocks but one, so there are about as many blocks as windows.
+        self.bits = np.uint64(64 - max(12, int(np.ceil(np.log2(len(self.place) * 8)))))
+        longest = length - self.block + 1
+        self.shift = np.full(1 << (64 - int(self.bits)), longest, dtype=np.min_scalar_type(longest))
+        for last in range(self.block - 1, length):
+            at = _in_parts(lambda p: self._block_at(self.hash, p + last) >> self.bits, self.place)
+            self.shift[at] = length - 1 - last  # falling, so the least stays
 
-    def _blocks(self, hashes: np.ndarray, last: int) -> np.ndarray:
-        if self.block == 1:
-            return mix(hashes[..., last], hashes[..., last])
-        return mix(hashes[..., last - 1], hashes[..., last])
+    def _window_hash(self, begins: np.ndarray) -> np.ndarray:
+        out = self.hash[begins]
+        for k in range(1, self.length):
+            out = mix(out, self.hash[begins + k])
+        return out
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), dtype=bool)
+        for k in range(self.length):
+            out &= self.hash[a + k] == self.hash[b + k]
+        return out
 
     def _block_at(self, h: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix(h[last], h[last]) if self.block == 1 else mix(h[last - 1], h[last])
 
-    def find(self, words: Words) -> list[tuple[int, int]]:
-        """(first word, pattern) of each occurrence, none across two texts.
+    def bytes_of(self, begin: int) -> bytes:
+        """The words of the pattern that begins there, with single spaces between."""
+        return self.arena[self.start[begin] : self.end[begin + self.length - 1]]
+
+    def items_of(self, pattern: np.ndarray) -> np.ndarray:
+        """Numbers of the items that hold any of these patterns."""
+        return np.unique(np.concatenate([self.item[self.upto[p] : self.upto[p + 1]] for p in pattern.tolist()]))
+
+    def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """First words and patterns of all occurrences, none across two texts.
 
         The words are dealt into lanes of fixed length and all lanes move on at once, each by its own shift.
         """
@@ -82,7 +158,7 @@ class Patterns:
             at, end = at[live], end[live]
             if not len(at):
                 break
-            move = self.shift[self._block_at(h, at) >> self.bits]
+            move = self.shift[self._block_at(h, at) >> self.bits].astype(np.int64)
             found.append(at[move == 0])
             at = at + np.maximum(move, 1)
         last = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
@@ -91,35 +167,52 @@ class Patterns:
         low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         many = high - low
         first = np.repeat(last, many) - self.length + 1
-        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        pattern = self.order[place]
+        bucket = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        pattern = self.order[bucket]
         for k in range(self.length):
-            same = h[first + k] == self.hashes[pattern, k]
+            same = h[first + k] == self.hash[self.place[pattern] + k]
             first, pattern = first[same], pattern[same]
-        pairs = zip(first.tolist(), pattern.tolist())
-        return [(f, p) for f, p in pairs if words.texts(f, f + self.length) == list(self.words[p])]
+        pairs = zip(first.tolist(), self.place[pattern].tolist())
+        same = [b" ".join(words.texts(f, f + self.length)) == self.bytes_of(p) for f, p in pairs]
+        same = np.array(same, dtype=bool)
+        return first[same], pattern[same]
+
 
+def patterns_of(bodies: list[str], window: int) -> list[Patterns]:
+    """Patterns of every length that the items have. ``bodies`` are words with single spaces between."""
+    items = ItemWords(bodies)
+    return [Patterns(n, items, begins) for n, begins in sorted(items.begins(window).items())]
 
-def windows_of(rows: list[tuple[str, str | None]], window: int) -> list[tuple[int, dict]]:
-    """Windows of items, by their length, each with the ids of the items that hold it."""
-    by_length: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in rows:
-        data = np.frombuffer(f"{text or ''}\n".encode(), dtype=np.uint8)
-        words = Words(data, np.zeros(1, dtype=np.int64))
-        own = words.texts(0, len(words.hash)) if len(words.hash) else []
-        if own:
-            size = min(window, len(own))
-            for i in range(len(own) - size + 1):
-                by_length[size][tuple(own[i : i + size])].add(item)
-    return sorted((n, dict(found)) for n, found in by_length.items())
+
+def item_parts(items: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
+    """(item, body): the words of each row of (item, body), with single spaces between, in parts of bounded length.
+
+    Neighbouring parts overlap by ``window`` - 1 words, so that every window lies in exactly one of them.
+    """
+    small_batches(items.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "body"):
+                words, names, bodies = Words(*flat(part.column("body"))), [], []
+                for name, first, count in zip(part.column("item").to_pylist(), words.first.tolist(), words.count.tolist()):
+                    for at in range(0, max(count - window + 1, min(count, 1)), part_words):
+                        until = first + min(at + part_words + window - 1, count)
+                        names.append(name)
+                        bodies.append(b" ".join(words.texts(first + at, until)).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.string())], names=["item", "body"])
+
+    return items.mapInArrow(run, "item string, body string")
 
 
 def _scan(docs: DataFrame, text: str, shared, window: int, again: bool) -> DataFrame:
-    built: list[Patterns] = []
+    token = uuid.uuid4().hex
+
+    def build() -> tuple[list[str], list[Patterns]]:
+        return [item for item, _ in shared.value], patterns_of([body for _, body in shared.value], window)
 
     def search(part: pa.RecordBatch) -> list[pa.Array]:
-        if not built:
-            built.extend(Patterns(n, found) for n, found in windows_of(shared.value, window))
+        names, built = latest("decontamination", token, build)
         words = Words(*flat(part.column(text)))
         cover = np.zeros(len(words.hash) + 1, dtype=np.int64)
         items: list[set[str]] = [set() for _ in range(part.num_rows)]
@@ -130,10 +223,13 @@ def _scan(docs: DataFrame, text: str, shared, window: int, again: bool) -> DataF
                 np.add.at(cover, words.first[row] + np.array(own[0::2], dtype=np.int64), 1)
                 np.add.at(cover, words.first[row] + np.array(own[1::2], dtype=np.int64), -1)
         for patterns in built:
-            for first, pattern in patterns.find(words):
-                cover[first] += 1
-                cover[first + patterns.length] -= 1
-                items[words.row[first]].update(patterns.items[pattern])
+            first, pattern = patterns.find(words)
+            np.add.at(cover, first, 1)
+            np.add.at(cover, first + patterns.length, -1)
+            row = words.row[first]
+            for r in np.unique(row).tolist():
+                own = patterns.items_of(np.unique(pattern[row == r]))
+                items[r].update(names[i] for i in own.tolist())
         hit = np.cumsum(cover)[:-1] > 0
         n_hit = np.bincount(words.row[hit], minlength=part.num_rows)
         spans = [[] for _ in range(part.num_rows)]
@@ -165,12 +261,15 @@ def decontaminate(
     Adds ``n_words``, ``n_hit``, ``hit_spans`` (first word, word after the last, and so on, as a flat list of disjoint
     spans) and ``item_ids`` (strings, sorted). An item without an id is left out, as it could not be named; an item
     without words has no window; rows repeating an item count once. A document without words has no hit.
-    ``block_bytes`` bounds the item texts that are sent to the tasks at once (one item may exceed it).
+    ``block_bytes`` bounds, but for the spread of a hash, the item words that are sent to the tasks at once; a longer item
+    is cut into parts that overlap by a window less a word. Each Python worker keeps the patterns of one block at a
+    time, built once for all its tasks. A very long document is searched whole, in a batch of its own.
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_id).isNotNull()).select(
         F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")
     )
+    items = written(item_parts(items, window))
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = -(-int(total) // block_bytes) or 1
     out = docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import types
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,15 @@ def cached(key: str, make: Callable[[], object]) -> object:
     return store[key]
 
 
+def latest(key: str, token: str, make: Callable[[], object]) -> object:
+    """Like ``cached``, but a worker holds only the object of the last ``token`` it was asked for."""
+    held = cached(key, dict)
+    if token not in held:
+        held.clear()
+        held[token] = make()
+    return held[token]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Few rows per Arrow batch, so that a batch of long texts stays small; numpy still sees hundreds of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
@@ -107,14 +116,6 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def hash_words(words: Iterable[bytes]) -> np.ndarray:
-    """The hashes ``Words`` would give to these words."""
-    words = list(words)
-    data = np.frombuffer(b"".join(words), dtype=np.uint8)
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    return hash_spans(data, ends - np.array([len(w) for w in words], dtype=np.int64), ends)
-
-
 def with_columns(schema: StructType, added: StructType) -> StructType:
     """The input's columns, without those of the operator's names, then the operator's."""
     names = set(added.fieldNames())
