@@ -187,9 +187,15 @@ def document_tokens(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY,
     block_tokens: int = BLOCK_TOKENS, file_tokens: int = FILE_TOKENS,
 ) -> DataFrame:
-    """Write the texts to flat token files, count by the separator scan, and name the documents again."""
+    """(doc_id, ordinal, first, n_tokens, ended): texts are written to flat token files, counted by the separator scan, and
+    named again.
+
+    One row for each row of ``docs``, repeats and null ids included; other columns are left out. A null or empty text has
+    no tokens. A very long text may span any number of blocks. Both sides of the last join have a row for each document, so
+    it is a sort-merge join whatever their size on disk: file names repeat, and shrink to nothing there alone.
+    """
     spark: SparkSession = docs.sparkSession
     folder = f"{shared_dir(spark)}/tokens"
     named = write_token_files(docs, doc_id, text, vocabulary, file_tokens=file_tokens, folder=folder)
     counted = count_tokens(named, folder, block_tokens=block_tokens)
-    return counted.join(named, ["file", "ordinal"]).select(F.col("id").alias(doc_id), "ordinal", "first", "n_tokens", "ended")
+    return counted.join(named.hint("merge"), ["file", "ordinal"]).select(F.col("id").alias(doc_id), "ordinal", "first", "n_tokens", "ended")
