@@ -179,22 +179,25 @@ def score_quality(
 ) -> DataFrame:
     """Adds ``held_out``, ``score`` (0 to 1, the higher the likelier good) and ``predicted``, and drops the text.
 
-    Labels of the held-out fold are never read; without any label every score is one half. An empty text has
-    statistics of zero and is scored like any other. Rows sharing a labelled id are all trained on.
+    The input's other columns come back whatever they are called, but for those of these three names. Labels of the
+    held-out fold are never read; without any label every score is one half. An empty text has
+    statistics of zero and is scored like any other. Rows sharing a labelled id are all trained on. A very long
+    text is read whole, in a batch of its own.
     """
-    marked = docs.withColumn("held_out", held_out(F.col(doc_id), FOLDS, HELD_OUT))
-    rest = [c for c in marked.columns if c not in (text, "stats", "score", "predicted")]
-    stats = written(with_statistics(marked, text).select(*rest, "stats"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, "held_out", "score", "predicted")])
+    fold = held_out(F.col(doc_id), FOLDS, HELD_OUT)
+    marked = docs.select(own.alias("own"), fold.alias("held_out"), F.col(doc_id).alias("id"), F.col(text).alias("body"))
+    stats = written(with_statistics(marked, "body").drop("body"))
     known = training_labels(labels, doc_id, label, FOLDS, HELD_OUT)
-    half = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(2)).cast("int")
-    train = stats.join(known, F.col(doc_id) == F.col("id")).select(half.alias("half"), "y", "stats")
+    half = F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")
+    train = stats.join(known, "id").select(half.alias("half"), "y", "stats")
     train = written(train)
 
     at = [F.col("stats")[i] for i in range(len(STATISTICS))]
     moments = train.agg(F.count("*"), *[F.avg(c) for c in at], *[F.stddev_pop(c) for c in at]).first()
     m = len(STATISTICS)
     if not moments[0]:
-        return stats.drop("stats").withColumns({"score": F.lit(0.5), "predicted": F.lit(1)})
+        return stats.select("own.*", "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     features = Features(np.array(moments[1 : m + 1], dtype=float), np.array(moments[m + 1 :], dtype=float))
     gram, moment, count = normal_equations(train, features)
     # A half is scored by the other half's weights; where a half is empty, by all.
@@ -208,7 +211,7 @@ def score_quality(
     knots = np.array([b.raw for b in bins])
     levels = isotonic(np.array([b.n for b in bins], dtype=float), np.array([b.y for b in bins]))
     shared = docs.sparkSession.sparkContext.broadcast((knots, levels))
-    scored = _scored(stats.withColumn("model", F.lit(2)), features, weights).drop("model", "stats")
+    scored = _scored(stats.withColumn("model", F.lit(2)), features, weights).select("own", "held_out", "raw")
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         knots, levels = shared.value
@@ -222,4 +225,4 @@ def score_quality(
             )
 
     schema = StructType([f for f in scored.schema if f.name != "raw"] + list(RESULT)[1:])
-    return scored.mapInArrow(calibrate, schema)
+    return scored.mapInArrow(calibrate, schema).select("own.*", "held_out", "score", "predicted")
