@@ -208,20 +208,21 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     which one starts (null without any); ``base_labels``; ``detections``, the rules' matches that stay, with places in
     the text's words joined by blanks (one blank ahead); ``labels``, base labels and the detections' ones; ``score``,
     one minus the product of what the distinct labels leave open. A text without words has no place and score 0. The time
-    a text takes grows in proportion to its length and its mentions.
+    a text takes grows in proportion to its length and its mentions. The input's other columns come back whatever they are
+    called.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "detections", "labels", "score"]
-    rest = [c for c in docs.columns if c not in added]
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
     pattern = F.lit(BASE_PATTERN)
     low = F.col("_low")
-    lowered = docs.select(*rest, body.alias("_body"), F.lower(body).alias("_low"))
+    lowered = docs.select(own.alias("own"), body.alias("_body"), F.lower(body).alias("_low"))
     near = (low.contains("cc") & low.contains("by")) | low.contains("general") | low.contains("reserved")
     gate = low.contains(GATE[0])
     for word in GATE[1:]:
         gate = gate | low.contains(word)
     counted = lowered.select(
-        *rest,
+        "own",
         "_body",
         _word_count(F.col("_body")).alias("n_words"),
         F.when(near, F.regexp_count("_body", pattern)).otherwise(0).cast("bigint").alias("n_base"),
@@ -253,8 +254,8 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda acc, w: acc * (F.lit(1.0) - w),
     )
     last = F.element_at("_found", -1)
-    return parts.select(
-        *rest,
+    done = parts.select(
+        "own",
         "n_words",
         "n_base",
         F.when(held, _word_count(F.element_at("_parts", 1))).alias("first_word"),
@@ -264,6 +265,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
         F.array_join(both, ",").alias("labels"),
         F.when(F.col("_row") >= 0, F.round(F.lit(1.0) - open_, 6)).alias("score"),
     )
+    return done.select("own.*", *added)
 
 
 def _label_of(phrase: Column) -> Column:
