@@ -100,10 +100,18 @@ class Runs:
             self._forget(level)
 
 
+def _place(ids: DataFrame) -> Column:
+    """A number that never falls along the ids in column ``doc``: of strings, their first seven bytes."""
+    if dict(ids.dtypes)["doc"] not in ("string", "binary"):
+        return F.col("doc")
+    head = F.rpad(F.hex(F.substring(F.col("doc").cast("binary"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("bigint")
+
+
 def _boundaries(ids: DataFrame, batches: int) -> list[int]:
-    """Ids that begin the batches, from the largest down."""
+    """Numbers in column ``at`` that begin the batches, from the largest down."""
     shares = F.array(*[F.lit(i / batches) for i in range(1, batches)])
-    cuts = ids.agg(F.percentile_approx("doc", shares, F.lit(1000))).first()[0] if batches > 1 else None
+    cuts = ids.agg(F.percentile_approx("at", shares, F.lit(1000))).first()[0] if batches > 1 else None
     return sorted(set(cuts or []), reverse=True)
 
 
@@ -113,22 +121,25 @@ def repeats(lines: DataFrame, ids: DataFrame, batches: int = BATCHES, fanout: in
     Batches are cut along the ids in column ``doc`` of ``ids``.
     """
     spark = lines.sparkSession
-    cuts = _boundaries(ids, batches)
+    place = _place(ids)
+    cuts = _boundaries(ids.select(place.alias("at")), batches)
     batch = F.lit(len(cuts))
     for i, cut in reversed(list(enumerate(cuts))):
-        batch = F.when(F.col("doc") >= cut, F.lit(i)).otherwise(batch)
+        batch = F.when(place >= cut, F.lit(i)).otherwise(batch)
     table = f"{shared_dir(spark)}/lines"
     lines.withColumn("batch", batch).write.partitionBy("batch").parquet(table)
     stored = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in lines.schema)}, batch int")
     stored = stored.parquet(table)
     runs, found = Runs(spark, fanout), None
-    for i in range(len(cuts) + 1):
-        own = stored.where(F.col("batch") == i).drop("batch")
-        keys = own.groupBy(*KEY).agg(F.max("doc").alias("doc"))
-        new = runs.add(runs.unseen(keys))
-        again = written(own.join(new, [*KEY, "doc"], "left_anti"))
-        found = again if found is None else found.unionByName(again)
-    runs.close()
+    try:
+        for i in range(len(cuts) + 1):
+            own = stored.where(F.col("batch") == i).drop("batch")
+            keys = own.groupBy(*KEY).agg(F.max("doc").alias("doc"))
+            new = runs.add(runs.unseen(keys))
+            again = written(own.join(new, [*KEY, "doc"], "left_anti"))
+            found = again if found is None else found.unionByName(again)
+    finally:
+        runs.close()
     return found
 
 
@@ -146,6 +157,8 @@ def dedup_lines(
     Keys under ``min_chars`` code points are left alone. The text column holds the lines that stay, joined by line
     feeds; ``n_lines`` and ``n_dropped`` count. A null or empty text is one empty line. A document without an id takes
     no part and stays whole. Rows with equal ids are one document when documents are counted, and each keeps its text.
+    Ids may be of any type with an order. The input's other columns come back whatever they are called, the text behind
+    them. A very long text is split where it is read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     tag = F.xxhash64(body)
@@ -160,18 +173,19 @@ def dedup_lines(
     ids = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"))
     again = repeats(lines, ids, batches, fanout)
     often = again.select(*KEY, "doc").distinct().groupBy(*KEY).count().where(F.col("count") >= min_docs - 1)
-    lost = again.join(often.select(*KEY), KEY).groupBy("doc", "tag").agg(F.collect_set("pos").alias("_lost"))
-    lost = lost.withColumnsRenamed({"doc": "_doc", "tag": "_lost_tag"})
+    lost = again.join(often.select(*KEY), KEY).groupBy("doc", "tag").agg(F.collect_set("pos").alias("lost"))
+    lost = lost.withColumnsRenamed({"doc": "lost_doc", "tag": "lost_tag"})
 
-    rest = [c for c in docs.columns if c not in (text, "n_lines", "n_dropped")]
-    whole = docs.select(*rest, tag.alias("_tag"), F.split(body, "\n", -1).alias("_lines"))
-    joined = whole.join(lost, (F.col(doc_id) == F.col("_doc")) & (F.col("_tag") == F.col("_lost_tag")), "left")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_lines", "n_dropped")])
+    whole = docs.select(own.alias("own"), F.col(doc_id).alias("doc"), tag.alias("tag"), F.split(body, "\n", -1).alias("lines"))
+    joined = whole.join(lost, (F.col("doc") == F.col("lost_doc")) & (F.col("tag") == F.col("lost_tag")), "left")
     # The lines come from below the join, so reading one by its position does not split the text again.
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
-    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(F.transform(places, lambda i: F.col("_lines")[i]))
-    return joined.select(
-        *rest,
-        F.array_join(kept, "\n").alias(text),
-        F.size("_lines").cast("bigint").alias("n_lines"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.transform(places, lambda i: F.col("lines")[i]))
+    done = joined.select(
+        "own",
+        F.array_join(kept, "\n").alias("text"),
+        F.size("lines").cast("bigint").alias("n_lines"),
+        F.coalesce(F.size("lost"), F.lit(0)).cast("bigint").alias("n_dropped"),
     )
+    return done.select("own.*", F.col("text").alias(text), "n_lines", "n_dropped")
