@@ -213,7 +213,7 @@ def fit(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
     max_rows: int = MAX_ROWS, penalty: float = PENALTY,
 ) -> tuple[dict[str, float], float]:
-    """A weight for each feature of the vocabulary, and the intercept. Texts that occur twice count once."""
+    """A weight for each feature of the vocabulary, and the intercept. Texts that occur twice count once, with their mean label."""
     some = training_labels(labels, doc_id, label, FOLDS, HELD_OUT).orderBy(F.xxhash64("id"), "id").limit(max_rows)
     found = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body")).join(some, "id")
     group = {t for g in IDENTITIES for t in g}
@@ -233,7 +233,7 @@ def fit(
                 names=["id", "y", "words", "swaps"],
             )
 
-    found = found.dropDuplicates(["body"])
+    found = found.groupBy("body").agg(F.min("id").alias("id"), F.avg("y").alias("y"))
     swapped = "array<struct<gone: array<string>, new: array<string>>>"
     rows = written(found.mapInArrow(rows_of, f"id {dict(found.dtypes)['id']}, y double, words array<string>, swaps {swapped}"))
     # A row can be longer than the vocabulary, and joins by id can repeat it: the bound holds for what is collected.
