@@ -133,6 +133,14 @@ def test_token_counts_equal_direct_counts(spark, block_tokens, file_tokens):
     assert sorted([(r.doc_id, r.n_tokens) for r in got], key=str) == want and all(r.ended for r in got)
 
 
+def test_token_counts_edges(spark):
+    docs = spark.createDataFrame([(1, "long " * 200000), (2, None)], SCHEMA)
+    docs = docs.withColumns({n: F.lit("clash") for n in ("file", "ordinal", "first", "ended", "id")})
+    got = {r.doc_id: r.n_tokens for r in token_counts.document_tokens(docs, block_tokens=1 << 12).collect()}
+    assert got == {1: 200001, 2: 0}
+    assert token_counts.document_tokens(docs.limit(0)).count() == 0
+
+
 def test_separators_in_hand_made_files(spark, tmp_path):
     sep = token_counts.SEPARATOR
     files = {"a": [1, 2, sep, sep, 3, 4, 5, 6, 7, 8, 9, sep, 1], "b": [], "c": [sep], "d": [5] * 20, "e": [5, 5, 5, sep]}
@@ -197,6 +205,70 @@ def test_classifier_edges(spark, score):
     assert score(docs.limit(0), labels).count() == 0
 
 
+def brute_isotonic(weight, mean):
+    average = lambda i, j: np.average(mean[i : j + 1], weights=weight[i : j + 1])
+    n = len(mean)
+    return [max(min(average(i, j) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
+
+
+def test_quality_equals_a_plain_fit(spark):
+    rng = random.Random(12)
+    words = ["the", "of", "Data", "click!!", "1234", "and", "table,", "BUY"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(5, 40)))) for i in range(120)], SCHEMA)
+    docs = docs.withColumns({n: F.lit("clash") for n in ("own", "id", "y", "raw", "model", "stats", "half")})
+    labels = docs.select("doc_id", (F.col("text").contains("BUY") | (F.col("doc_id") % 7 == 0)).cast("int").alias("quality"))
+    scored = quality.score_quality(docs, labels)
+    got = {r.doc_id: r.score for r in scored.where("raw = 'clash' and stats = 'clash' and own = 'clash'").collect()}
+
+    rows = quality.with_statistics(docs.withColumn("half", F.expr("pmod(xxhash64(doc_id), 2)")).drop("stats")).join(labels, "doc_id").collect()
+    known = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    stats, y, half = (np.array([f(r) for r in known], dtype=float) for f in (lambda r: r.stats, lambda r: r.quality, lambda r: r.half))
+    z_of = quality.Features(stats.mean(axis=0), stats.std(axis=0))
+    ridge = np.r_[np.full(quality.FEATURES, quality.RIDGE), 0.0]
+
+    def plain(own):
+        z = z_of(stats[own])
+        penalty = np.sqrt(np.where(ridge > 0, ridge * own.sum(), 1e-9))
+        return np.linalg.lstsq(np.r_[z, np.diag(penalty)], np.r_[y[own], np.zeros(len(ridge))], rcond=None)[0]
+
+    by_half = {h: plain(half != h) for h in (0, 1)}
+    raw = np.array([z_of(s[None]) @ by_half[int(h)] for s, h in zip(stats, half)])[:, 0]
+    bins = np.floor(np.clip(raw, -0.5, 1.5) * quality.BINS / 2)
+    at = [bins == b for b in np.unique(bins)]
+    levels = brute_isotonic(np.array([a.sum() for a in at]), np.array([y[a].mean() for a in at]))
+    whole = z_of(np.array([r.stats for r in rows])) @ plain(np.ones(len(y), dtype=bool))
+    want = 0.98 * np.interp(whole, [raw[a].mean() for a in at], levels) + 0.02 * np.clip(whole, 0, 1)
+    assert len(got) == len(rows) == 120
+    assert all(abs(got[r.doc_id] - w) < 1e-5 for r, w in zip(rows, want))
+
+
+def test_toxicity_fit_reaches_the_least_loss():
+    rng = np.random.default_rng(3)
+    size, n = 4, 40
+    rows = [(sorted(rng.choice(size, rng.integers(0, size + 1), replace=False).tolist()), float(rng.integers(0, 2))) for _ in range(n)]
+    swaps = [(i, [3], [2]) for i, (own, _) in enumerate(rows) if 3 in own and 2 not in own]
+    x = np.array([[float(p in own) for p in range(size)] for own, _ in rows])
+    y = np.array([r[1] for r in rows])
+    other = np.array([x[i] - np.eye(size)[gone[0]] + np.eye(size)[new[0]] for i, gone, new in swaps])
+
+    def loss(v):
+        s = 1 / (1 + np.exp(-(x @ v[:-1] + v[-1])))
+        t = 1 / (1 + np.exp(-(other @ v[:-1] + v[-1])))
+        fit = -np.mean(y * np.log(s) + (1 - y) * np.log(1 - s))
+        return fit + toxicity.RIDGE * (v[:-1] ** 2).sum() + toxicity.PENALTY * np.mean((s[[i for i, _, _ in swaps]] - t) ** 2)
+
+    v, step = np.zeros(size + 1), 1.0
+    for _ in range(4000):  # plain descent on differences
+        slope = np.array([(loss(v + e) - loss(v - e)) / 2e-6 for e in np.eye(size + 1) * 1e-6])
+        while step > 1e-9 and loss(v - step * slope) > loss(v) - step * (slope @ slope) / 4:
+            step /= 2
+        v, step = v - step * slope, step * 1.5
+    w, b = toxicity.train(rows, swaps, size, toxicity.PENALTY)
+    assert loss(np.r_[w, b]) < loss(v) + 1e-3
+    equal = np.abs(w[3] - w[2])
+    assert equal < np.abs(np.subtract(*toxicity.train(rows, swaps, size, 0.0)[0][[3, 2]])) + 1e-6
+
+
 def test_swapped_identities_score_alike():
     """Without the penalty a term that occurs with insults only is held against it; with it, much less."""
     names = ["idiot", "muslim", "christian"]

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -73,6 +74,29 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
         assert sum(b - a for a, b in zip(r.hit_spans[0::2], r.hit_spans[1::2])) == r.n_hit
 
 
+def test_long_items_are_cut_into_overlapping_parts(spark):
+    rng = random.Random(5)
+    voc = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(rng.choices(voc, k=57))), (2, "w1 W2"), (3, None), (4, " ".join(rng.choices(voc, k=10)))]
+    rows = spark.createDataFrame(items, "item string, body string")
+    parts = [r.body.split() for r in decontamination.item_parts(rows, part_words=7).where("item = 1").collect()]
+    assert max(map(len, parts)) <= 16
+    own = items[0][1].split()
+    assert sorted(tuple(p[i : i + 10]) for p in parts for i in range(len(p) - 9)) == sorted(
+        tuple(own[i : i + 10]) for i in range(48)
+    )
+    others = decontamination.item_parts(rows, part_words=7).where("item <> 1").orderBy("item")
+    assert [tuple(r) for r in others.collect()] == [("2", "w1 w2"), ("4", items[3][1])]
+
+
+def test_pattern_index_takes_equal_windows_once():
+    bodies = [" ".join(f"x{i}" for i in range(30)), " ".join(f"x{i}" for i in range(5, 40)), "x1", "x1"]
+    long = {p.length: p for p in decontamination.patterns_of(bodies, 10)}
+    assert sorted(long) == [1, 10]
+    assert len(long[10].place) == 31 and len(long[10].item) == 21 + 26
+    assert long[1].items_of(np.array([0])).tolist() == [2, 3]
+
+
 def test_decontamination_edges(spark, edge_docs):
     bench = spark.createDataFrame([(None, "alpha beta"), (1, "gamma delta")], "item_id bigint, text string")
     extra = edge_docs.withColumn("n_hit", F.lit("clash")).withColumn("other", F.lit(1))
@@ -260,6 +284,29 @@ def test_detections_stay_unless_a_single_better_one_holds_them(spark):
         assert sorted(tuple(d) for d in r.detections) == sorted(h for h in hits if not held(h)), text
 
 
+INTERNAL = ("own", "doc", "tag", "lines", "lost", "lost_doc", "id", "y", "raw", "model", "stats", "body", "_row", "_words", "_body", "_low", "key")
+
+
+@pytest.mark.parametrize("operator", [licenses.scan_licenses, lines.dedup_lines, decontamination.item_parts])
+def test_columns_with_internal_names_come_back(spark, operator):
+    if operator is decontamination.item_parts:
+        operator = lambda d: decontamination.decontaminate(d, spark.createDataFrame([(1, "gamma")], "item_id int, text string"))
+    docs = spark.createDataFrame([(1, "mit license gamma"), (2, "other")], SCHEMA)
+    got = operator(docs.withColumns({n: F.concat(F.lit(f"{n} "), "doc_id") for n in INTERNAL})).collect()
+    assert len(got) == 2 and all(r[n] == f"{n} {r.doc_id}" for r in got for n in INTERNAL)
+
+
+def test_lines_with_ids_of_strings(spark):
+    rng = random.Random(8)
+    pool = [f"a line that is long enough, number {i}" for i in range(12)]
+    texts = ["\n".join(rng.choices(pool, k=4)) for _ in range(40)]
+    numbers = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], SCHEMA)
+    names = numbers.withColumn("doc_id", F.concat(F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(" é")))
+    got = lines.dedup_lines(names, batches=4).orderBy("doc_id").collect()
+    want = lines.dedup_lines(numbers, batches=4).orderBy("doc_id").collect()
+    assert [(r.text, r.n_dropped) for r in got] == [(r.text, r.n_dropped) for r in want]
+
+
 def test_license_edges(spark, edge_docs):
     out = licenses.scan_licenses(edge_docs.withColumn("score", F.lit("clash")).withColumn("other", F.lit(1)))
     assert out.columns[:3] == ["doc_id", "text", "other"] and dict(out.dtypes)["score"] == "double"
