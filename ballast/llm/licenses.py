@@ -1,6 +1,6 @@
 """License scans by ordered signature rules.
 
-A rule is a regular expression over the text's words (lower-cased, single blanks between them), with a label, a
+A rule, of the notices, grants, clauses and exceptions below or a name in a form of mention, is a regular expression over the text's words (lower-cased, single blanks between them), with a label, a
 weight and a keyword that any match must hold. Most texts hold none of the gate's words and are done after one
 search. In the others the keywords are looked up once, and only rules whose keyword occurs are run. Detections are
 then swept from left to right: one that lies inside another of the same or a higher rank is dropped, and so is the
@@ -11,6 +11,7 @@ Only DataFrame functions are used; nothing is shuffled.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -79,6 +80,135 @@ NAMES = [
     ("cc-by", "(?:cc by|creative commons attribution)", "cc by|commons attribution"),
     ("creative-commons", "creative commons", "creative commons"),
 ]
+# Notices, grants, clauses and exceptions, ahead of the forms in rank as they hold shorter mentions: (label, pattern, keyword, weight)
+_ANY = "(?: [a-z0-9]+)"
+_GNU = "free software you can redistribute it and or modify it under the terms of the gnu"
+_FSF = "as published by the free software foundation"
+_LATER = "or at your option any later version"
+_WORK = "this work is licensed under (?:a|the) creative commons attribution"
+_URL = "creativecommons org licenses"
+NOTICES = [
+    # header notices
+    ("apache-2.0", "licensed under the apache license version 2 0(?: the license)? you may not use this file except in compliance with the license", "in compliance with the license", 0.99),
+    ("apache-2.0", "you may obtain a copy of the license at https? www apache org licenses license 2 0", "apache org licenses", 0.99),
+    ("apache-2.0", "licensed to the apache software foundation asf under one or more contributor license agreements", "apache software foundation", 0.95),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "distributed under the license", 0.9),
+    ("apache-1.1", "this product includes software developed by the apache (?:software foundation|group)", "software developed", 0.8),
+    ("openssl", "this product includes software developed by the openssl project for use in the openssl toolkit", "software developed", 0.9),
+    ("gpl-2.0-or-later", f"{_GNU} general public license {_FSF} either version 2 of the license {_LATER}", "free software foundation", 0.99),
+    ("gpl-3.0-or-later", f"{_GNU} general public license {_FSF} either version 3 of the license {_LATER}", "free software foundation", 0.99),
+    ("lgpl-2.1-or-later", f"{_GNU} lesser general public license {_FSF} either version 2 1 of the license {_LATER}", "free software foundation", 0.99),
+    ("lgpl-2.0-or-later", f"{_GNU} library general public license {_FSF} either version 2 of the license {_LATER}", "free software foundation", 0.99),
+    ("lgpl-3.0-or-later", f"{_GNU} lesser general public license {_FSF} either version 3 of the license {_LATER}", "free software foundation", 0.99),
+    ("agpl-3.0-or-later", f"{_GNU} affero general public license {_FSF} either version 3 of the license {_LATER}", "free software foundation", 0.99),
+    ("gpl-2.0-only", f"under the terms of the gnu general public license version 2(?: only)? {_FSF}", "free software foundation", 0.95),
+    ("gpl-3.0-only", f"under the terms of the gnu general public license version 3(?: only)? {_FSF}", "free software foundation", 0.95),
+    ("gpl", "you should have received a copy of the gnu general public license along with", "you should have received a copy", 0.9),
+    ("lgpl", "you should have received a copy of the gnu (?:lesser|library) general public license along with", "you should have received a copy", 0.9),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with", "you should have received a copy", 0.9),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version 1 [123]", "free documentation", 0.99),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla", 0.99),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "mpl was not", 0.95),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1", "contents of this file", 0.99),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "contents of this file", 0.99),
+    ("gpl-2.0-or-later", "alternatively the contents of this file may be used under the terms of(?: either)? the gnu general public license version 2 or later", "contents of this file", 0.9),
+    ("epl-2.0", f"this program and the accompanying materials are made{_ANY}{{0,3}} under the terms of the eclipse public license v ?(?:ersion )?2 0", "accompanying materials", 0.99),
+    ("epl-1.0", f"this program and the accompanying materials are made{_ANY}{{0,3}} under the terms of the eclipse public license v ?(?:ersion )?1 0", "accompanying materials", 0.99),
+    ("boost-1.0", "distributed under the boost software license version 1 0", "boost software license", 0.95),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", "font software", 0.99),
+    ("eupl", "licensed under the eupl version 1 [12](?: only| or later)?", "eupl", 0.95),
+    ("bsd", "use of this source code is governed by a bsd style license that can be found in the license file", "source code is governed", 0.95),
+    ("mit", "use of this source code is governed by an mit style license that can be found in the license file", "source code is governed", 0.95),
+    ("perl", "free software you can redistribute it and or modify it under the same terms as (?:the )?perl(?: 5)?(?: programming language system)?(?: itself)?", "same terms as", 0.9),
+    ("dual-license", f"licensed under either of(?: the)? apache license version 2 0{_ANY}{{0,12}} mit license", "licensed under either of", 0.9),
+    ("dual-license", "dual licensed under", "dual licensed", 0.6),
+    # grants
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)? to deal in the software without restriction", "obtaining a copy", 0.99),
+    ("ncsa", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)? to deal with the software without restriction", "obtaining a copy", 0.95),
+    ("boost-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "obtaining a copy", 0.99),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", "permission to use copy modify", 0.95),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that", "permission to use copy modify", 0.99),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "permission to use copy modify", 0.99),
+    ("hpnd", "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: and)?(?: is hereby granted)? without fee", "permission to use copy modify", 0.9),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "permission is granted to anyone", 0.95),
+    ("apache-2.0", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "hereby grants to you", 0.95),
+    ("patent-grant", f"hereby grants to you a{_ANY}{{1,10}} patent license", "patent license", 0.7),
+    ("python", "psf hereby grants licensee a non ?exclusive royalty free world ?wide license", "grants licensee", 0.95),
+    ("cc0", f"to the extent possible under law{_ANY}{{1,10}} waived all copyright and related or neighbou?ring rights", "waived all copyright", 0.99),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free to copy", 0.95),
+    ("unlicense", "dedicate any and all copyright interest in the software to the public domain", "copyright interest", 0.95),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document", "everyone is permitted", 0.95),
+    ("gnu", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "everyone is permitted", 0.9),
+    ("wtfpl", "do what the fuck you want to public license", "you want to public", 0.95),
+    ("perl", f"you (?:may|can) distribute this{_ANY}{{0,4}} under the same terms as perl itself", "same terms as", 0.8),
+    ("public-domain", f"works? of the (?:united states|u s|us) government{_ANY}{{0,10}} public domain", "public domain", 0.8),
+    # clauses
+    ("mit", "the above copyright notice and this permission notice(?: including the next paragraph)? shall be included in all copies or substantial portions of the software", "permission notice", 0.9),
+    ("x11", f"except as contained in this notice the names? of{_ANY}{{1,8}} shall not be used in advertising or otherwise{_ANY}{{1,14}} without prior written (?:authorization|authorisation) from{_ANY}{{0,8}} copyright holder", "used in advertising", 0.9),
+    ("bsd", "redistributions of source code must retain(?: the)?(?: above)? copyright notice", "redistributions of source", 0.8),
+    ("bsd", "redistributions in binary form must reproduce(?: the)?(?: above)? copyright notice", "redistributions in binary", 0.8),
+    ("bsd-3-clause", f"neither the names? of{_ANY}{{1,16}} may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote", 0.95),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment this product includes software developed", "advertising materials", 0.95),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies", "permission notice", 0.8),
+    ("ofl", "with reserved font names?", "reserved font", 0.9),
+    ("copyleft", "you must(?: also)? (?:license|release|distribute) (?:it|the derivative work|your contributions|the modified work) under the same licen[sc]e", "under the same licen", 0.6),
+    ("commons-clause", f"commons clause{_ANY}{{0,3}} licen[sc]e", "commons clause", 0.8),
+    ("commons-clause", "the software is provided to you by the licensor under the license as defined below subject to the following condition", "by the licensor", 0.9),
+    ("or-later", "licen[sc]e(?: version| v)? [1-9](?: [0-9])? or(?: at your option)?(?: any)? later(?: version)?", "later", 0.5),
+    ("license-reference", "see the license for the specific language governing permissions and limitations under the license", "specific language governing", 0.5),
+    ("license-reference", "(?:see|read) (?:the )?(?:accompanying |included )?licen[sc]e(?: file| md| txt)? for(?: more| full)?(?: licensing)? (?:details|information|terms)", "licen", 0.3),
+    ("contributor-agreement", "contributor licen[sc]e agreement", "contributor licen", 0.4),
+    # exceptions
+    ("classpath-exception", "linking this library statically or dynamically with other modules is making a combined work based on this library thus the terms", "combined work based on", 0.95),
+    ("classpath-exception", "as a special exception the copyright holders of this library give you permission to link this library with independent modules", "special exception", 0.95),
+    ("gcc-exception", "under section 7 of gpl version 3 you are granted additional permissions described in the gcc runtime library exception", "gcc runtime library", 0.95),
+    ("openssl-exception", f"permission to link{_ANY}{{1,10}} with the openssl(?: project s)?(?: openssl)? library", "permission to link", 0.9),
+    ("autoconf-exception", "as a special exception to the gnu general public license if you distribute this file as part of a program that contains a configuration script generated by autoconf", "special exception", 0.95),
+    ("font-exception", "as a special exception if you create a document which uses this font and embed this font or unaltered portions of this font into the document this font does not by itself cause the resulting document to be covered by the gnu general public license", "special exception", 0.95),
+    ("llvm-exception", "apache license v2 0 with llvm exceptions", "llvm exceptions", 0.95),
+    ("syscall-note", "this copyright does not cover user programs that use kernel services by normal system calls", "this copyright does not", 0.95),
+    # open content and data
+    ("cc-by-nc-nd-4.0", f"{_WORK} non ?commercial no ?deriv(?:ative)?s 4 0 international (?:public )?license", "this work is licensed", 0.99),
+    ("cc-by-nc-sa-4.0", f"{_WORK} non ?commercial share ?alike 4 0 international (?:public )?license", "this work is licensed", 0.99),
+    ("cc-by-nc-4.0", f"{_WORK} non ?commercial 4 0 international (?:public )?license", "this work is licensed", 0.99),
+    ("cc-by-sa-4.0", f"{_WORK} share ?alike 4 0 international (?:public )?license", "this work is licensed", 0.99),
+    ("cc-by-nd-4.0", f"{_WORK} no ?deriv(?:ative)?s 4 0 international (?:public )?license", "this work is licensed", 0.99),
+    ("cc-by-4.0", f"{_WORK} 4 0 international (?:public )?license", "this work is licensed", 0.99),
+    ("cc-by-nc-sa", f"{_URL} by nc sa(?: [1-4] [05])?", "creativecommons org", 0.95),
+    ("cc-by-nc-nd", f"{_URL} by nc nd(?: [1-4] [05])?", "creativecommons org", 0.95),
+    ("cc-by-nc", f"{_URL} by nc(?: [1-4] [05])?", "creativecommons org", 0.95),
+    ("cc-by-sa", f"{_URL} by sa(?: [1-4] [05])?", "creativecommons org", 0.95),
+    ("cc-by-nd", f"{_URL} by nd(?: [1-4] [05])?", "creativecommons org", 0.95),
+    ("cc-by", f"{_URL} by(?: [1-4] [05])?", "creativecommons org", 0.95),
+    ("cc0", "creativecommons org publicdomain zero(?: 1 0)?", "creativecommons org", 0.95),
+    ("cc-by-nc", "this is an open access article distributed under the terms of the creative commons attribution non ?commercial license", "open access article", 0.95),
+    ("cc-by", "this is an open access article distributed under the terms of the creative commons attribution license", "open access article", 0.95),
+    ("odbl", "made available under the open database license", "open database license", 0.95),
+    ("odbl", "any rights in individual contents of the database are licensed under the database contents license", "database contents license", 0.95),
+    ("pddl", "(?:open data commons )?public domain dedication and licen[sc]e", "public domain dedication", 0.9),
+    ("ogl", "(?:licensed under the )?open government licen[sc]e(?: version| v)?(?: [123](?: 0)?|v[123] 0)?", "open government licen", 0.9),
+    ("crown-copyright", "crown copyright(?: [0-9]{4})?", "crown copyright", 0.7),
+    ("no-known-copyright", "no known copyright restrictions", "no known copyright", 0.6),
+    # source available, models, sold software
+    ("busl-1.1", "business source licen[sc]e(?: version)?(?: 1 1)?", "business source", 0.9),
+    ("sspl", "server side public licen[sc]e(?: version| v)?(?: 1)?", "server side public", 0.9),
+    ("elastic", "elastic licen[sc]e(?: version| v)?(?: 2(?: 0)?)?", "elastic licen", 0.9),
+    ("polyform", "polyform (?:noncommercial|small business|strict|shield|perimeter|internal use) licen[sc]e", "polyform", 0.9),
+    ("rail", "(?:responsible ai|open ?rail(?: m)?) licen[sc]es?", "licen", 0.8),
+    ("llama-community", "llama(?: [0-9])* community licen[sc]e(?: agreement)?", "community licen", 0.9),
+    ("eula", "end user licen[sc]e agreement", "end user licen", 0.7),
+    ("eula", f"by (?:installing|downloading|copying|using|accessing){_ANY}{{1,8}} you (?:agree|accept|consent){_ANY}{{0,8}} terms", "terms", 0.5),
+    ("noncommercial", "(?:licensed|permitted) (?:only |solely )?for (?:personal |private )?(?:and )?non ?commercial (?:use|purposes?)", "commercial", 0.6),
+    ("exclusive-license", "under exclusive licen[sc]e (?:to|from)", "exclusive licen", 0.6),
+    ("with-permission", "(?:reprinted|reproduced|used) (?:with|by) (?:the )?(?:kind )?permission", "permission", 0.4),
+    ("proprietary", f"may not be (?:copied|reproduced|distributed|redistributed|republished){_ANY}{{0,10}} without{_ANY}{{0,6}} permission", "may not be", 0.6),
+    ("proprietary", "(?:confidential and )?proprietary (?:information|property|software) of", "proprietary", 0.6),
+    ("open-source", "(?:under|with) an? (?:open source|free software|permissive|copyleft) licen[sc]e", "licen", 0.5),
+    # disclaimers
+    ("warranty-disclaimer", "distributed in the hope that it will be useful but without any warranty", "in the hope that it", 0.5),
+    ("warranty-disclaimer", "without even the implied warranty of merchantability or fitness for a particular purpose", "implied warranty", 0.5),
+    ("warranty-disclaimer", f"(?:software|work|material) is provided(?: by{_ANY}{{1,8}})? as is(?: and)?{_ANY}{{0,3}} express(?:ed)? or implied warrant[a-z]+", "implied warrant", 0.5),
+]
 # (form of a mention, its keyword, weight); forms are ranked in this order, names within a form as above.
 FORMS = [
     ("spdx license identifier {}(?: only| or later)?", "spdx", 0.99),
@@ -96,7 +226,7 @@ OWN = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission", 0.9),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission", 0.9),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "permitted", 0.9),
-    ("gpl", "free software you can redistribute it and or modify it under the terms", "terms of", 0.8),
+    ("gpl", "free software you can redistribute it and or modify it under the terms", "redistribute it", 0.8),
     ("warranty-disclaimer", "(?:without warranty of any kind|without any warranty|as is without warrant[a-z]+)", "warrant", 0.4),
     ("proprietary", "proprietary and confidential", "proprietary", 0.6),
     ("proprietary", "(?:unauthorized|unauthorised) (?:copying|use|reproduction)(?: [a-z]+){0,6} prohibited", "prohibited", 0.6),
@@ -106,10 +236,13 @@ OWN = [
     ("reserved", "(?:all|some|no) rights reserved", "reserved", 0.5),
 ]
 # Every match of a rule holds one of these.
-GATE = ["licen", "spdx", "terms", "domain", "permi", "warrant", "proprietary", "prohibited", "copy", "reserved"]
+GATE = [
+    "licen", "spdx", "terms", "domain", "permi", "warrant", "proprietary", "prohibited", "copy", "reserved", "copied", "software developed",
+]
 BASE_WEIGHT = 0.5
 # Items folded into one array before the arrays are put together.
 RUN = 128
+RULE = "array<struct<rank:int,label:string,pattern:string,word:string,keys:array<string>,weight:double>>"
 SPANS = "array<struct<start:int,end:int,rank:int,label:string,weight:double>>"
 
 
@@ -120,18 +253,17 @@ def rules() -> list[tuple[str, str, str, list[str], float]]:
         for form, word, weight in FORMS
         for label, name, key in NAMES
     ]
-    return made + [(label, pattern, word.split("|")[0], word.split("|"), weight) for label, pattern, word, weight in OWN]
+    alone = lambda own: [(label, pattern, word, [word], weight) for label, pattern, word, weight in own]
+    return alone(NOTICES) + made + alone(OWN)
 
 
 def _rules_column() -> Column:
+    """All rules as one constant: a text that is parsed once, when the plan is made."""
     rows = [
-        F.struct(
-            F.lit(rank).alias("rank"), F.lit(label).alias("label"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"),
-            F.lit(word).alias("word"), F.array(*[F.lit(k) for k in keys]).alias("keys"), F.lit(weight).alias("weight"),
-        )
+        {"rank": rank, "label": label, "pattern": f"(?<= )(?:{pattern})(?= )", "word": word, "keys": keys, "weight": weight}
         for rank, (label, pattern, word, keys, weight) in enumerate(rules())
     ]
-    return F.array(*rows)
+    return F.from_json(F.lit(json.dumps(rows)), RULE)
 
 
 def _folded(items: Column, state: Column, empty: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
@@ -230,7 +362,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     held = F.col("n_base") > 0
     found = F.transform(F.regexp_extract_all("_body", pattern, F.lit(0)), lambda m: F.lower(F.regexp_replace(m, GAP, " ")))
-    keywords = F.array(*[F.lit(k) for k in sorted({k for r in rules() for k in (r[2], *r[3])})])
+    keywords = F.split(F.lit("|".join(sorted({k for r in rules() for k in (r[2], *r[3])}))), "[|]")
     parts = counted.withColumns(
         {
             "_found": F.when(held, found),

@@ -9,6 +9,8 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import HealthCheck, find, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ballast.llm import components, decontamination, licenses, lines, pii, queries, simhash
@@ -265,6 +267,49 @@ def test_detections_equal_all_rules_without_gates(spark):
     assert all(any(g in pattern for g in licenses.GATE) for _, pattern, _, _, _ in licenses.rules())
 
 
+@settings(max_examples=400, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+@given(st.sampled_from(licenses.rules()).flatmap(lambda r: st.tuples(st.just(r), st.from_regex(r[1], fullmatch=True))))
+def test_matches_hold_what_their_rule_is_gated_by(case):
+    (_, _, word, keys, _), match = case
+    assert word in match and any(k in match for k in keys) and any(g in match for g in licenses.GATE)
+
+
+NOTICED = [
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "apache-2.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl,gpl-3.0-or-later"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+     "(the \"Software\"), to deal in the Software without restriction", "mit"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+     "(the \"Software\"), to deal with the Software without restriction", "ncsa"),
+    ("Linking this library statically or dynamically with other modules is making a combined work based on this library. Thus, the terms", "classpath-exception"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "cc-by-nc-sa-4.0"),
+    ("https://creativecommons.org/licenses/by-sa/4.0", "cc-by-sa"),
+    ("This is free software; you can redistribute it and/or modify it under the same terms as the Perl 5 programming language system itself", "perl"),
+    ("Reprinted with kind permission.", "with-permission"),
+]
+
+
+def test_notices_hold_their_shorter_mentions(spark):
+    """A notice is one detection: the mentions inside it are suppressed. The base phrase of the second stays a label."""
+    texts = [f"before\n{t} after" for t, _ in NOTICED]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == [labels for _, labels in NOTICED]
+    assert [[tuple(d) for d in r.detections] for r in got] == [brute_detections(t) for t in texts]
+    assert all(len(r.detections) == 1 for r in got)
+
+
+def test_detections_of_any_rules_matches(spark):
+    """Texts made of matches of all rules, some cut short, against all rules without gates."""
+    rng = random.Random(31)
+    made = [find(st.from_regex(r[1], fullmatch=True), lambda _: True) for r in licenses.rules()]
+    parts = made + [" ".join(m.split()[: len(m.split()) // 2]) for m in made]
+    rng.shuffle(parts)
+    texts = [" ".join(parts[i : i + 3]) for i in range(0, len(parts), 3)]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).orderBy("doc_id").collect()
+    assert [[tuple(d) for d in r.detections] for r in got] == [brute_detections(t) for t in texts]
+
+
 def test_detections_stay_unless_a_single_better_one_holds_them(spark):
     """All pairs of hits compared."""
     rng = random.Random(12)
