@@ -6,10 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_workspace: ContextVar[str | None] = ContextVar("workspace", default=None)
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,17 +32,39 @@ def local_session(cores: int | str = 8, partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder every executor can reach, under ``spark.checkpoint.dir``.
+    """A new folder every executor can reach: in the open ``workspace``, or else under ``spark.checkpoint.dir``.
 
     Only a local session may leave that setting out; it gets a folder in /tmp.
     """
+    return f"{_workspace.get() or _root(spark)}/ballast-{uuid.uuid4().hex}"
+
+
+def _root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         app = spark.sparkContext.applicationId
         root = _local_dirs.get(app) or _local_dirs.setdefault(app, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    return f"{root.rstrip('/')}/ballast-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """A folder that holds what operators called in this block write for themselves; it is removed at the block's end.
+
+    Operators return rows that read such tables, so results have to be written, or otherwise used, inside the block, and
+    to a place outside the folder. It is removed as well when the block fails. Blocks may be nested.
+    """
+    folder = shared_dir(spark)
+    token = _workspace.set(folder)
+    try:
+        yield folder
+    finally:
+        _workspace.reset(token)
+        # Hadoop's own file systems remove whatever Spark was able to write, whichever scheme it has.
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
