@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballast.llm import decontamination, lines, segmentation, simhash, toxicity
-from ballast.session import written
+from ballast.session import shared_dir, workspace, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
@@ -66,7 +66,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, as a table in the shared folder. Nothing else that the stages wrote stays there."""
+    result = f"{shared_dir(spark)}/rows"
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        rows = written(stage(spark, rows, sf_dir))
+    with workspace(spark):
+        for i, (_, stage) in enumerate(STAGES):
+            place = result if i == len(STAGES) - 1 else f"{shared_dir(spark)}/rows"
+            with workspace(spark):
+                rows = written(stage(spark, rows, sf_dir), place)
     return rows
