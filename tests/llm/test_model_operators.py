@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ballast.llm import quality, queries, segmentation, token_counts, toxicity, vectors
+from ballast.session import workspace
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -354,3 +356,11 @@ def test_simhash_stage_keeps_one_of_each_group(spark):
     want = [(1, a), (None, b), (3, c), (3, "a text of its own under a repeated id"), (4, None)]
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted(want, key=str)
     assert corpus_pipeline.simhash_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_only_the_result_of_the_pipeline_stays(spark, sf_dir):
+    with workspace(spark) as folder:
+        out = corpus_pipeline.run(spark, sf_dir)
+        held = {d for d, _, names in os.walk(folder) if names}
+        assert held == {os.path.dirname(f).removeprefix("file://") for f in out.inputFiles()}
+        assert out.count() > 0
