@@ -37,12 +37,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SHARPNESS = 1.0
 SAMPLE_BYTES = 512 << 10
-REACH = 80.0
+REACH = 44.0
 BLANK = 0x2581
 FIRST_PIECE = 259
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xBF58476D1CE4E5B9)
 _E = np.uint64(0x94D049BB133111EB)
+_STRIDE = np.uint64((64 * int(_C)) % 2**64)
 NO = np.int64(-1)
 
 SAMPLED = StructType(
@@ -65,7 +66,11 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 def _uniform(seed: np.ndarray, place: np.ndarray, length: np.ndarray | int) -> np.ndarray:
     """Uniform in (0, 1), a hash of a seed and of where in a text it is drawn for which length."""
-    h = _scramble(seed + (place.astype(np.uint64) * np.uint64(64) + np.asarray(length).astype(np.uint64)) * _C)
+    return _unit(seed + (place.astype(np.uint64) * np.uint64(64) + np.asarray(length).astype(np.uint64)) * _C)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    h = _scramble(x)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -126,16 +131,18 @@ class Pieces:
 
     def look(self, h: np.ndarray) -> np.ndarray:
         """Piece of each hash; -1 for a mere prefix, -2 where nothing begins so."""
-        slot = (h * _C) >> self.bits
-        out = np.full(len(h), -2, dtype=np.int32)
-        open_ = np.arange(len(h))
-        top = np.uint64(len(self.key) - 1)
+        slot = ((h * _C) >> self.bits).view(np.int64)
+        key = self.key.take(slot)
+        out = np.where(key == h, self.piece.take(slot), np.int32(-2))
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        slot, want = slot.take(open_), h.take(open_)
         while len(open_):
-            key = self.key[slot]
-            same = key == h[open_]
-            out[open_[same]] = self.piece[slot[same]]
-            on = ~same & (key != 0)
-            open_, slot = open_[on], (slot[on] + np.uint64(1)) & top
+            slot = (slot + 1) & (len(self.key) - 1)
+            key = self.key.take(slot)
+            same = np.flatnonzero(key == want)
+            out[open_.take(same)] = self.piece.take(slot.take(same))
+            on = np.flatnonzero((key != want) & (key != 0))
+            open_, slot, want = open_.take(on), slot.take(on), want.take(on)
         return out
 
 
@@ -153,19 +160,16 @@ class Spelling:
                 spelled.append(processor.decode([i]).encode())
             else:
                 spelled.append(processor.id_to_piece(i).replace("▁", " ").encode())
-        self.size = np.array([len(x) for x in spelled], dtype=np.int64)
-        self.begin = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        self.spelled = pa.array(spelled, pa.large_binary())
 
     def texts(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the texts whose ids end at ``ends``, end to end, and where each text ends. The blank that encoding
         puts before a text is left out."""
-        size = self.size[ids]
-        place = _expand(self.begin[ids], size)
-        through = np.r_[0, np.cumsum(size)]
+        put = self.spelled.take(pa.array(ids))
+        through = np.frombuffer(put.buffers()[1], dtype=np.int64)
+        out = np.frombuffer(put.buffers()[2] or b"", dtype=np.uint8)[: through[len(ids)]]
         stops = through[ends]
         starts = np.r_[0, stops[:-1]] if len(stops) else stops
-        out = self.bytes[place]
         led = starts[stops > starts]
         led = led[out[led] == 0x20]
         kept = np.ones(len(out), dtype=bool)
@@ -199,60 +203,70 @@ class Lattice:
     def __init__(self, pieces: Pieces, chars: np.ndarray, left: np.ndarray, sharpness: float):
         """``left`` counts the characters from each one to its word's end, itself included."""
         n = len(chars)
-        h = np.zeros(n, dtype=np.uint64)
-        live = np.arange(n)
-        places, lengths, ids = [], [], []
+        # Characters by their distance to the word's end: those with room for a length are the last of them, and the
+        # arcs out of one distance lie together.
+        far = np.cumsum(np.bincount(left, minlength=pieces.longest + 1))
+        order = np.argsort(left.astype(np.uint16) if len(far) <= 1 << 16 else left, kind="stable")
+        rank, at, h = np.arange(n), order, np.zeros(n, dtype=np.uint64)
+        many = np.ones(n, dtype=np.int64)
+        found = []
         for length in range(1, pieces.longest + 1):
-            live = live[left[live] >= length]
-            if not len(live):
+            cut = np.searchsorted(rank, far[length - 1])
+            rank, at, h = rank[cut:], at[cut:], h[cut:]
+            if not len(rank):
                 break
-            h[live] = _roll(h[live], chars[live + length - 1])
-            got = pieces.look(h[live])
-            hit = got >= 0
+            own = chars.take(at)
+            h = _roll(h, own)
+            got = pieces.look(h)
+            on = np.flatnonzero(got > -2)
             if length == 1:
-                spelled = ~hit
-                hit = np.ones(len(live), dtype=bool)
-                on = got > -2
-                own = chars[live]
-                got = np.where(spelled, np.where(own < 128, pieces.bytes[np.minimum(own, 127)], NO), got)
-            places.append(live[hit])
-            lengths.append(length)
-            ids.append(got[hit])
-            live = live[(got > -2) if length > 1 else on]
+                spelled = np.where(own < 128, pieces.bytes[np.minimum(own, 127)], NO)
+                found.append((rank, np.where(got >= 0, got, spelled)))
+            else:
+                hit = np.flatnonzero(got >= 0)
+                where = rank.take(hit)
+                many[where] += 1
+                found.append((where, got.take(hit)))
+            rank, at, h = rank.take(on), at.take(on) + 1, h.take(on)
         # Arcs by character, the longest first, as it is the likeliest. A length gives a character one arc at most.
-        self.count = np.zeros(n, dtype=np.int64)
-        for place in places:
-            self.count[place] += 1
-        ends = np.cumsum(self.count)
-        self.first = ends - self.count
+        ends = np.cumsum(many)
+        first = ends - many
         total = int(ends[-1]) if n else 0
-        self.length, self.piece = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int32)
-        owner = np.zeros(total, dtype=np.int64)
-        for place, size, piece in zip(places, lengths, ids):
-            ends[place] -= 1
-            slot = ends[place]
-            self.length[slot], self.piece[slot], owner[slot] = size, piece, place
-        utf8 = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
-        weight = np.where(self.piece >= FIRST_PIECE, pieces.weight[self.piece], utf8[owner] * pieces.byte_weight) * sharpness
-        # From the end of each word backwards: the log of the summed weights of all ways from here.
-        rest = np.zeros(n + 1)
-        by_left = np.argsort(left, kind="stable")
-        bounds = np.searchsorted(left[by_left], np.arange(1, (left.max() if n else 0) + 2))
-        self.log_prob = np.zeros(len(weight))
-        ends_word = left[owner] == self.length
+        self.length, self.piece = np.ones(total, dtype=np.int16), np.empty(total, dtype=np.int32)
+        free = first.copy()
+        for length in range(len(found), 1, -1):
+            where, piece = found[length - 1]
+            slot = free.take(where)
+            free[where] = slot + 1
+            self.length[slot], self.piece[slot] = length, piece
+        if found:
+            self.piece[free] = found[0][1]
+        weight = pieces.weight.take(self.piece, mode="wrap")
+        odd = np.flatnonzero(self.piece < FIRST_PIECE)
+        own = chars.take(order.take(np.searchsorted(ends, odd, "right")))
+        weight[odd] = (1 + (own > 0x7F) + (own > 0x7FF) + (own > 0xFFFF)) * pieces.byte_weight
+        weight *= sharpness
+        # From the end of each word backwards: the log of the summed weights of all ways from here. After each word's
+        # places comes one for its end.
+        spot = (np.arange(n) + np.cumsum(left == 1) - (left == 1)).take(order)
+        to = np.repeat(spot, many) + self.length
+        rest = np.zeros(n + (int(far[1]) if n else 0))
+        self.log_prob = np.empty(total)
+        bounds = far.tolist()
         for begin, end in zip(bounds[:-1], bounds[1:]):
-            own = by_left[begin:end]
-            many = self.count[own]
-            if not len(own):
+            if begin == end:
                 continue
-            starts = np.cumsum(many) - many
-            arc = np.arange(many.sum()) - np.repeat(starts, many) + np.repeat(self.first[own], many)
-            score = weight[arc] + np.where(ends_word[arc], 0.0, rest[owner[arc] + self.length[arc]])
+            a, b = int(first[begin]), int(ends[end - 1])
+            own = many[begin:end]
+            starts = first[begin:end] - a
+            score = weight[a:b] + rest.take(to[a:b])
             top = np.maximum.reduceat(score, starts)
-            total = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, many)), starts))
-            rest[own] = total
-            self.log_prob[arc] = score - np.repeat(total, many)
+            total = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, own)), starts))
+            rest[spot[begin:end]] = total
+            self.log_prob[a:b] = score - np.repeat(total, own)
         self.prob = np.exp(self.log_prob)
+        self.first, self.count = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        self.first[order], self.count[order] = first, many
 
 
 def _expand(first: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -264,22 +278,24 @@ class Slice:
 
     def __init__(self, pieces: Pieces, texts: list[str], sharpness: float):
         marked = ["▁" + t.replace(" ", "▁") if t else "" for t in texts]
-        self.chars = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        self.chars = np.frombuffer("".join(marked).encode("utf-32-le"), dtype="<u4")
         sizes = np.array([len(m) for m in marked], dtype=np.int64)
         self.begin = np.cumsum(sizes) - sizes
         n = len(self.chars)
-        self.text = np.repeat(np.arange(len(texts)), sizes)
         blank = self.chars == BLANK
         starts = blank & ~np.r_[False, blank[:-1]] if n else np.zeros(0, bool)
         starts[self.begin[sizes > 0]] = True
         self.word = np.flatnonzero(starts)
         self.word_end = np.r_[self.word[1:], n] if len(self.word) else self.word
+        # Words follow each other without gaps; those of each text, and each one's text.
+        self.first_word = np.searchsorted(self.word, np.r_[self.begin, n])
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.first_word))
         words = self._distinct()
         shapes = self.word_end[words] - self.word[words]
         place = _expand(self.word[words], shapes)
         base = np.cumsum(shapes) - shapes
         left = np.repeat(shapes, shapes) - (np.arange(len(place)) - np.repeat(base, shapes))
-        self.lattice = Lattice(pieces, self.chars[place], left, sharpness)
+        self.lattice = Lattice(pieces, self.chars.take(place).astype(np.int64), left, sharpness)
         # Where a character's copy in the lattice is: that of its word, moved.
         self.shift = base[self.same] - self.word
 
@@ -288,53 +304,66 @@ class Slice:
         if not len(self.word):
             self.same = np.zeros(0, np.int64)
             return self.same
-        h = hash_spans(self.chars.astype("<u4").view(np.uint8), self.word * 4, self.word_end * 4)
-        _, firsts, self.same = np.unique(h, return_index=True, return_inverse=True)
+        short = self.chars.astype("<u2") if self.chars.max() < 1 << 16 else self.chars
+        h = hash_spans(short.view(np.uint8), self.word * short.itemsize, self.word_end * short.itemsize)
+        order = np.argsort(h)
+        new = np.diff(h[order], prepend=~h[order[:1]]) != 0
+        firsts = order[new]
+        self.same = np.empty(len(h), dtype=np.int64)
+        self.same[order] = np.cumsum(new) - 1
         alike = self.word[firsts][self.same]
         size = self.word_end - self.word
-        both = _expand(self.word, size), _expand(alike, size)
-        if (self.word_end[firsts] - self.word[firsts] != size[firsts]).any() or (
-            self.chars[both[0]] != self.chars[both[1]]
+        if (size != size[firsts][self.same]).any() or (
+            short != short.take(np.arange(len(short)) + np.repeat(alike - self.word, size))
         ).any():
             raise ValueError("two words share a hash")
         return firsts
 
 
-def _walk(s: Slice, seed: np.ndarray, begin: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, arc) of a random way through each word from its place ``begin`` to its end."""
+def _walk(s: Slice, seed: np.ndarray, begin: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, arc, word) of a random way through each word from its place ``begin`` to its end."""
     lat = s.lattice
-    places, arcs = [], []
-    at, owner = begin, word
-    live = at < s.word_end[owner]
-    at, owner = at[live], owner[live]
-    while len(at):
-        own = at + s.shift[owner]
-        many, first = lat.count[own], lat.first[own]
-        u = _uniform(seed[s.text[at]], at - s.begin[s.text[at]], 0)
-        pick, below = first.copy(), lat.prob[first]
-        last = first + many - 1
-        on = np.flatnonzero((u >= below) & (pick < last))
-        while len(on):
-            pick[on] += 1
-            below[on] += lat.prob[pick[on]]
-            on = on[(u[on] >= below[on]) & (pick[on] < last[on])]
-        places.append(at)
-        arcs.append(pick)
-        at = at + lat.length[pick]
-        live = at < s.word_end[owner]
-        at, owner = at[live], owner[live]
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place, arc = np.concatenate(places), np.concatenate(arcs)
-    order = np.argsort(place, kind="stable")
-    return place[order], arc[order]
+    which = np.flatnonzero(begin < s.word_end[word])
+    at, shift = begin[which], s.shift[word[which]]
+    own, stop = at + shift, s.word_end[word[which]] + shift
+    text = s.text[word[which]]
+    x = seed[text] + (at - s.begin[text]).astype(np.uint64) * _STRIDE
+    steps = []
+    while len(own):
+        u = _unit(x)
+        pick = lat.first.take(own)
+        below = lat.prob.take(pick)
+        on = np.flatnonzero(u >= below)
+        now = pick.take(on)
+        last = now + lat.count.take(own.take(on)) - 1
+        draw, below = u.take(on), below.take(on)
+        more = np.flatnonzero(now < last)
+        while len(more):
+            on, now, last, draw = on.take(more), now.take(more) + 1, last.take(more), draw.take(more)
+            below = below.take(more) + lat.prob.take(now)
+            pick[on] = now
+            more = np.flatnonzero((draw >= below) & (now < last))
+        steps.append((which, own, pick))
+        size = lat.length.take(pick)
+        own = own + size
+        live = np.flatnonzero(own < stop)
+        x = x.take(live) + size.take(live).astype(np.uint64) * _STRIDE
+        which, own, stop = which.take(live), own.take(live), stop.take(live)
+    many = np.zeros(len(word), dtype=np.int64)
+    for i, (which, _, _) in enumerate(steps):
+        many[which] = i + 1
+    first = np.cumsum(many) - many
+    place, arc = np.empty(many.sum(), dtype=np.int64), np.empty(many.sum(), dtype=np.int64)
+    for i, (which, own, pick) in enumerate(steps):
+        slot = first.take(which) + i
+        place[slot], arc[slot] = own, pick
+    return place - np.repeat(s.shift[word], many), arc, np.repeat(word, many)
 
 
 def sample_slice(pieces: Pieces, texts: list[str], keys: list[str], k: int, sharpness: float) -> list[list[tuple]]:
     """For each text up to ``k`` samples (ids, log_prob, perturbed, inclusion, log_inclusion), the best first."""
     s = Slice(pieces, texts, sharpness)
     lat, n = s.lattice, len(texts)
-    word_of = np.cumsum(np.bincount(s.word, minlength=len(s.chars) + 1)[: len(s.chars)]) - 1
     root = -np.log(-np.log(_uniform(_seeds(keys, -1), np.zeros(n, dtype=np.int64), 0)))
     out: list[list] = [[] for _ in range(n)]
     # Open nodes of each text: (value, log-probability, sample it leaves, steps before it, place, arc)
@@ -351,17 +380,15 @@ def sample_slice(pieces: Pieces, texts: list[str], keys: list[str], k: int, shar
         seed = _seeds(keys, rounds)
         # Where the walk of each text begins: at a word's place, then all words after it.
         who = np.array([x[0] for x in start])
-        at, words, ends = [], [], np.r_[s.begin, len(s.chars)]
-        for t, _, _, _, _, place, arc in start:
-            if ends[t] == ends[t + 1]:
-                continue
-            w = int(word_of[place])
-            last = int(word_of[ends[t + 1] - 1])
-            at.append(np.r_[place + (lat.length[arc] if arc >= 0 else 0), s.word[w + 1 : last + 1]])
-            words.append(np.arange(w, last + 1))
-        none = np.zeros(0, np.int64)
-        place, arc = _walk(s, seed, np.concatenate(at) if at else none, np.concatenate(words) if words else none)
-        text = s.text[place]
+        at = np.array([x[5] for x in start])
+        taken = [int(lat.length[x[6]]) if x[6] >= 0 else 0 for x in start]
+        words = np.searchsorted(s.word, at, "right") - 1
+        left = np.where(s.first_word[who] < s.first_word[who + 1], s.first_word[who + 1] - words, 0)
+        word = _expand(words, left)
+        begin = s.word[word]
+        begin[(np.cumsum(left) - left)[left > 0]] = (at + taken)[left > 0]
+        place, arc, word = _walk(s, seed, begin, word)
+        text = s.text[word]
         lo, hi = np.searchsorted(text, who, "left"), np.searchsorted(text, who, "right")
         value, before = np.zeros(n), np.zeros(n)
         for t, g, phi, *_ in start:
@@ -373,12 +400,14 @@ def sample_slice(pieces: Pieces, texts: list[str], keys: list[str], k: int, shar
             run = run - np.repeat(run[opens], np.diff(np.r_[opens, len(text)])) + before[text]
         # A Gumbel value exceeds its log-probability by 38 at most, as draws have 53 bits: nodes of far lower
         # log-probability than the others are weighed only where those do not give enough.
-        near = _siblings(s, seed, value, word_of, place, arc, run, run > -REACH)
+        near = _siblings(s, seed, value, word, place, arc, run, run > -REACH)
         enough = np.bincount(near[0][near[2] > 38.0 - REACH], minlength=n) >= k - rounds
-        far = _siblings(s, seed, value, word_of, place, arc, run, (run <= -REACH) & ~enough[text])
-        t_of, of, g, phi, sib = (np.concatenate(x) for x in zip(near, far))
-        order = np.argsort(t_of, kind="stable")
-        t_of, of, g, phi, sib = t_of[order], of[order], g[order], phi[order], sib[order]
+        t_of, of, g, phi, sib = near
+        if not enough[who].all():
+            far = _siblings(s, seed, value, word, place, arc, run, (run <= -REACH) & ~enough[text])
+            t_of, of, g, phi, sib = (np.concatenate(x) for x in zip(near, far))
+            order = np.argsort(t_of, kind="stable")
+            t_of, of, g, phi, sib = t_of[order], of[order], g[order], phi[order], sib[order]
         # No more than what is still to come can be popped from the nodes of this round.
         need = k - rounds
         s_lo, s_hi = np.searchsorted(t_of, who, "left"), np.searchsorted(t_of, who, "right")
@@ -408,7 +437,7 @@ def sample_slice(pieces: Pieces, texts: list[str], keys: list[str], k: int, shar
         rows = []
         kappa = out[t][k][1] if len(out[t]) > k else None
         for i, (parent, kept, taken, tail) in enumerate(paths[t][:k]):
-            full = tail if parent is None else np.r_[arcs[parent][:kept], taken, tail]
+            full = tail if parent is None else np.concatenate([arcs[parent][:kept], [taken], tail])
             arcs.append(full)
             logp, value = out[t][i]
             over = 700.0 if kappa is None else min(logp - kappa, 700.0)
@@ -418,17 +447,16 @@ def sample_slice(pieces: Pieces, texts: list[str], keys: list[str], k: int, shar
     return result
 
 
-def _siblings(s: Slice, seed, value, word_of, place, arc, run, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
+def _siblings(s: Slice, seed, value, word, place, arc, run, chosen: np.ndarray) -> tuple[np.ndarray, ...]:
     """(text, step, value, log-probability, arc) of the nodes left open at the chosen steps of a walk."""
     lat = s.lattice
     steps = np.flatnonzero(chosen)
-    own = place[steps] + s.shift[word_of[place[steps]]]
+    own = place[steps] + s.shift[word[steps]]
     many = lat.count[own]
     sib = _expand(lat.first[own], many)
-    of = np.repeat(steps, many)
-    other = sib != arc[of]
-    sib, of = sib[other], of[other]
-    text = s.text[place[of]]
+    other = np.flatnonzero(sib != np.repeat(arc[steps], many))
+    sib, of = sib.take(other), np.repeat(steps, many).take(other)
+    text = s.text[word[of]]
     phi = run[of] + lat.log_prob[sib]
     u = _uniform(seed[text], place[of] - s.begin[text], lat.length[sib])
     g = phi - np.log(np.exp(np.minimum(phi - value[text], 700)) - np.log(u))

@@ -60,6 +60,76 @@ def test_samples_follow_the_distribution():
     assert abs(weighted / n - 1) < 0.05  # inclusion probabilities make sums unbiased
 
 
+def plain_samples(pieces, text, key, k):
+    """The same draws, one text alone, every node that is left open weighed."""
+    marked = "▁" + text.replace(" ", "▁")
+    voc = {pieces.processor.id_to_piece(i): i for i in range(segmentation.FIRST_PIECE, pieces.processor.vocab_size())}
+    arcs, rest = [[] for _ in marked], [0.0] * (len(marked) + 1)
+    for at in reversed(range(len(marked))):
+        for size in range(min(pieces.longest, len(marked) - at), 0, -1):
+            i = voc.get(marked[at : at + size])
+            if i is not None:
+                arcs[at].append((size, (i,), pieces.weight[i] + rest[at + size]))
+            elif size == 1:
+                spelled = pieces.bytes[list(marked[at].encode())].tolist()
+                arcs[at].append((1, tuple(spelled), len(spelled) * pieces.byte_weight + rest[at + 1]))
+        rest[at] = np.logaddexp.reduce([a[2] for a in arcs[at]])
+
+    def draw(seed, at, length):
+        return float(segmentation._uniform(seed, np.array([at]), length)[0])
+
+    nodes = [(-math.log(-math.log(draw(segmentation._seeds([key], -1), 0, 0))), 0.0, (), 0)]
+    out = []
+    while nodes and len(out) < k:
+        best = max(nodes)
+        nodes.remove(best)
+        value, phi, ids, at = best
+        seed = segmentation._seeds([key], len(out))
+        while at < len(marked):
+            u, below, taken = draw(seed, at, 0), 0.0, None
+            for j, (_, _, score) in enumerate(arcs[at]):
+                below += math.exp(score - rest[at])
+                if taken is None and (u < below or j == len(arcs[at]) - 1):
+                    taken = j
+            for j, (size, own, score) in enumerate(arcs[at]):
+                p = phi + score - rest[at]
+                if j != taken:
+                    g = p - math.log(math.exp(min(p - value, 700)) - math.log(draw(seed, at, size)))
+                    nodes.append((g, p, ids + own, at + size))
+            size, own, score = arcs[at][taken]
+            phi, ids, at = phi + score - rest[at], ids + own, at + size
+        out.append((ids, phi, value))
+    return out
+
+
+def test_samples_equal_a_plain_search_with_the_same_draws():
+    pieces = segmentation.pieces_of(segmentation.MODEL)
+    rng = np.random.default_rng(3)
+    texts = ["a", " ", "naïve \U0001f600 ኣ\x00\n x  y", "word " * 60, "q" * 90, "".join(rng.choice(list("etaoin shrdlu,é."), 400))]
+    assert len(texts[-1]) > 2 * segmentation.REACH  # most of its nodes are out of reach
+    got = segmentation.sample_slice(pieces, ["", *texts, ""], [str(i) for i in range(len(texts) + 2)], 3, 1.0)
+    assert [len(got[0]), len(got[-1])] == [1, 1]
+    for i, text in enumerate(texts):
+        want = plain_samples(pieces, text, str(i + 1), 3)
+        assert [tuple(r[0].tolist()) for r in got[i + 1]] == [w[0] for w in want]
+        assert np.allclose([r[1:3] for r in got[i + 1]], [w[1:] for w in want], rtol=1e-9, atol=1e-9)
+
+
+def test_far_nodes_are_weighed_only_where_near_ones_are_too_few(monkeypatch):
+    """The next sample of a long text leaves the one before near its beginning, so few of the nodes left open count."""
+    pieces, rng = segmentation.pieces_of(segmentation.MODEL), np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("etaoinshrdlu"), 7)) for _ in range(300)) for _ in range(20)]
+    weighed, siblings = [], segmentation._siblings
+
+    def counted(*args):
+        weighed.append(int(args[-1].sum()))
+        return siblings(*args)
+
+    monkeypatch.setattr(segmentation, "_siblings", counted)
+    rows = segmentation.sample_slice(pieces, texts, [str(i) for i in range(20)], 2, 1.0)
+    assert sum(weighed) < 0.5 * sum(len(r[0]) for own in rows for r in own)
+
+
 def test_samples_decode_and_do_not_depend_on_neighbours(spark):
     texts = [None, "", "a", "  two  blanks\n\ttab ", "naïve \U0001f600 ኣ text\x00", "word " * 4000, "x" * 3000, "aa bb", "aa bb"]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "aa bb")], SCHEMA).withColumn("ids", F.lit("clash"))
